@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hot
+from . import contigs, hot, profiles, reads
 
-MODULES = (hot,)
+MODULES = (hot, reads, contigs, profiles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
