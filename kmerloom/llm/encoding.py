@@ -32,7 +32,7 @@ MULTI = {
 }
 ASIAN_READ_AS = ["latin_1", "cp1252"]
 
-#: White space that parts words; other kinds may be garbled letters.
+#: White space that parts words; within a word, other kinds may be garbled letters.
 BLANK = "[ \\t\\n\\r\\f\\u000b]+"
 ROUNDS = 1
 #: Log odds by which a restored word must beat the word as it is, beyond what the channel's share asks.
@@ -246,6 +246,8 @@ def _statistics(model: Model | None, letters: dict[str, float] | None):
         for batch in batches:
             stats: Counter = Counter()
             for source, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if word.isspace():
+                    continue
                 text = word
                 if model is None:
                     if letters and _suspect(word, letters):
@@ -312,7 +314,7 @@ def _apply(model: Model):
             ids, texts, done = [], [], []
             for doc, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 parts = blank.split(text)
-                at = [i for i, word in enumerate(parts) if not word.isascii()]
+                at = [i for i, word in enumerate(parts) if not (word.isascii() or word.isspace())]
                 words, channels = model.restore_all(source, [parts[i] for i in at])
                 for i, word in zip(at, words):
                     parts[i] = word
