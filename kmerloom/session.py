@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context; their Python may not find it otherwise."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_kmerloom_shipped", False):
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='kmerloom-')}/{package.name}", "zip", package.parent, package.name)
+        sc.addPyFile(archive)
+        sc._kmerloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory, columns pruned by whoever reads it."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -19,6 +32,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     A directory of our own is set only where the session has none and runs in local mode (tests).
     """
     spark = df.sparkSession
+    ship(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,6 +48,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     A scan of fewer files than cores may put all rows into a few tasks, whatever the number of
     splits; only then are the rows shuffled.
     """
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     if len(df.inputFiles()) >= cores:
         return df

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.sequence import upcase
+from ..session import ship
 
 SCHEMA = "file_ord int, pos bigint, header string, name string, seq string, qual string"
 #: Characters that end a name, by option ``name_stop``.
@@ -175,6 +176,7 @@ def read_fastx(spark: SparkSession, paths: str | list[str], name_stop: str = "re
 
     ``read_id`` follows the order of files and records without any shuffle.
     """
+    ship(spark)
     spark.dataSource.register(Fastx)
     listed = [paths] if isinstance(paths, str) else paths
     rows = spark.read.format("fastx").option("name_stop", name_stop).option("splitbytes", split_bytes).load(",".join(listed))
