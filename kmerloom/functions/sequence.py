@@ -112,9 +112,17 @@ def e_value(bits: Column, m: Column, n: Column) -> Column:
     return m * n * F.pow(F.lit(2.0), -bits)
 
 
+def digits(seq: Column, order: str = INDEX_ORDER, turned: bool = False) -> Column:
+    """Base-4 digits of a sequence in A, C, G, T, N, or of its reverse complement; N counts as A on either strand."""
+    if not turned:
+        return F.translate(seq, order + "N", "0123" + str(order.index("A")))
+    pairs = dict(zip(order, order.translate(str.maketrans("ACGT", "TGCA"))))
+    return F.reverse(F.translate(seq, order + "N", "".join(str(order.index(pairs[b])) for b in order) + str(order.index("A"))))
+
+
 def pack(kmer: Column, order: str = INDEX_ORDER) -> Column:
-    """Number of a k-mer (k up to 31), its bases being digits in ``order``; other letters count as the first base."""
-    return F.conv(F.translate(F.regexp_replace(kmer, "[^ACGT]", order[0]), order, "0123"), 4, 10).cast("bigint")
+    """Number of a k-mer (k up to 31), its bases being digits in ``order``; N counts as A."""
+    return F.conv(digits(kmer, order), 4, 10).cast("bigint")
 
 
 def seconds_text(seconds: Column) -> Column:

@@ -11,8 +11,9 @@ import math
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ COMPONENT_ROWS = 50_000
 BASES = "ACGT"
 FORWARD, TRIED, SOLID = 0, 2, 3
 CONTIG = "seed_id bigint, len int, cov double, stdev double, seed string, seq string"
+NAMES = ["seed_id", "len", "cov", "stdev", "seed", "seq"]
+TYPES = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.string()]
 _turn = str.maketrans(BASES, BASES[::-1])
 
 
@@ -270,11 +273,13 @@ def contigs(reads: DataFrame, k: int = 25, min_length: int = MIN_LENGTH, compone
     large = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > component_rows).select("comp")
     placed = checkpoint(plain.join(comps, plain["read_id"] == comps["id"]).select("comp", "read_id", "name", "seq"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("read_id")
-        return pd.DataFrame(assemble([*zip(rows.read_id, rows.name_, rows.seq)], k), columns=["seed_id", "len", "cov", "stdev", "seed", "seq"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4))))
+        for _, group in groupby(rows, key=lambda row: row[0]):
+            found = assemble([row[1:] for row in group], k)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found), TYPES)], NAMES) if found else pa.record_batch([pa.array([], t) for t in TYPES], NAMES)
 
-    small = placed.join(large, "comp", "left_anti").withColumnRenamed("name", "name_").groupBy("comp").applyInPandas(run, CONTIG)
+    small = placed.join(large, "comp", "left_anti").repartition("comp").sortWithinPartitions("comp", "read_id").mapInArrow(run, CONTIG)
     rest = placed.join(large, "comp", "left_semi").select("read_id", "name", "seq")
     found = small if rest.isEmpty() else small.unionByName(unitigs(rest, k))
     return with_gc(found.where(F.col("len") > min_length)).select("seed_id", "len", "cov", "stdev", "gc", "seed", "seq")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .hot_keys import attach
 from .kmers import end_kmers, kmers
 
 
@@ -18,24 +17,25 @@ def links(reads: DataFrame, k: int) -> DataFrame:
     """
     hubs = end_kmers(reads, k).groupBy("kmer").agg(F.min("read_id").alias("b"))
     held = kmers(reads, k).select(F.col("read_id").alias("a"), "kmer")
-    return attach(held, hubs, "kmer").where("a <> b").select("a", "b").distinct()
+    return held.join(hubs, "kmer").where("a <> b").select("a", "b").distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(id, comp)``: every node with the least node of its component.
 
     Alternating large-star and small-star rounds keep the number of edges within that of the input and end after about
-    as many rounds as the logarithm of the longest path. Each round is written to the checkpoint folder.
+    as many rounds as the logarithm of the longest path. Each half round is written to the checkpoint folder. The joins
+    stream a hub's edges against its one row of state, and the adaptive skew join splits them; no list is ever gathered.
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     current, before = checkpoint(both), None
     for _ in range(max_rounds):
         ways = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = attach(ways.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = ways.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = checkpoint(large.where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = attach(large, least, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
+        small = large.join(least, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
         current = checkpoint(small.where("u <> v").distinct())
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if state == before:

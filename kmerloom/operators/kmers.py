@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import INDEX_ORDER, PROFILE_ORDER, ceil_div, pack, partial_revcomp, revcomp, translate_dna, upcase
+from ..functions.sequence import INDEX_ORDER, PROFILE_ORDER, ceil_div, digits, partial_revcomp, revcomp, translate_dna, upcase
 
 
 def normalised(reads: DataFrame) -> DataFrame:
@@ -106,13 +106,20 @@ def profile_codes(df: DataFrame, k: int, n_policy: str = "as_a") -> DataFrame:
 
     N counts as A on either strand (``as_a``), or k-mers with N are left out (``skip``).
     """
-    words = slide(df, k)
     if n_policy == "skip":
-        words = words.where(~F.col("kmer").contains("N"))
-    elif n_policy != "as_a":
+        plain = F.when(~F.substr("seq", F.col("pos") + 1, F.lit(k)).contains("N"), True)
+    elif n_policy == "as_a":
+        plain = None
+    else:
         raise ValueError("n_policy is 'as_a' or 'skip'")
-    codes = F.array(pack(F.col("kmer"), PROFILE_ORDER), pack(revcomp(F.col("kmer")), PROFILE_ORDER))
-    return words.withColumn("code", F.explode(codes)).drop("pos", "kmer")
+    seq, at = F.col("seq"), F.col("pos") + 1
+    both = df.select("*", digits(seq, PROFILE_ORDER).alias("d1"), digits(seq, PROFILE_ORDER, turned=True).alias("d2"))
+    words = both.select("*", F.explode(offsets(F.length("seq") - k)).alias("pos"))
+    if plain is not None:
+        words = words.where(plain)
+    back = F.substr("d2", F.length("seq") - k - F.col("pos") + 1, F.lit(k))  # the same letters on the other strand
+    code = lambda d: F.conv(d, 4, 10).cast("bigint")
+    return words.withColumn("code", F.explode(F.array(code(F.substr("d1", at, F.lit(k))), code(back)))).drop("pos", "d1", "d2")
 
 
 __all__ = ["INDEX_ORDER", "both_strands", "end_kmers", "fixed_length", "indexable", "kmer_counts", "kmers", "normalised", "partial_revcomp", "profile_codes", "query_kmers", "six_frames", "slide", "split_reads"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import translate_dna, upcase
 from ..operators import assembly, components, kmers, profiles, search
-from ..session import table
+from ..session import spread, table
 from ..sources.profiles import as_lines, bin_lines
 from .reads import READS, _frame_sql, reads
 
@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 def by_file(spark, sf_dir):
     """Reads with their file as class."""
-    rows = table(spark, sf_dir, "reads").where("seq is not null and file_ord is not null")
+    rows = spread(table(spark, sf_dir, "reads").select("read_id", "name", "file_ord", "seq")).where("seq is not null and file_ord is not null")
     return rows.select("read_id", "name", "file_ord", upcase(F.col("seq")).alias("seq"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import kmers, overlap, state
-from ..session import table
+from ..session import spread, table
 from ..streaming import progress as file_progress
 
 K = 25
@@ -36,7 +36,7 @@ def query(sql: str | None = None):
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.normalised(table(spark, sf_dir, "reads"))
+    return kmers.normalised(spread(table(spark, sf_dir, "reads").select("read_id", "name", "seq")))
 
 
 @query(READS + " SELECT read_id, seq FROM r")
