@@ -51,8 +51,9 @@ def frequent_items(df: DataFrame, value: str, weight: str | None = None, k: int
             F.min("b"), F.count("b")
         ).first()
         bound = bound if n_bounds == k else 0
-        kept, kept_bits = groups.where((F.col("total") >= F.lit(bound)) & (F.col("total") > 0)), bits
-        n_kept, mixed, least = kept.agg(F.count(F.lit(1)), F.max(~pure), F.min("least")).first()
+        stays = (F.col("total") >= F.lit(bound)) & (F.col("total") > 0)
+        kept, kept_bits = groups.where(stays), bits
+        n_kept, mixed, least = groups.agg(F.count_if(stays), F.max(F.when(stays, ~pure)), F.min("least")).first()
         if least is not None and least < 0:
             raise ValueError("weights must not be negative")
         small = n_kept <= max_groups
