@@ -80,6 +80,11 @@ def from_fasta(records: DataFrame, min_len: int = 0) -> DataFrame:
     return rows.where(F.col("len") >= min_len)
 
 
+def as_dot(edges: DataFrame) -> DataFrame:
+    """Graphviz statements of ``(src, dst, weight)`` edges, one line each (O8); put them between ``digraph {`` and ``}``."""
+    return edges.select(F.format_string('"%s" -> "%s" [label="%s"];', F.col("src").cast("string"), F.col("dst").cast("string"), F.col("weight").cast("string")).alias("value"))
+
+
 def with_gc(contigs: DataFrame) -> DataFrame:
     return contigs.withColumn("gc", gc_content(F.col("seq")))
 

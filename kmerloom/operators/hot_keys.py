@@ -8,6 +8,8 @@ rows, so the set of dominant keys has a proven size bound and may be broadcast.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def dominant_keys(totals: DataFrame, share: float) -> DataFrame:
     owned = totals.where(F.col("low").isNotNull())
     total = owned.agg(F.sum("n_entries").alias("total")).scalar()
     # one condition over key and total, so that it stays above the aggregate and the exchange is shared
-    return owned.where(F.when(F.col("key").isNotNull(), F.col("n_entries")) >= total * F.lit(share))
+    return owned.where(F.when(F.col("key").isNotNull(), F.col("n_entries")) >= total * F.lit(Decimal(str(share))))
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
