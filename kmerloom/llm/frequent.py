@@ -18,7 +18,8 @@ def frequent_items(df: DataFrame, value: str, weight: str | None = None, k: int
     bound for each value in it. A prefix gives a lower bound as well: its sum if it holds one value only
     (least and greatest hash agree), else the largest weight of one row. Values of different prefixes
     differ, so the k-th largest lower bound is one for the k-th total, and prefixes below it are dropped.
-    The rest get longer until each holds a single value; then the full values are counted.
+    To raise that bound early, the heaviest prefixes are looked at with more bits before the others are
+    judged. The rest get longer until each holds a single value; then the full values are counted.
 
     A round has at most about ``max_groups`` groups; survivors are broadcast only while they stay within
     that bound and are joined by a shuffle otherwise.
@@ -33,24 +34,32 @@ def frequent_items(df: DataFrame, value: str, weight: str | None = None, k: int
     ).where(F.col("weight") != 0)
     bits, kept, kept_bits, small = max_groups.bit_length() - 1, None, 0, True
 
-    def survivors() -> DataFrame:
-        if kept is None:
-            return rows
-        side = kept.select(F.col("prefix").alias("kept_prefix"))
-        return rows.join(F.broadcast(side) if small else side, _prefix(kept_bits) == F.col("kept_prefix"), "left_semi")
+    pure = (F.col("h_lo") == F.col("h_hi")) & (F.col("h2_lo") == F.col("h2_hi"))
 
-    while True:
-        groups = checkpoint(
-            survivors().groupBy(_prefix(bits).alias("prefix")).agg(
+    def within(prefixes: DataFrame, length: int, few: bool) -> DataFrame:
+        side = prefixes.select(F.col("prefix").alias("kept_prefix"))
+        return rows.join(F.broadcast(side) if few else side, _prefix(length) == F.col("kept_prefix"), "left_semi")
+
+    def counted(part: DataFrame, length: int) -> DataFrame:
+        return checkpoint(
+            part.groupBy(_prefix(length).alias("prefix")).agg(
                 F.sum("weight").alias("total"), F.max("weight").alias("most"), F.min("weight").alias("least"),
                 F.min("h").alias("h_lo"), F.max("h").alias("h_hi"), F.min("h2").alias("h2_lo"), F.max("h2").alias("h2_hi"),
             )
         )
-        pure = (F.col("h_lo") == F.col("h_hi")) & (F.col("h2_lo") == F.col("h2_hi"))
-        bound, n_bounds = groups.select(F.when(pure, F.col("total")).otherwise(F.col("most")).alias("b")).orderBy(F.desc("b")).limit(k).agg(
-            F.min("b"), F.count("b")
-        ).first()
-        bound = bound if n_bounds == k else 0
+
+    def kth_bound(groups: DataFrame) -> float:
+        lower = groups.select(F.when(pure, F.col("total")).otherwise(F.col("most")).alias("b")).orderBy(F.desc("b")).limit(k)
+        low, n = lower.agg(F.min("b"), F.count("b")).first()
+        return low if n == k else 0
+
+    while True:
+        groups = counted(rows if kept is None else within(kept, kept_bits, small), bits)
+        bound = kth_bound(groups)
+        leaders = groups.orderBy(F.desc("total"), "prefix").limit(4 * k)
+        deeper = min(64, bits + max(1, (max_groups // (4 * k)).bit_length() - 1))
+        if bits < 64 and leaders.where(~pure).count():
+            bound = max(bound, kth_bound(counted(within(leaders, bits, True), deeper)))
         stays = (F.col("total") >= F.lit(bound)) & (F.col("total") > 0)
         kept, kept_bits = groups.where(stays), bits
         n_kept, mixed, least = groups.agg(F.count_if(stays), F.max(F.when(stays, ~pure)), F.min("least")).first()
@@ -60,7 +69,7 @@ def frequent_items(df: DataFrame, value: str, weight: str | None = None, k: int
         if not mixed or bits == 64 or not small:
             break
         bits = min(64, bits + max(4, (max_groups // n_kept).bit_length() - 1))
-    totals = survivors().groupBy("item").agg(F.sum("weight").alias("total"))
+    totals = within(kept, kept_bits, small).groupBy("item").agg(F.sum("weight").alias("total"))
     return totals.where(F.col("total") > 0).orderBy(F.desc("total"), "item").limit(k)
 
 
