@@ -26,7 +26,8 @@ def windows(items: Column, n: int) -> Column:
 def item_grams(items: DataFrame, n: int) -> DataFrame:
     """``(item_id, gram, h)``: the distinct n-grams of each test item."""
     return (
-        items.select(F.col("item_id").cast("bigint").alias("item_id"), F.explode(windows(words(F.col("text")), n)).alias("gram"))
+        items.select(F.col("item_id").cast("bigint").alias("item_id"), words(F.col("text")).alias("w"))
+        .select("item_id", F.explode(windows(F.col("w"), n)).alias("gram"))
         .distinct().withColumn("h", F.xxhash64(F.transform("gram", lambda x: F.xxhash64(x))))
     )
 
@@ -40,7 +41,7 @@ def hits(documents: DataFrame, items: DataFrame, n: int = 12) -> DataFrame:
     """
     grams = item_grams(items, n)
     few = grams.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
-    keyed = spread(documents.select("doc_id", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), words(F.col("text")).alias("w")).where(F.size("w") >= n)
+    keyed = spread(documents.select("doc_id", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("w"))
     hashed = keyed.withColumn("hs", F.transform("w", lambda x: F.xxhash64(x)))
     placed = hashed.select("doc_id", "w", F.posexplode(F.transform(windows(F.col("hs"), n), lambda x: F.xxhash64(x))).alias("at", "h"))
     found = placed.join(F.broadcast(grams) if few else grams, "h").where(F.slice("w", F.col("at") + 1, n) == F.col("gram"))
