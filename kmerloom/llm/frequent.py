@@ -19,7 +19,8 @@ def frequent_items(df: DataFrame, value: str, weight: str | None = None, k: int
     (least and greatest hash agree), else the largest weight of one row. Values of different prefixes
     differ, so the k-th largest lower bound is one for the k-th total, and prefixes below it are dropped.
     To raise that bound early, the heaviest prefixes are looked at with more bits before the others are
-    judged. The rest get longer until each holds a single value; then the full values are counted.
+    judged. The rest get longer until each holds a single value, or about so (an eighth of the possible prefixes
+    at most are taken); then the full values are counted.
 
     A round has at most about ``max_groups`` groups; survivors are broadcast only while they stay within
     that bound and are joined by a shuffle otherwise.
@@ -56,9 +57,11 @@ def frequent_items(df: DataFrame, value: str, weight: str | None = None, k: int
     while True:
         groups = counted(rows if kept is None else within(kept, kept_bits, small), bits)
         bound = kth_bound(groups)
+        n_groups = groups.count()
+        sparse = kept is not None and n_groups * 8 <= n_kept << (bits - kept_bits)  # about one value in each
         leaders = groups.orderBy(F.desc("total"), "prefix").limit(4 * k)
         deeper = min(64, bits + max(1, (max_groups // (4 * k)).bit_length() - 1))
-        if bits < 64 and leaders.where(~pure).count():
+        if bits < 64 and not sparse and leaders.where(~pure).count():
             bound = max(bound, kth_bound(counted(within(leaders, bits, True), deeper)))
         stays = (F.col("total") >= F.lit(bound)) & (F.col("total") > 0)
         kept, kept_bits = groups.where(stays), bits
@@ -66,7 +69,7 @@ def frequent_items(df: DataFrame, value: str, weight: str | None = None, k: int
         if least is not None and least < 0:
             raise ValueError("weights must not be negative")
         small = n_kept <= max_groups
-        if not mixed or bits == 64 or not small:
+        if not mixed or bits == 64 or sparse or not small:
             break
         bits = min(64, bits + max(4, (max_groups // n_kept).bit_length() - 1))
     totals = within(kept, kept_bits, small).groupBy("item").agg(F.sum("weight").alias("total"))
