@@ -41,10 +41,12 @@ def hits(documents: DataFrame, items: DataFrame, n: int = 12) -> DataFrame:
     """
     grams = item_grams(items, n)
     few = grams.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
-    keyed = spread(documents.select("doc_id", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("w"))
-    hashed = keyed.withColumn("hs", F.transform("w", lambda x: F.xxhash64(x)))
-    placed = hashed.select("doc_id", "w", F.posexplode(F.transform(windows(F.col("hs"), n), lambda x: F.xxhash64(x))).alias("at", "h"))
-    found = placed.join(F.broadcast(grams) if few else grams, "h").where(F.slice("w", F.col("at") + 1, n) == F.col("gram"))
+    split = lambda text: F.coalesce(words(text), F.array().cast("array<string>"))
+    rows = spread(documents.select("doc_id", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    hashed = rows.withColumn("hs", F.transform(split(F.col("text")), lambda x: F.xxhash64(x)))
+    # the text goes along, not its words: it is smaller, and split again only where a hash agrees
+    placed = hashed.select("doc_id", "text", F.posexplode(F.transform(windows(F.col("hs"), n), lambda x: F.xxhash64(x))).alias("at", "h"))
+    found = placed.join(F.broadcast(grams) if few else grams, "h").where(F.slice(split(F.col("text")), F.col("at") + 1, n) == F.col("gram"))
     return found.select("doc_id", F.col("at").cast("bigint").alias("at"), "item_id")
 
 
