@@ -46,7 +46,9 @@ def hits(documents: DataFrame, items: DataFrame, n: int = 12) -> DataFrame:
     hashed = rows.withColumn("hs", F.transform(split(F.col("text")), lambda x: F.xxhash64(x)))
     # the text goes along, not its words: it is smaller, and split again only where a hash agrees
     placed = hashed.select("doc_id", "text", F.posexplode(F.transform(windows(F.col("hs"), n), lambda x: F.xxhash64(x))).alias("at", "h"))
-    found = placed.join(F.broadcast(grams) if few else grams, "h").where(F.slice(split(F.col("text")), F.col("at") + 1, n) == F.col("gram"))
+    # no plain equality, or the planner would make it a join key and split the text for every window
+    same = F.array_contains(F.array("gram"), F.slice(split(F.col("text")), F.col("at") + 1, n))
+    found = placed.join(F.broadcast(grams) if few else grams, "h").where(same)
     return found.select("doc_id", F.col("at").cast("bigint").alias("at"), "item_id")
 
 
