@@ -10,11 +10,11 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
@@ -259,28 +259,36 @@ def assemble(reads: list[tuple[int, str, str]], k: int) -> list[tuple]:
     return contigs
 
 
-def contigs(reads: DataFrame, k: int = 25, min_length: int = MIN_LENGTH, component_rows: int = COMPONENT_ROWS) -> DataFrame:
-    """``(seed_id, len, cov, stdev, gc, seed, seq)`` of contigs longer than ``min_length``, from ``(read_id, name, seq)``
-    reads of one length (A1 to A13, V27, C8, C9, F4).
+def by_component(plain: DataFrame, edges: DataFrame, work: Callable[[list[tuple]], list[tuple]], size: Column, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Contigs that ``work`` makes of each component's reads in file order, and the reads of components beyond the limit.
 
-    Reads with N are left out, as are null ones; each read is used once at most. Components of up to ``component_rows``
-    reads are assembled in one task each. Larger ones become ``unitigs``: none is ever gathered whole.
+    ``size`` is an aggregate over the reads of a component. No component larger than ``limit`` reaches a task whole.
     """
-    if k <= 8:
-        raise ValueError("the overlap must exceed 8")
-    plain = indexable(reads).where((F.length("seq") >= k) & F.col("read_id").isNotNull())
-    comps = components(plain.select(F.col("read_id").alias("id")), links(plain, k))
-    large = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > component_rows).select("comp")
+    comps = components(plain.select(F.col("read_id").alias("id")), edges)
     placed = checkpoint(plain.join(comps, plain["read_id"] == comps["id"]).select("comp", "read_id", "name", "seq"))
+    large = placed.groupBy("comp").agg(size.alias("n")).where(F.col("n") > limit).select("comp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4))))
         for _, group in groupby(rows, key=lambda row: row[0]):
-            found = assemble([row[1:] for row in group], k)
+            found = work([row[1:] for row in group])
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found), TYPES)], NAMES) if found else pa.record_batch([pa.array([], t) for t in TYPES], NAMES)
 
     small = placed.join(large, "comp", "left_anti").repartition("comp").sortWithinPartitions("comp", "read_id").mapInArrow(run, CONTIG)
-    rest = placed.join(large, "comp", "left_semi").select("read_id", "name", "seq")
+    return small, placed.join(large, "comp", "left_semi").select("read_id", "name", "seq")
+
+
+def contigs(reads: DataFrame, k: int = 25, min_length: int = MIN_LENGTH, component_rows: int = COMPONENT_ROWS) -> DataFrame:
+    """``(seed_id, len, cov, stdev, gc, seed, seq)`` of contigs longer than ``min_length``, from ``(read_id, name, seq)``
+    reads of one length (A1 to A13, V27, C8, C9, F4).
+
+    Reads with N are left out, as are null ones; each read is used once at most. Components of up to ``component_rows``
+    reads are assembled in one task each. Larger ones become ``unitigs``: none is ever gathered whole.
+    """
+    if k <= 8:
+        raise ValueError("the overlap must exceed 8")
+    plain = indexable(reads.select("read_id", "name", "seq")).where((F.length("seq") >= k) & F.col("read_id").isNotNull())
+    small, rest = by_component(plain, links(plain, k), lambda group: assemble(group, k), F.count(F.lit(1)), component_rows)
     found = small if rest.isEmpty() else small.unionByName(unitigs(rest, k))
     return with_gc(found.where(F.col("len") > min_length)).select("seed_id", "len", "cov", "stdev", "gc", "seed", "seq")
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sequence import revcomp
 from ..session import checkpoint
-from .kmers import end_kmers, kmers
+from .kmers import end_kmers, indexable, kmers, slide
 
 
 def links(reads: DataFrame, k: int) -> DataFrame:
@@ -20,6 +21,16 @@ def links(reads: DataFrame, k: int) -> DataFrame:
     return held.join(hubs, "kmer").where("a <> b").select("a", "b").distinct()
 
 
+def shared_words(reads: DataFrame, k: int) -> DataFrame:
+    """``(a, b)``: each read without N with the lowest read that holds one of its k-mers, on either strand.
+
+    The words of a read and of its reverse complement are told by the lesser of the two, so each is made once.
+    """
+    words = slide(indexable(reads.select("read_id", "seq")), k).select("read_id", F.least("kmer", revcomp(F.col("kmer"))).alias("kmer"))
+    hubs = words.groupBy("kmer").agg(F.min("read_id").alias("b"))
+    return words.join(hubs, "kmer").where("read_id <> b").select(F.col("read_id").alias("a"), "b").distinct()
+
+
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(id, comp)``: every node with the least node of its component.
 

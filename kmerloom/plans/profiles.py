@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.sequence import translate_dna, upcase
-from ..operators import assembly, components, kmers, profiles, search
+from ..operators import assembly, components, exact, kmers, profiles, search
 from ..session import spread, table
 from ..sources.profiles import as_lines, bin_lines
 from .reads import READS, _frame_sql, reads
@@ -143,6 +143,11 @@ def contigs(spark, sf_dir):
     return assembly.contigs(_windows(spark, sf_dir), 25).select("seed_id", "len", F.round("cov", 4).alias("cov"), F.round("stdev", 4).alias("stdev"), F.round("gc", 4).alias("gc"), "seed", "seq")
 
 
+@query()
+def exact_contigs(spark, sf_dir):
+    return exact.exact_contigs(reads(spark, sf_dir), 25)
+
+
 @query()
 def unitigs(spark, sf_dir):
     rows = kmers.indexable(_windows(spark, sf_dir))

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from kmerloom.operators import assembly, components
+from kmerloom.operators import assembly, components, exact
 from kmerloom.operators.assembly import turned
 
 SCHEMA = "read_id bigint, name string, seq string"
@@ -113,3 +113,43 @@ def test_golden(spark, tmp_path):
     reads = [(i, f"1_{i + 1}", source[p : p + 80]) for i, p in enumerate((0, 49, 94, 123))]
     (only,) = assembly.assemble(reads, 25)
     assert only[1] == 203 and only[5] == source and only[2] == 1.0 and only[3] == 0.0 and only[4] == "1_1"
+
+
+def test_exact_distributed_equals_serial(spark):
+    reads = [(i, n, s[: 40 + i % 21]) for i, n, s in simulated(8)]
+    want = sorted((c[0], c[1], c[5]) for c in exact.extended(reads, 15))
+    clashing = spark.createDataFrame(reads, SCHEMA).selectExpr("*", "1 AS comp", "2 AS n", "'x' AS kmer")
+    got = exact.exact_contigs(clashing, 15, min_length=0)
+    assert sorted((r.seed_id, r.len, r.seq) for r in got.collect()) == want
+    words = {o[p : p + 15] for _, _, s in reads for o in (s, turned(s)) for p in range(len(s) - 14)}
+    assert all(seq[p : p + 15] in words for _, n, seq in want for p in range(n - 14))
+    assert max(n for _, n, _ in want) > 300
+
+
+def test_exact_grows_both_ways():
+    rng = random.Random(9)
+    genome = "".join(rng.choice("ACGT") for _ in range(9000))
+    starts = [p for p in range(0, 8940, 20)]
+    order = [starts.pop(200), *starts]  # the first seed lies in the middle
+    reads = [(i, f"r{i}", turned(genome[p : p + 60]) if i % 3 == 1 else genome[p : p + 60]) for i, p in enumerate(order)]
+    (only,) = exact.extended(reads, 25)
+    assert turned(only[5]) == genome[: only[1]] and only[1] == max(order) + 60
+
+
+def test_exact_loops_end():
+    rng = random.Random(10)
+    ring = "".join(rng.choice("ACGT") for _ in range(300))
+    reads = [(i, "r", (ring + ring)[p : p + 60]) for i, p in enumerate(range(0, 300, 10))]
+    (only,) = exact.extended(reads, 25)
+    assert only[5] in turned(ring) * 60
+    assert exact.extended([(0, "a", "A" * 80), (1, "b", "A" * 80)], 25)[0][1] == 80
+
+
+def test_exact_edges(spark):
+    none = spark.createDataFrame([(1, "n", "N" * 60), (2, "s", "ACG"), (3, None, ""), (None, "i", "ACGT" * 20), (5, "x", None)], SCHEMA)
+    assert exact.exact_contigs(none, 20).count() == 0 and exact.exact_contigs(none.limit(0), 20).count() == 0
+    rng = random.Random(11)
+    genome = "".join(rng.choice("ACGT") for _ in range(500))
+    df = spark.createDataFrame([(i, None, genome[p : p + 60]) for i, p in enumerate(range(0, 441, 10))], SCHEMA)
+    (got,) = exact.exact_contigs(df, 20, component_letters=100).collect()
+    assert got.seq == genome and got.tier == "short"
