@@ -92,7 +92,7 @@ def classify(spark, sf_dir):
     return _classified(spark, sf_dir).select("read_id", "name", "class_ord", "class", F.round("score", 3).alias("score"), F.round("margin", 3).alias("margin"))
 
 
-@query()
+@query(f"SELECT '>' || name || chr(10) || class AS value FROM ({ORACLE['classify']}) WHERE name IS NOT NULL")
 def classify_bins(spark, sf_dir):
     return bin_lines(_classified(spark, sf_dir).where("name is not null"))
 
