@@ -259,14 +259,14 @@ def assemble(reads: list[tuple[int, str, str]], k: int) -> list[tuple]:
     return contigs
 
 
-def by_component(plain: DataFrame, edges: DataFrame, work: Callable[[list[tuple]], list[tuple]], size: Column, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Contigs that ``work`` makes of each component's reads in file order, and the reads of components beyond the limit.
+def by_component(plain: DataFrame, edges: DataFrame, work: Callable[[list[tuple]], list[tuple]], size: Column, limit: int | None, k: int) -> DataFrame:
+    """Contigs that ``work`` makes of each component's reads in file order.
 
-    ``size`` is an aggregate over the reads of a component. No component larger than ``limit`` reaches a task whole.
+    With a ``limit``, components of more than that become ``unitigs`` and reach no task whole; ``size`` is an aggregate over
+    the reads of a component.
     """
     comps = components(plain.select(F.col("read_id").alias("id")), edges)
     placed = checkpoint(plain.join(comps, plain["read_id"] == comps["id"]).select("comp", "read_id", "name", "seq"))
-    large = placed.groupBy("comp").agg(size.alias("n")).where(F.col("n") > limit).select("comp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4))))
@@ -274,8 +274,14 @@ def by_component(plain: DataFrame, edges: DataFrame, work: Callable[[list[tuple]
             found = work([row[1:] for row in group])
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found), TYPES)], NAMES) if found else pa.record_batch([pa.array([], t) for t in TYPES], NAMES)
 
-    small = placed.join(large, "comp", "left_anti").repartition("comp").sortWithinPartitions("comp", "read_id").mapInArrow(run, CONTIG)
-    return small, placed.join(large, "comp", "left_semi").select("read_id", "name", "seq")
+    def assembled(rows: DataFrame) -> DataFrame:
+        return rows.repartition("comp").sortWithinPartitions("comp", "read_id").mapInArrow(run, CONTIG)
+
+    if limit is None:
+        return assembled(placed)
+    large = placed.groupBy("comp").agg(size.alias("n")).where(F.col("n") > limit).select("comp")
+    small, rest = assembled(placed.join(large, "comp", "left_anti")), placed.join(large, "comp", "left_semi").select("read_id", "name", "seq")
+    return small if rest.isEmpty() else small.unionByName(unitigs(rest, k))
 
 
 def contigs(reads: DataFrame, k: int = 25, min_length: int = MIN_LENGTH, component_rows: int = COMPONENT_ROWS) -> DataFrame:
@@ -288,8 +294,7 @@ def contigs(reads: DataFrame, k: int = 25, min_length: int = MIN_LENGTH, compone
     if k <= 8:
         raise ValueError("the overlap must exceed 8")
     plain = indexable(reads.select("read_id", "name", "seq")).where((F.length("seq") >= k) & F.col("read_id").isNotNull())
-    small, rest = by_component(plain, links(plain, k), lambda group: assemble(group, k), F.count(F.lit(1)), component_rows)
-    found = small if rest.isEmpty() else small.unionByName(unitigs(rest, k))
+    found = by_component(plain, links(plain, k), lambda group: assemble(group, k), F.count(F.lit(1)), component_rows, k)
     return with_gc(found.where(F.col("len") > min_length)).select("seed_id", "len", "cov", "stdev", "gc", "seed", "seq")
 
 

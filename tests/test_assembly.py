@@ -153,3 +153,54 @@ def test_exact_edges(spark):
     df = spark.createDataFrame([(i, None, genome[p : p + 60]) for i, p in enumerate(range(0, 441, 10))], SCHEMA)
     (got,) = exact.exact_contigs(df, 20, component_letters=100).collect()
     assert got.seq == genome and got.tier == "short"
+
+
+def plainly_extended(reads, k):
+    """What ``exact.extended`` gives, from a dictionary of all words."""
+
+    class Plain(exact.Words):
+        def __init__(self, seqs, k):
+            super().__init__(seqs, k)
+            self.strands, self.at = [o for s in seqs for o in (s, turned(s))], defaultdict(list)
+            for i, s in enumerate(self.strands):
+                for p in range(len(s) - k + 1):
+                    self.at[s[p : p + k]].append((i, p))
+
+        def bounds(self, seq):
+            return [(0, 0, len(self.text))] * (len(seq) - self.k + 1)
+
+        def lengthen(self, seq, at, low, high):
+            for i, p in reversed(self.at[seq[at : at + self.k]]):
+                s, rest = self.strands[i], len(seq) - at
+                if len(s) - p > rest and s.startswith(seq[at:], p):
+                    seq += s[p + rest :]
+                    self.used[i // 2] = True
+            return seq
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(exact, "Words", Plain)
+        return exact.extended(reads, k)
+
+
+@pytest.mark.parametrize("k", [15, 40])
+def test_exact_frequent_words(k):
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    often, common = letters(50), letters(2)
+    seqs = [letters(rng.randrange(30)) + often + common[: rng.randrange(3)] + letters(rng.randrange(30)) for _ in range(400)]
+    reads = [(i, "r", turned(s) if i % 3 else s) for i, s in enumerate([*seqs, *(s for *_, s in simulated(13))])]
+    got = exact.extended(reads, k)
+    assert got == plainly_extended(reads, k) and max(c[1] for c in got) > 110
+
+
+def test_exact_large_component(spark):
+    """Over half a million letters in one component, with contained reads: the result of a serial run."""
+    rng = random.Random(14)
+    genome = "".join(rng.choice("ACGT") for _ in range(20_000))
+    starts = [(p, 1000) for p in range(0, 19_001, 36)] + [(p, 100) for p in range(0, 19_000, 500)]
+    rng.shuffle(starts)
+    reads = [(i, "r", turned(genome[p : p + n]) if i % 2 else genome[p : p + n]) for i, (p, n) in enumerate(starts)]
+    assert sum(len(s) for *_, s in reads) > 500_000
+    want = sorted((c[0], c[1], c[5]) for c in exact.extended(reads, 25) if c[1] >= 300)
+    got = exact.exact_contigs(spark.createDataFrame(reads, SCHEMA), 25)
+    assert sorted((r.seed_id, r.len, r.seq) for r in got.collect()) == want
