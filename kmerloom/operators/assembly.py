@@ -1,8 +1,8 @@
 """Greedy overlap-graph assembly, one connected component at a time.
 
 Reads that can ever meet lie in one component (see ``components``), so a component is assembled by itself, its seeds
-in file order, with the result of a serial run over all reads. A component has to fit a task; larger ones are assembled
-as unambiguous paths instead, which needs joins only (see ``unitigs``).
+in file order, with the result of a serial run over all reads. A component has to fit a task. Unambiguous paths, another
+result, need joins only (see ``unitigs``).
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from .kmers import indexable
 
 #: Fixed value: vertices at which the graph is cut down to its front.
 WINDOW = 1000
-#: Reads of the largest component that one task assembles.
-COMPONENT_ROWS = 50_000
 
 BASES = "ACGT"
 FORWARD, TRIED, SOLID = 0, 2, 3
@@ -284,12 +282,13 @@ def by_component(plain: DataFrame, edges: DataFrame, work: Callable[[list[tuple]
     return small if rest.isEmpty() else small.unionByName(unitigs(rest, k))
 
 
-def contigs(reads: DataFrame, k: int = 25, min_length: int = MIN_LENGTH, component_rows: int = COMPONENT_ROWS) -> DataFrame:
+def contigs(reads: DataFrame, k: int = 25, min_length: int = MIN_LENGTH, component_rows: int | None = None) -> DataFrame:
     """``(seed_id, len, cov, stdev, gc, seed, seq)`` of contigs longer than ``min_length``, from ``(read_id, name, seq)``
     reads of one length (A1 to A13, V27, C8, C9, F4).
 
-    Reads with N are left out, as are null ones; each read is used once at most. Components of up to ``component_rows``
-    reads are assembled in one task each. Larger ones become ``unitigs``: none is ever gathered whole.
+    Reads with N are left out, as are null ones; each read is used once at most. A component is assembled in one task,
+    whatever its size. Only if ``component_rows`` is given do components of more reads become ``unitigs``, which is another
+    result.
     """
     if k <= 8:
         raise ValueError("the overlap must exceed 8")

@@ -204,3 +204,14 @@ def test_exact_large_component(spark):
     want = sorted((c[0], c[1], c[5]) for c in exact.extended(reads, 25) if c[1] >= 300)
     got = exact.exact_contigs(spark.createDataFrame(reads, SCHEMA), 25)
     assert sorted((r.seed_id, r.len, r.seq) for r in got.collect()) == want
+
+
+def test_contigs_large_component(spark):
+    """Over 50,000 reads in one component, beside those of a branching one: the result of a serial run."""
+    reads = simulated(15)
+    one = [s for *_, s in simulated(16, genomes=1, n=200)]
+    reads += [(i, f"r{i}", one[i % 200]) for i in range(len(reads), 51_000)]
+    want = sorted((c[0], c[1], round(c[2], 6), round(c[3], 6), c[5]) for c in assembly.assemble(reads, 15))
+    got = assembly.contigs(spark.createDataFrame(reads, SCHEMA), 15, min_length=0).collect()
+    assert sorted((r.seed_id, r.len, round(r.cov, 6), round(r.stdev, 6), r.seq) for r in got) == want
+    assert max(c[3] for c in want) > 0
