@@ -25,6 +25,9 @@ BUCKET_ROWS, LEVELS = 2048, 3
 #: Blocks over which the queries of a bucket that could not be split are spread.
 BLOCKS = 32
 
+#: Vectors of one block of the exact search.
+BLOCK_ROWS = 2048
+
 KEYS = "key bigint, id bigint, s1 bigint, s2 bigint"
 
 
@@ -106,9 +109,18 @@ def nearest(df: DataFrame, id: str, vector: str, dim: int, k: int = 5, min_cosin
     others find those directly. An empty table gives no rows. Pairs below ``min_cosine`` are not searched for:
     it sets the sketch screen, and the tables are laid out for close pairs.
     """
+    vectors, index = _indexed(df, id, vector, dim, k)
+    return _close(vectors, index, dim, k, min_cosine, tables, bucket_rows, probes)
+
+
+def _indexed(df: DataFrame, id: str, vector: str, dim: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """All usable vectors, and of each direction the ``k + 1`` lowest ids."""
     vectors = checkpoint(unit_vectors(spread(df.select(id, vector)), id, vector, dim))
     ranked = vectors.withColumn("n", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("n") <= k + 1)
-    index = checkpoint(ranked.select("id", "unit", "cls", "n"))
+    return vectors, checkpoint(ranked.select("id", "unit", "cls", "n"))
+
+
+def _close(vectors: DataFrame, index: DataFrame, dim: int, k: int, min_cosine: float, tables: int, bucket_rows: int, probes: int | None) -> DataFrame:
     rows = index.count()
     m = max(4, math.ceil(math.log2(max(rows, 2)) / 2))
     sets = probe_sets(m, probes or 2 * m)
@@ -124,7 +136,7 @@ def nearest(df: DataFrame, id: str, vector: str, dim: int, k: int = 5, min_cosin
         limit = max(bucket_rows, rows * tables // HOT_KEYS)  # fewer than HOT_KEYS buckets exceed it
         hot = [] if level == LEVELS else sizes.where(F.col("n") > limit).select("key").collect()
         if hot:
-            hot = F.broadcast(df.sparkSession.createDataFrame(hot, "key bigint"))
+            hot = F.broadcast(index.sparkSession.createDataFrame(hot, "key bigint"))
             deep = [side.join(hot, "key", "left_semi").select("key", "id").distinct().join(index.select("id", "unit"), "id").select("id", "unit", "key") for side in (visits, homes)]
             homes, visits = homes.join(hot, "key", "left_anti"), visits.join(hot, "key", "left_anti")
         if level == LEVELS:  # spread what could not be split
@@ -155,3 +167,48 @@ def nearest(df: DataFrame, id: str, vector: str, dim: int, k: int = 5, min_cosin
     scored = scored.unionByName(attach(copies, low, "cls").select("id", "other", F.lit(1.0).alias("cosine")))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
     return scored.withColumn("place", place).where(F.col("place") <= k)
+
+
+def nearest_of_all(df: DataFrame, id: str, vector: str, dim: int, k: int = 5, min_cosine: float = 0.9, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(id, other, cosine, place)``: of every vector the ``k`` most similar others, however far they are.
+
+    What has ``k`` neighbours of at least ``min_cosine`` gets those that ``nearest`` finds. Every other vector is compared
+    with the whole index in blocks, which is exact and takes their number times that of the index.
+    """
+    vectors, index = _indexed(df, id, vector, dim, k)
+    close = checkpoint(_close(vectors, index, dim, k, min_cosine, TABLES, BUCKET_ROWS, None))
+    full = close.where(F.col("place") == k).select("id")
+    open_ = index.join(full, "id", "left_anti")
+    far = _blocks(open_, block_rows, "q").crossJoin(_blocks(index, block_rows, "r")).mapInArrow(_best(dim, k), "id bigint, other bigint, cosine double")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
+    far = far.withColumn("place", place).where(F.col("place") <= k)
+    return close.join(full, "id", "left_semi").unionByName(far)
+
+
+def _blocks(rows: DataFrame, block_rows: int, name: str) -> DataFrame:
+    """Rows of at most about ``block_rows`` ids and their vectors, end to end."""
+    blocks = max(1, math.ceil(rows.count() / block_rows))
+    lists = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("unit")).alias(f"{name}_units"))
+    return checkpoint(lists.drop("block").repartition(blocks))  # few pairs of blocks in an Arrow batch
+
+
+def _best(dim: int, k: int):
+    """The ``k`` most similar rows of a block for each query of another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i) for i in range(4)]
+            for i in range(batch.num_rows):
+                q_ids, q, r_ids, r = (c[i].values.to_numpy(zero_copy_only=False) for c in columns)
+                order = np.argsort(r_ids)  # ties go to the lower id
+                r_ids, r = r_ids[order], r.reshape(-1, dim)[order]
+                cosine = np.round(q.reshape(-1, dim) @ r.T, 9)
+                cosine[q_ids[:, None] == r_ids[None, :]] = -np.inf
+                n = min(k, len(r_ids))
+                top = np.argsort(-cosine, axis=1, kind="stable")[:, :n]
+                found = np.take_along_axis(cosine, top, axis=1).ravel()
+                real = found > -np.inf
+                columns_out = np.repeat(q_ids, n)[real], r_ids[top].ravel()[real], found[real]
+                yield pa.record_batch([pa.array(c) for c in columns_out], ["id", "other", "cosine"])
+
+    return run

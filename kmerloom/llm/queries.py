@@ -43,10 +43,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of at least 0.9 only; ``p5_nearest`` has all."""
     profiles = table(spark, sf_dir, "profiledb")
+    return _named(_neighbors(profiles), profiles)
+
+
+def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = table(spark, sf_dir, "profiledb")
+    return _named(neighbors.nearest_of_all(profiles.where("word_len = 3"), "vec_id", "vector", dim=64, k=5), profiles)
+
+
+def _named(found: DataFrame, profiles: DataFrame) -> DataFrame:
     names = profiles.select("vec_id", "name")
     return (
-        _neighbors(profiles)
+        found
         .join(names.select(F.col("vec_id").alias("id"), "name"), "id")
         .join(names.select(F.col("vec_id").alias("other"), F.col("name").alias("other_name")), "other")
         .select(F.col("id").alias("vec_id"), "name", "place", F.col("other").alias("other_id"), "other_name", F.round("cosine", 4).alias("cosine"))
@@ -88,7 +98,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p2_found, p2_totals, p3_found, p4_found, p5_found, p5_neighbors, p6_found, p6_records, p7_ids, p8_found, p8_clean, p8_cut, p9_found, p9_restored)
+    f.__name__: f for f in (p2_found, p2_totals, p3_found, p4_found, p5_found, p5_neighbors, p5_nearest, p6_found, p6_records, p7_ids, p8_found, p8_clean, p8_cut, p9_found, p9_restored)
 }
 
 _TOTALS = """
@@ -184,6 +194,7 @@ SELECT contig_ord, beg AS beg_pos, fin AS end_pos FROM piece
 """,
     "p5_found": _UNIT + "SELECT DISTINCT least(id, other) AS vec_a, greatest(id, other) AS vec_b FROM top WHERE place <= 5 AND cosine >= 0.9",
     "p5_neighbors": _UNIT + "SELECT id AS vec_id, name, CAST(place AS INT) AS place, other AS other_id, other_name, round(cosine, 4) AS cosine FROM top WHERE place <= 5 AND cosine >= 0.9",
+    "p5_nearest": _UNIT + "SELECT id AS vec_id, name, CAST(place AS INT) AS place, other AS other_id, other_name, round(cosine, 4) AS cosine FROM top WHERE place <= 5",
     "p6_found": _CANON + """, k AS (SELECT canon, min(rec_id) AS keep_id FROM g GROUP BY canon)
 SELECT DISTINCT keep_id, rec_id FROM g JOIN k USING (canon) WHERE keep_id < rec_id""",
     "p6_records": _CANON + """SELECT min(rec_id) AS rec_id, count(*) AS n_copies FROM g GROUP BY canon

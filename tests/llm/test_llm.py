@@ -161,6 +161,17 @@ def test_neighbors_of_copies_and_bad_vectors(spark):
     assert neighbors.nearest(df.limit(0), "vec_id", "v", 16).count() == 0
 
 
+@pytest.mark.parametrize("block", [50, 2048])
+def test_neighbors_however_far(spark, block):
+    rng = np.random.default_rng(3)
+    vectors = dict(enumerate([*rng.normal(size=(150, 16)).tolist(), *[[1.0] * 16] * 9]))
+    df = spark.createDataFrame([(i, v, "x") for i, v in vectors.items()], "vec_id bigint, v array<double>, other string")
+    got = {(r.id, r.other) for r in neighbors.nearest_of_all(df, "vec_id", "v", 16, 5, block_rows=block).collect()}
+    assert got == brute_neighbors(vectors, 5, -1) and len(got) == 5 * len(vectors)
+    few = neighbors.nearest_of_all(df.limit(3), "vec_id", "v", 16, 5)
+    assert few.count() == 6 and neighbors.nearest_of_all(df.limit(0), "vec_id", "v", 16).count() == 0
+
+
 def test_probe_order():
     sets = neighbors.probe_sets(4, 12)
     assert sets[0] == () and sets[1] == (0,) and len(set(sets)) == 12
