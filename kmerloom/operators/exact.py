@@ -30,7 +30,7 @@ _digit[list(b"ACGT")] = range(4)
 class Words:
     """Every word of both strands of the reads, with what follows it; the latest read first.
 
-    The places of all words lie in arrays, sorted by the code of the word: about 30 bytes for each letter of a read. Words
+    The places of all words lie in arrays, sorted by the code of the word. Words
     longer than a code meet by its last letters; what follows a place is compared as a whole in any case.
     """
 
