@@ -1,351 +1,157 @@
-"""Greedy overlap-graph assembly, one connected component at a time.
+"""Assembly by joins: every strand of every read chooses the read that continues it, and mutual choices make paths.
 
-Reads that can ever meet lie in one component (see ``components``), so a component is assembled by itself, its seeds
-in file order, with the result of a serial run over all reads. A component has to fit a task. Unambiguous paths, another
-result, need joins only (see ``unitigs``).
+There is one definition at every size. No component, graph or path is gathered anywhere: overlaps are an equi-join of
+ends and beginnings (see ``ends``), choices are sums and maxima by read, paths are ranked by pointer doubling, and
+the letters that the reads of a path add are put together as the contig that they are.
+
+A read continues a strand if it begins with at least ``k`` letters that end the strand and has more. The ways on
+differ by their next letter. Contigs take the way that most reads go (copies counted), ties in the order A, C, G, T, and on
+it the read with the longest overlap, ties to the lowest read (the highest, where the lowest is the strand's own read). A step
+is taken if the reverse complement of its target chooses the way back over the same overlap. ``unitigs`` and ``exact_contigs``
+take the longest overlap, whatever its next letter.
 """
 
 from __future__ import annotations
 
-import math
-from bisect import bisect_left
-from collections import defaultdict
-from collections.abc import Callable, Iterator
-from itertools import groupby
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
-from .components import components, links
+from ..functions.sequence import revcomp
+from ..session import checkpoint, spread
 from .contigs import MIN_LENGTH, with_gc
+from .ends import beginnings, same_read, tails
 from .kmers import indexable
 
-#: Fixed value: vertices at which the graph is cut down to its front.
-WINDOW = 1000
-
-BASES = "ACGT"
-FORWARD, TRIED, SOLID = 0, 2, 3
-CONTIG = "seed_id bigint, len int, cov double, stdev double, seed string, seq string"
-NAMES = ["seed_id", "len", "cov", "stdev", "seed", "seq"]
-TYPES = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.string()]
-_turn = str.maketrans(BASES, BASES[::-1])
-
-
-def turned(seq: str) -> str:
-    return seq.translate(_turn)[::-1]
-
-
-class Pool:
-    """The reads of a component by the first ``k`` letters of either strand; fetching consumes."""
-
-    def __init__(self, reads: list[tuple[int, str, str]], k: int):
-        self.reads, self.k, self.used = reads, k, [False] * len(reads)
-        self.booked = [False] * len(reads)
-        index = defaultdict(list)
-        for i, (_, _, seq) in enumerate(reads):
-            for strand in (seq, turned(seq)):
-                index[strand[:k]].append((i, strand))
-        self.index = {word: found[::-1] for word, found in index.items()}  # the latest posting comes first
-
-    def fetch(self, query: str, last: int, compare: int | None) -> Iterator[tuple[str, str, int]]:
-        """``(name, oriented, offset)`` of unused reads whose beginning stands in the query, offsets up to ``last``.
-
-        ``compare`` letters must agree, or all that both have if it is None.
-        """
-        for offset in range(last + 1):
-            for i, oriented in self.index.get(query[offset : offset + self.k], ()):
-                if self.used[i]:
-                    continue
-                n = min(len(query) - offset, len(oriented), compare or len(oriented))
-                if query.startswith(oriented[:n], offset):
-                    self.used[i] = True
-                    yield self.reads[i][1], oriented, offset
-
-    def overlapping(self, query: str) -> list[tuple[str, str, int]]:
-        return [*self.fetch(query, len(query) - self.k, None)]
-
-    def prefixed(self, query: str) -> list[tuple[str, str, int]]:
-        return [*self.fetch(query, len(query) - self.k - 1, self.k)]
-
-
-class Vertex:
-    __slots__ = ("name", "seq", "offset", "count", "state", "out")
-
-    def __init__(self, name: str | None, seq: str | None, offset: int):
-        self.name, self.seq, self.offset, self.count, self.state = name, seq, offset, 1, FORWARD
-        self.out: dict[str, list] = {}  # by first letter: [letters, weight, vertex]
-
-    def heaviest(self) -> list | None:
-        return max((self.out[b] for b in BASES if b in self.out), key=lambda e: e[1], default=None)
-
-
-class Graph:
-    """Reads laid out by offset; each edge spells what its target adds."""
-
-    def __init__(self, k: int, first: Vertex | None = None):
-        self.k, self.size, self.line, self.members = k, 0, [], set()
-        if first:
-            self._keep(first)
-
-    def _keep(self, v: Vertex) -> None:
-        if id(v) in self.members:
-            return
-        self.members.add(id(v))
-        self.size += 1
-        if v.seq is not None:  # after all others of the same offset
-            self.line.insert(bisect_left(self.line, v.offset + 1, key=lambda u: u.offset), v)
-
-    def add_all(self, matches: list[tuple[str, str, int]], base: int) -> None:
-        for name, seq, offset in sorted(matches, key=lambda m: m[2]):
-            v = Vertex(name, seq, base + offset)
-            if self.line:
-                self._place(v)
-            else:
-                self._keep(v)
-
-    def _place(self, v: Vertex) -> None:
-        """Hang ``v`` behind every earlier read that it continues, along branches not yet passed."""
-        size, passed = len(v.seq), set()
-        at = bisect_left(self.line, max(v.offset - size + self.k, 0), key=lambda u: u.offset)
-        while at < len(self.line) and self.line[at] is not v and self.line[at].offset <= v.offset:
-            u, at = self.line[at], at + 1
-            ahead = v.offset - u.offset
-            if id(u) in passed or u.seq[ahead:] != v.seq[: size - ahead]:
-                continue
-            passed.add(id(u))
-            u, edge, rest = self._walk(u, v.seq[size - ahead :], passed)
-            if u is None:
-                continue
-            if not rest:
-                u.count += 1  # the same read again
-                return
-            if edge is None:
-                u.out[rest[0]] = [rest, 1.0, v]
-                self._keep(v)
-            else:
-                self._split(edge, rest, v)
-
-    @staticmethod
-    def _walk(u: Vertex, rest: str, passed: set) -> tuple[Vertex | None, list | None, str]:
-        """Follow ``rest`` from ``u`` along whole edges: where it ends, the edge that it shares in part, what is left.
-
-        No vertex if the way joins a branch that was passed before.
-        """
-        while rest:
-            edge = u.out.get(rest[0])
-            if edge is None or not rest.startswith(edge[0]):
-                return u, edge, rest
-            edge[1] += 1.0
-            rest, u = rest[len(edge[0]) :], edge[2]
-            if id(u) in passed:
-                return None, None, rest
-            if rest:
-                passed.add(id(u))
-        return u, None, rest
-
-    def _split(self, edge: list, rest: str, v: Vertex) -> None:
-        """Cut an edge where ``rest`` leaves it, or ends."""
-        letters, weight, target = edge
-        same = next((i for i, (a, b) in enumerate(zip(letters, rest)) if a != b), len(rest))
-        middle = Vertex(None, None, 0) if same < len(rest) else v
-        beyond = middle.out.get(letters[same])
-        if beyond is None:
-            middle.out[letters[same]] = [letters[same:], weight, target]
-        else:
-            beyond[1] += weight
-        middle.state = target.state
-        edge[:] = [letters[:same], weight + 1.0, middle]
-        if middle is not v:
-            middle.out[rest[same]] = [rest[same:], 1.0, v]
-            self._keep(v)
-        self._keep(middle)
-
-    def explore(self, v: Vertex) -> str:
-        """Letters along the heaviest edges, marking the way as tried."""
-        letters = []
-        while True:
-            v.state |= TRIED
-            edge = v.heaviest()
-            if edge is None:
-                return "".join(letters)
-            letters.append(edge[0])
-            v = edge[2]
-
-    def extend(self, v: Vertex) -> tuple[Vertex, bool]:
-        """Make the tried way along the heaviest edges solid; its last read, and whether there was a step."""
-        last, moved = v, False
-        while v.state & TRIED:
-            v.state = SOLID
-            if v.name is not None:
-                last = v
-            edge = v.heaviest()
-            if edge is None:
-                break
-            v, moved = edge[2], True
-        return last, moved
-
-    def spell(self, v: Vertex) -> tuple[str, float, float]:
-        """Letters along solid vertices, and the sums of weight and squared weight over them."""
-        letters, w, w2 = [], 0.0, 0.0
-        while True:
-            edge = next((v.out[b] for b in BASES if b in v.out and v.out[b][2].state == SOLID), None)
-            if edge is None:
-                return "".join(letters), w, w2
-            letters.append(edge[0])
-            w += len(edge[0]) * edge[1]
-            w2 += len(edge[0]) * edge[1] ** 2
-            v = edge[2]
-
-
-def elongate(pool: Pool, graph: Graph, seed: Vertex) -> tuple[str, float, float]:
-    """Extend from ``seed`` as far as it goes; what was added, with the sums of its weights."""
-    done, front, moved = ["", 0.0, 0.0], seed, True
-
-    def reap() -> None:
-        for i, x in enumerate(graph.spell(seed)):
-            done[i] += x
-
-    while moved:
-        way = graph.explore(front)
-        if not way:
-            break
-        if graph.size >= WINDOW:  # keep the front alone
-            front, _ = graph.extend(front)
-            reap()
-            kept = Vertex(None, front.seq, 0)
-            kept.count, kept.state = front.count, SOLID
-            graph, seed, front = Graph(graph.k, kept), kept, kept
-            graph.add_all(pool.overlapping(front.seq[1:]), 1)
-            way = graph.explore(front)
-        reach = len(front.seq) - graph.k + 1
-        graph.add_all(pool.prefixed(front.seq[reach:] + way), front.offset + reach)
-        front, moved = graph.extend(front)
-    reap()
-    return tuple(done)
-
-
-def assemble(reads: list[tuple[int, str, str]], k: int) -> list[tuple]:
-    """``(seed_id, len, cov, stdev, seed, seq)`` of every contig of ``(id, name, seq)`` reads, in file order.
-
-    Reads have one length and no N. Each seed is extended forward, then its reverse complement; coverage is the mean
-    weight of the edges over the letters, the seed counting as often as its read occurs.
+CONTIG = ["seed_id", "len", "cov", "stdev", "seed", "seq"]
+
+
+def usable(reads: DataFrame, k: int) -> DataFrame:
+    """Reads that take part: with an id, without N, of ``k`` letters at least."""
+    if k <= 8:
+        raise ValueError("the overlap must exceed 8")
+    return indexable(reads.select("read_id", "name", "seq")).where((F.length("seq") >= k) & F.col("read_id").isNotNull())
+
+
+def distinct_reads(reads: DataFrame) -> DataFrame:
+    """``(id, occr, read_id, name, seq)``: reads that are equal on either strand as one, in file order.
+
+    The first of them gives name and strand. ``id`` is made while they are written in order of ``read_id``, which may be of any
+    type that has an order; it is unique whatever the ids look like.
     """
-    pool, contigs = Pool(reads, k), []
-    for i, (read_id, _, seq) in enumerate(reads):
-        if pool.used[i] or pool.booked[i]:
-            continue
-        pool.booked[i] = True
-        graph = Graph(k)
-        graph.add_all(pool.overlapping(seq), 0)
-        if not graph.line or graph.line[0].offset:
-            continue
-        start = graph.line[0]  # with exact matches there is one vertex at offset 0
-        start.state = SOLID
-        name, weight = start.name, start.count
-        forward, w, w2 = elongate(pool, graph, start)
-        back_seed = Vertex(name, turned(seq), 0)
-        graph = Graph(k, back_seed)
-        graph.add_all(pool.overlapping(back_seed.seq), 0)
-        back_seed.state = SOLID
-        back, bw, bw2 = elongate(pool, graph, back_seed)
-        contig = turned(back) + seq + forward
-        mean = (weight * len(seq) + w + bw) / len(contig)
-        square = (weight * weight * len(seq) + w2 + bw2) / len(contig)
-        contigs.append((read_id, len(contig), mean, math.sqrt(max(0.0, square - mean * mean)), name, contig))
-    return contigs
-
-
-def by_component(plain: DataFrame, edges: DataFrame, work: Callable[[list[tuple]], list[tuple]], size: Column, limit: int | None, k: int) -> DataFrame:
-    """Contigs that ``work`` makes of each component's reads in file order.
-
-    With a ``limit``, components of more than that become ``unitigs`` and reach no task whole; ``size`` is an aggregate over
-    the reads of a component.
+    either = F.least("seq", revcomp(F.col("seq")))
+    once = reads.groupBy(either.alias("either")).agg(F.count(F.lit(1)).alias("occr"), F.min(F.struct("read_id", "name", (F.col("seq") != either).alias("back"))).alias("first"))
+    rows = once.select("occr", F.col("first.read_id").alias("read_id"), F.col("first.name").alias("name"), F.when(F.col("first.back"), revcomp(F.col("either"))).otherwise(F.col("either")).alias("seq"))
+    return checkpoint(rows.orderBy("read_id").withColumn("id", F.monotonically_increasing_id()))
+
+
+def strands(once: DataFrame) -> DataFrame:
+    """``(node, occr, seq)``: both strands of each read; a node is twice the read's id, and one more for its reverse complement."""
+    both = F.array(F.struct(F.lit(0).alias("turned"), F.col("seq").alias("oriented")), F.struct(F.lit(1).alias("turned"), revcomp(F.col("seq")).alias("oriented")))
+    return once.select("id", "occr", F.inline(both)).select((F.col("id") * 2 + F.col("turned")).alias("node"), "occr", F.col("oriented").alias("seq"))
+
+
+def choices(nodes: DataFrame, k: int, by_letter: bool) -> DataFrame:
+    """``(node, next, ovl, weight)``: how each strand goes on, and the number of reads that go that way.
+
+    ``by_letter`` weighs the next letters against each other; otherwise all continuing reads are one way. Beginnings are
+    added up by key, so an end meets one row for each next letter, and a key that a third of all ends share is
+    split by the adaptive join without copying more than these. No key is heavy on the added-up side, which is hashed.
     """
-    comps = components(plain.select(F.col("read_id").alias("id")), edges)
-    placed = checkpoint(plain.join(comps, plain["read_id"] == comps["id"]).select("comp", "read_id", "name", "seq"))
+    letter = F.col("base") if by_letter else F.lit(0).cast("smallint")
+    index = beginnings(nodes, k).groupBy("h", "g", "n", letter.alias("base")).agg(F.sum("occr").alias("reads"), F.min("node").alias("low"), F.max("node").alias("high"))
+    other = F.when(~same_read(F.col("node"), F.col("low")), F.col("low")).when(~same_read(F.col("node"), F.col("high")), F.col("high"))
+    met = tails(nodes, k).join(index.hint("shuffle_hash"), ["h", "g", "n"]).withColumn("next", other).where(F.col("next").isNotNull())
+    ways = met.groupBy("node", "base").agg(F.sum("reads").alias("weight"), F.max("n").alias("ovl"), F.max_by("next", "n").alias("next"))
+    best = ways.groupBy("node").agg(F.max(F.struct("weight", (-F.col("base")).alias("order"), "ovl", "next")).alias("b"))
+    return best.select("node", "b.next", "b.ovl", "b.weight")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4))))
-        for _, group in groupby(rows, key=lambda row: row[0]):
-            found = work([row[1:] for row in group])
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found), TYPES)], NAMES) if found else pa.record_batch([pa.array([], t) for t in TYPES], NAMES)
 
-    def assembled(rows: DataFrame) -> DataFrame:
-        return rows.repartition("comp").sortWithinPartitions("comp", "read_id").mapInArrow(run, CONTIG)
+def mutual(chosen: DataFrame) -> DataFrame:
+    """The choices that the other strand makes as well: at most one into and one out of each node."""
+    back = chosen.select(F.col("next").bitwiseXOR(1).alias("node"), F.col("node").bitwiseXOR(1).alias("next"), "ovl")
+    return chosen.join(back, ["node", "next", "ovl"], "left_semi")
 
-    if limit is None:
-        return assembled(placed)
-    large = placed.groupBy("comp").agg(size.alias("n")).where(F.col("n") > limit).select("comp")
-    small, rest = assembled(placed.join(large, "comp", "left_anti")), placed.join(large, "comp", "left_semi").select("read_id", "name", "seq")
-    return small if rest.isEmpty() else small.unionByName(unitigs(rest, k))
 
+def ranked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node, head, place)``: the first node of each node's path and the steps from it; closed paths begin at their least node.
 
-def contigs(reads: DataFrame, k: int = 25, min_length: int = MIN_LENGTH, component_rows: int | None = None) -> DataFrame:
+    Pointer doubling: a path of n nodes takes log n rounds, in which only unfinished nodes look anything up. A round that
+    finishes no node and lowers no minimum has left closed paths alone, which are opened and ranked in the same way.
+    """
+    before = edges.select(F.col("next").alias("node"), F.col("node").alias("head"))
+    first = F.col("head").isNull()
+    at = checkpoint(nodes.select("node").join(before, "node", "left").select(
+        "node", F.coalesce("head", "node").alias("head"), F.when(first, 0).otherwise(1).cast("bigint").alias("place"), F.least("node", "head").alias("low"), first.alias("done"),
+    ))
+    state = None
+    while True:
+        waiting = at.where("not done")
+        now = waiting.agg(F.count(F.lit(1)), F.sum(F.col("low").cast("decimal(38,0)"))).first()
+        if now[0] == 0 or now == state:
+            break
+        state = now
+        up = at.select(F.col("node").alias("head"), F.col("head").alias("head_2"), F.col("place").alias("place_2"), F.col("low").alias("low_2"), F.col("done").alias("done_2"))
+        moved = waiting.join(up, "head").select("node", F.col("head_2").alias("head"), (F.col("place") + F.col("place_2")).alias("place"), F.least("low", "low_2").alias("low"), F.col("done_2").alias("done"))
+        at = checkpoint(at.where("done").unionByName(moved))
+    open_paths = at.where("done").select("node", "head", "place")
+    if now[0] == 0:
+        return open_paths
+    ring = waiting.select("node", "low")
+    cut = edges.join(ring.select("node").where("node = low"), edges["next"] == ring["node"], "left_anti")
+    return open_paths.unionByName(ranked(ring, cut.join(ring.select("node"), "node", "left_semi")))
+
+
+def assembled(once: DataFrame, k: int, by_letter: bool) -> DataFrame:
+    """``(seed_id, len, cov, stdev, seed, seq)`` of the paths of distinct reads.
+
+    Of the two strands of a path the one on which its lowest read, the seed, stands as stored is kept. The letters that a step
+    adds weigh as many reads as go that way, those of the first read as many as its copies; coverage is the mean of
+    the weights over the letters, with its population deviation (C7 to C9).
+    """
+    nodes = strands(spread(once))
+    edges = checkpoint(mutual(choices(nodes, k, by_letter)))
+    at = checkpoint(ranked(nodes, edges))
+    seeds = at.groupBy("head").agg(F.min("node").alias("seed_node")).where(F.col("seed_node") % 2 == 0)
+    into = edges.select(F.col("next").alias("node"), "ovl", "weight")
+    kept = at.join(seeds, "head").join(into, "node", "left").join(nodes, "node")
+    added = kept.select(
+        "head", "seed_node", "place", F.substr("seq", F.when(F.col("place") > 0, F.col("ovl")).otherwise(0) + 1, F.length("seq")).alias("letters"),
+        F.when(F.col("place") > 0, F.col("weight")).otherwise(F.col("occr")).cast("double").alias("w"),
+    )
+    n = F.length("letters")
+    paths = added.groupBy("head").agg(  # the letters of one path are one contig
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "letters"))), lambda p: p["letters"]), "").alias("seq"),
+        F.sum(n * F.col("w")).alias("w"), F.sum(n * F.col("w") * F.col("w")).alias("w2"), F.min("seed_node").alias("seed_node"),
+    )
+    mean = F.col("w") / F.length("seq")
+    deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("w2") / F.length("seq") - mean * mean))
+    rows = paths.select(F.shiftright("seed_node", 1).alias("id"), F.length("seq").alias("len"), mean.alias("cov"), deviation.alias("stdev"), "seq")
+    return rows.join(once.select("id", F.col("read_id").alias("seed_id"), F.col("name").alias("seed")), "id").select(*CONTIG)
+
+
+def contigs(reads: DataFrame, k: int = 25, min_length: int = MIN_LENGTH) -> DataFrame:
     """``(seed_id, len, cov, stdev, gc, seed, seq)`` of contigs longer than ``min_length``, from ``(read_id, name, seq)``
-    reads of one length (A1 to A13, V27, C8, C9, F4).
+    reads of one length (A1 to A13, V27, C7 to C9, T4, F4).
 
-    Reads with N are left out, as are null ones; each read is used once at most. A component is assembled in one task,
-    whatever its size. Only if ``component_rows`` is given do components of more reads become ``unitigs``, which is another
-    result.
+    Reads with N, shorter than ``k`` or null, and those without an id are left out; each other read stands in one contig. ``read_id`` may be a
+    struct; its order is that of the file. An empty table gives no rows, and other columns play no part.
     """
-    if k <= 8:
-        raise ValueError("the overlap must exceed 8")
-    plain = indexable(reads.select("read_id", "name", "seq")).where((F.length("seq") >= k) & F.col("read_id").isNotNull())
-    found = by_component(plain, links(plain, k), lambda group: assemble(group, k), F.count(F.lit(1)), component_rows, k)
+    found = assembled(distinct_reads(usable(reads, k)), k, by_letter=True)
     return with_gc(found.where(F.col("len") > min_length)).select("seed_id", "len", "cov", "stdev", "gc", "seed", "seq")
 
 
 def unitigs(reads: DataFrame, k: int) -> DataFrame:
-    """Contigs along mutual best overlaps, in the columns of ``contigs`` without ``gc``; coverage is reads over letters.
+    """Contigs of any length along longest overlaps, in the columns of ``contigs`` without ``gc``."""
+    return assembled(distinct_reads(usable(reads, k)), k, by_letter=False)
+
 
-    Every strand of every different read looks for its longest successor; where two choose each other they are joined.
-    Paths are ranked by pointer doubling, so a path of n reads takes log n joins. Of the two strands of a path the one
-    with the lower seed is kept. Closed paths are opened at their least strand.
+def numbered(contigs: DataFrame, rank: int = 0) -> DataFrame:
+    """Adds ``contig_id``, ``Contig_<rank>_<i>`` with ``i`` counting from 0 in the order of the seeds (O1).
+
+    The rows are sorted in ranges; only the number of rows in each range is put in sequence.
     """
-    once = reads.groupBy("seq").agg(F.min("read_id").alias("read_id"), F.min_by("name", "read_id").alias("name"), F.count(F.lit(1)).alias("occr"))
-    one = F.least("seq", F.reverse(F.translate("seq", BASES, BASES[::-1])))
-    once = once.withColumn("either", one).withColumn("n", F.row_number().over(Window.partitionBy("either").orderBy("read_id"))).where("n = 1")
-    fwd = once.select((F.col("read_id") * 2).alias("id"), "seq")
-    strands = checkpoint(fwd.unionByName(once.select((F.col("read_id") * 2 + 1).alias("id"), F.reverse(F.translate("seq", BASES, BASES[::-1])).alias("seq"))))
-    word = F.transform(F.sequence(F.lit(1), F.length("seq") - k), lambda i: F.struct(i.alias("pos"), F.substr("seq", i + 1, F.lit(k)).alias("word")))
-    left = strands.where(F.length("seq") > k).select("id", "seq", F.inline(word)).select("id", "word", F.substr("seq", F.col("pos") + 1, F.length("seq")).alias("tail"))
-    right = strands.select(F.col("id").alias("next"), F.substring("seq", 1, k).alias("word"), F.col("seq").alias("next_seq"))
-    pairs = left.join(right, "word").where((F.shiftright("id", 1) != F.shiftright("next", 1)) & F.col("next_seq").startswith(F.col("tail"))).select("id", "next", F.length("tail").alias("ovl"))
-    best = pairs.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("ovl"), "next"))).where("n = 1").select("id", "next", "ovl")
-    other = best.select(F.col("next").bitwiseXOR(1).alias("id"), F.col("id").bitwiseXOR(1).alias("next"))  # the same step on the other strand
-    mutual = best.join(other, ["id", "next"], "left_semi")
-    mutual = checkpoint(mutual)
-    comps = components(strands.select("id"), mutual.select(F.col("id").alias("a"), F.col("next").alias("b")))
-    begins = strands.select("id").join(mutual.select(F.col("next").alias("id")), "id", "left_anti")
-    open_paths = comps.join(begins, "id", "left_semi").select("comp")
-    cuts = comps.join(open_paths, "comp", "left_anti").where("id = comp").select(F.col("id").alias("next"))
-    edges = checkpoint(mutual.join(cuts, "next", "left_anti").select("id", "next", "ovl"))
-    return _spell(strands, once, _ranked(strands, edges), edges)
-
-
-def _ranked(strands: DataFrame, edges: DataFrame) -> DataFrame:
-    at = strands.select("id").join(edges.select(F.col("next").alias("id"), F.col("id").alias("before")), "id", "left").select(
-        "id", F.coalesce("before", "id").alias("head"), F.when(F.col("before").isNull(), 0).otherwise(1).alias("rank")
-    )
-    while True:
-        up = at.select(F.col("id").alias("head"), F.col("head").alias("head2"), F.col("rank").alias("rank2"))
-        moved = checkpoint(at.join(up, "head").select("id", F.col("head2").alias("head"), (F.col("rank") + F.col("rank2")).alias("rank"), (F.col("head") != F.col("head2")).alias("moved")))
-        if moved.where("moved").isEmpty():
-            return moved.select("id", "head", "rank")
-        at = moved.select("id", "head", "rank")
-
-
-def _spell(strands: DataFrame, once: DataFrame, ranked: DataFrame, edges: DataFrame) -> DataFrame:
-    ext = edges.select(F.col("next").alias("id"), "ovl")
-    parts = strands.join(ranked, "id").join(ext, "id", "left").join(once.select((F.col("read_id")).alias("read"), "name", "occr"), F.shiftright("id", 1) == F.col("read"))
-    # the letters of one path are one contig, whatever it takes
-    paths = parts.groupBy("head").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.substr("seq", F.coalesce("ovl", F.lit(0)) + 1, F.length("seq")).alias("t")))), lambda p: p["t"]), "").alias("seq"),
-        F.sum(F.col("occr") * F.length("seq")).alias("w"),
-        F.min(F.struct("read", (F.col("id") % 2).alias("turned"), "name")).alias("seed"),
-    )
-    return paths.where("seed.turned = 0").select(
-        F.col("seed.read").alias("seed_id"), F.length("seq").alias("len"), (F.col("w") / F.length("seq")).alias("cov"), F.lit(0.0).alias("stdev"), F.col("seed.name").alias("seed"), "seq"
-    )
+    rows = checkpoint(contigs.orderBy("seed_id").withColumn("range", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id() % (1 << 33)))
+    order = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sizes = rows.groupBy("range").agg(F.count(F.lit(1)).alias("size")).withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    i = F.col("before") + F.col("place")
+    return rows.join(F.broadcast(sizes), "range").withColumn("contig_id", F.format_string(f"Contig_{rank}_%d", i)).select("contig_id", *contigs.columns)

@@ -6,31 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import revcomp
-from ..session import checkpoint
-from .kmers import end_kmers, indexable, kmers, slide
+from ..session import checkpoint, spread
+from .assembly import distinct_reads, usable
+from .kmers import end_kmers, indexable, slide
 
 
 def links(reads: DataFrame, k: int) -> DataFrame:
     """``(a, b)``: each read with a representative of every k-mer that it shares and that begins some read.
 
-    Reads that hold a k-mer are linked to the lowest read whose prefix it is, on either strand: a star for each k-mer,
-    never all pairs, however many reads share it. Components are those of the full relation.
+    Reads that hold a k-mer are linked to the lowest read that begins with it, on either strand: a star for each k-mer,
+    never all pairs, however many reads share it. A k-mer and its reverse complement are one; components are those of the
+    full relation.
     """
-    hubs = end_kmers(reads, k).groupBy("kmer").agg(F.min("read_id").alias("b"))
-    held = kmers(reads, k).select(F.col("read_id").alias("a"), "kmer")
+    either = lambda c: F.least(c, revcomp(F.col(c))).alias("kmer")
+    hubs = end_kmers(reads, k).select("read_id", either("kmer")).groupBy("kmer").agg(F.min("read_id").alias("b"))
+    held = slide(indexable(reads.select("read_id", "seq")), k).select(F.col("read_id").alias("a"), either("kmer"))
     return held.join(hubs, "kmer").where("a <> b").select("a", "b").distinct()
 
 
-def shared_words(reads: DataFrame, k: int) -> DataFrame:
-    """``(a, b)``: each read without N with the lowest read that holds one of its k-mers, on either strand.
-
-    The words of a read and of its reverse complement are told by the lesser of the two, so each is made once.
-    """
-    words = slide(indexable(reads.select("read_id", "seq")), k).select("read_id", F.least("kmer", revcomp(F.col("kmer"))).alias("kmer"))
-    hubs = words.groupBy("kmer").agg(F.min("read_id").alias("b"))
-    return words.join(hubs, "kmer").where("read_id <> b").select(F.col("read_id").alias("a"), "b").distinct()
-
-
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(id, comp)``: every node with the least node of its component.
 
@@ -59,6 +52,14 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
 
 
 def overlap_components(reads: DataFrame, k: int) -> DataFrame:
-    """``(id, comp)`` of all reads without N that have a k-mer."""
-    plain = reads.where(~F.col("seq").contains("N") & (F.length("seq") >= k))
-    return components(plain.select(F.col("read_id").alias("id")), links(plain, k))
+    """``(id, comp)`` of all reads without N that have a k-mer: every read with the lowest one of its component.
+
+    Reads that are equal on either strand are one node. ``read_id`` may be of any type that has an order.
+    """
+    plain = usable(reads.select("read_id", F.lit(None).cast("string").alias("name"), "seq"), k)
+    once = distinct_reads(plain)
+    nodes = spread(once.select(F.col("id").alias("read_id"), "seq"))
+    found = components(once.select("id"), links(nodes, k))
+    named = found.join(once.select("id", "seq"), "id").join(once.select(F.col("id").alias("comp"), F.col("read_id").alias("lowest")), "comp")
+    either = lambda c: F.least(c, revcomp(F.col(c))).alias("either")
+    return plain.select(F.col("read_id").alias("id"), either("seq")).join(named.select(either("seq"), F.col("lowest").alias("comp")), "either").select("id", "comp")

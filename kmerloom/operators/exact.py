@@ -1,144 +1,46 @@
-"""Greedy extension by any read that agrees with the end of a contig, one connected component at a time.
-
-Unlike the overlap graph there is no choice between ways on: the first read that adds letters is appended. Reads of any
-length take part, and a read may lengthen several contigs; one that did is no seed any more.
-"""
+"""Contigs of reads of any length by exact overlaps: reads within others are dropped, the rest joined."""
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .assembly import by_component, turned
-from .components import shared_words
+from ..functions.sequence import revcomp
+from ..session import checkpoint, spread
+from .assembly import assembled, distinct_reads, usable
 from .contigs import TIERS, tier
-from .kmers import indexable
-
-#: Letters that one stretch of extension adds at most, how far before its beginning words count as seen,
-#: and the longest contig.
-STRETCH, LOOK_BACK, LONGEST = 4000, 1000, 10_000_000
-#: Letters that a 64-bit code holds, and places of a word that are looked through one by one.
-CODED, FEW = 32, 64
-
-_digit = np.zeros(256, np.uint8)
-_digit[list(b"ACGT")] = range(4)
+from .kmers import slide
 
 
-class Words:
-    """Every word of both strands of the reads, with what follows it; the latest read first.
+def outermost(once: DataFrame, k: int) -> DataFrame:
+    """Distinct reads that occur within no longer one, on either strand.
 
-    The places of all words lie in arrays, sorted by the code of the word. Words
-    longer than a code meet by its last letters; what follows a place is compared as a whole in any case.
+    Each read looks for hosts by the rarest of its k-mers, so that a k-mer of many reads makes no candidates
+    unless a read has no other. K-mers travel without sequences; those of the two reads are compared once for each place.
     """
-
-    def __init__(self, seqs: list[str], k: int):
-        strands = [o for s in seqs for o in (s, turned(s))]
-        self.k, self.text, self.used = k, "".join(strands), [False] * len(seqs)
-        self.letters = np.frombuffer(self.text.encode(), np.uint8)
-        sizes = np.fromiter(map(len, strands), np.int64, len(strands))
-        ends = sizes.cumsum()
-        self.begins = (ends - sizes).tolist()
-        codes, left = self._codes(self.letters), (np.repeat(ends, sizes) - np.arange(len(self.text))).astype(np.int32)
-        whole = np.flatnonzero(left[: len(codes)] >= k)
-        codes = codes[whole]
-        order = np.argsort(codes, kind="stable")
-        self.places = whole[order]
-        codes, self.left = codes[order], left[self.places]
-        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)])
-        self.codes, self.groups = codes[first], np.append(first, len(codes))
-        self.longest = np.maximum.reduceat(self.left, first) if len(first) else self.left
-
-    def _codes(self, letters: np.ndarray) -> np.ndarray:
-        n = max(len(letters) - self.k + 1, 0)
-        digits, codes = _digit[letters], np.zeros(n, np.uint64)
-        for j in range(self.k):
-            codes <<= np.uint64(2)
-            codes |= digits[j : j + n]
-        return codes
-
-    def bounds(self, seq: str) -> list[tuple[int, int, int]]:
-        """Where the places of each word of ``seq`` begin and end, and the most letters from one of them on."""
-        group = np.searchsorted(self.codes, self._codes(np.frombuffer(seq.encode(), np.uint8)))
-        return list(zip(self.groups[group].tolist(), self.groups[group + 1].tolist(), self.longest[group].tolist()))
-
-    def lengthen(self, seq: str, at: int, low: int, high: int) -> str:
-        """``seq`` with what the reads holding its word at ``at`` add, each after the one before."""
-        places, left, same = self.places[low:high], self.left[low:high], self.k if self.k <= CODED else 0
-        while len(places) > FEW:  # keep those that agree and have more, then take the latest
-            rest = len(seq) - at
-            tail = np.frombuffer(seq[at:].encode(), np.uint8)
-            keep = left > rest
-            for j in range(rest - 1, same - 1, -1):
-                places, left = places[keep], left[keep]
-                if len(places) <= FEW:
-                    break
-                keep = self.letters[places + j] == tail[j]
-            else:
-                places, left, same = places[keep], left[keep], rest
-                if len(places) > FEW:
-                    seq = self._append(seq, at, int(places[-1]), int(left[-1]))
-                    places, left = places[:-1], left[:-1]
-        for place, n in zip(places[::-1].tolist(), left[::-1].tolist()):
-            seq = self._append(seq, at, place, n)
-        return seq
-
-    def _append(self, seq: str, at: int, place: int, n: int) -> str:
-        rest = len(seq) - at
-        if n > rest and len(seq) < LONGEST and self.text.startswith(seq[at:], place):
-            seq += self.text[place + rest : place + n]
-            self.used[(bisect_right(self.begins, place) - 1) // 2] = True
-        return seq
-
-    def extend(self, seq: str, start: int) -> tuple[str, int]:
-        """``seq`` as far as it goes, and where the last stretch began.
-
-        A stretch ends at a word seen in it or shortly before it, which is a loop; the next one begins as many letters
-        further as it added.
-        """
-        bounds = self.bounds(seq)
-        while True:
-            size, at = len(seq), min(start, max(len(seq) - self.k, 0))
-            seen = {seq[p : p + self.k] for p in range(max(0, start - LOOK_BACK), at)}
-            while at + self.k <= len(seq) < min(size + STRETCH, LONGEST):
-                word = seq[at : at + self.k]
-                if word in seen:
-                    break
-                seen.add(word)
-                low, high, longest = bounds[at]
-                if longest > len(seq) - at:
-                    seq = self.lengthen(seq, at, low, high)
-                if len(seq) - self.k >= len(bounds):
-                    bounds += self.bounds(seq[len(bounds) :])
-                at += 1
-            if len(seq) == size:
-                return seq, start
-            start += len(seq) - size
-
-
-def extended(reads: list[tuple[int, str, str]], k: int) -> list[tuple]:
-    """``(seed_id, len, cov, stdev, seed, seq)`` of every seed of ``(id, name, seq)`` reads in file order, without coverage."""
-    words, contigs = Words([seq for *_, seq in reads], k), []
-    for i, (read_id, name, seq) in enumerate(reads):
-        if words.used[i]:
-            continue
-        seq, start = words.extend(seq, 1)
-        seq, _ = words.extend(turned(seq), start)
-        words.used[i] = True
-        contigs.append((read_id, len(seq), None, None, name, seq))
-    return contigs
-
-
-def exact_contigs(reads: DataFrame, k: int = 25, min_length: int = TIERS[0], component_letters: int | None = None) -> DataFrame:
-    """``(seed_id, len, tier, seed, seq)`` of contigs of at least ``min_length`` letters, from ``(read_id, name, seq)`` reads
-    (A14, O7); the contig is the reverse complement of its seed's strand.
-
-    Reads with N, null ones and those shorter than ``k`` are left out; an empty table gives no rows. Every word of a contig
-    is one of a read's, so a component by shared words is extended by itself, in one task whatever its size. Only if
-    ``component_letters`` is given do components of more letters become ``unitigs``, which is another result.
+    back = revcomp(F.col("kmer"))
+    word = F.xxhash64(F.least(F.col("kmer"), back))
+    sides = F.when(F.col("kmer") == back, 2).otherwise((F.col("kmer") < back).cast("int"))  # 2: the same on both strands
+    words = slide(spread(once).select("id", "seq", F.length("seq").alias("size")), k).select("id", "size", "pos", word.alias("word"), sides.alias("side"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = words.join(counts, "word").groupBy("id").agg(F.min(F.struct("n", "word", "pos", "side", "size")).alias("w")).where("w.n > 1")
+    asked = rarest.select("id", "w.word", F.col("w.pos").alias("at"), F.col("w.side").alias("asked"), F.col("w.size").alias("inner"))
+    hosts = words.select(F.col("id").alias("host"), "word", "pos", "side", "size")
+    strand = F.when(F.col("side") == 2, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.col("side") == F.col("asked")))
+    met = asked.join(hosts, "word").where("size > inner").withColumn("same", F.explode(strand))
+    begin = F.when(F.col("same"), F.col("pos") - F.col("at")).otherwise(F.col("pos") - (F.col("inner") - F.col("at") - k))
+    met = met.withColumn("begin", begin).where("begin >= 0 and begin + inner <= size").select("id", "host", "inner", "same", "begin")
+    text = once.select("id", "seq")
+    placed = met.join(text.select(F.col("id").alias("host"), F.col("seq").alias("outer_seq")), "host").select("id", "same", F.substr("outer_seq", F.col("begin") + 1, F.col("inner")).alias("part"))
+    within = placed.join(text, "id").where(F.col("part") == F.when(F.col("same"), F.col("seq")).otherwise(revcomp(F.col("seq")))).select("id")
+    return once.join(within, "id", "left_anti")
+
+
+def exact_contigs(reads: DataFrame, k: int = 25, min_length: int = TIERS[0]) -> DataFrame:
+    """``(seed_id, len, tier, seed, seq)`` of contigs of at least ``min_length`` letters, from ``(read_id, name, seq)`` reads.
+
+    Each read goes on to the one that it overlaps longest, where that is mutual. Reads with N, null ones, those without an id and those
+    shorter than ``k`` are left out; reads within others lengthen nothing and are dropped. An empty table gives no rows.
     """
-    plain = indexable(reads.select("read_id", "name", "seq")).where((F.length("seq") >= k) & F.col("read_id").isNotNull())
-    found = by_component(plain, shared_words(plain, k), lambda group: extended(group, k), F.sum(F.length("seq")), component_letters, k)
+    found = assembled(checkpoint(outermost(distinct_reads(usable(reads, k)), k)), k, by_letter=False)
     return found.where(F.col("len") >= min_length).select("seed_id", "len", tier(F.col("len")).alias("tier"), "seed", "seq")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import INDEX_ORDER, PROFILE_ORDER, ceil_div, digits, partial_revcomp, revcomp, translate_dna, upcase
 
+#: Offsets of a sequence that are slid over at a time.
+CHUNK = 1024
+
 
 def normalised(reads: DataFrame) -> DataFrame:
     """``(read_id, name, seq)`` of a read table, ``seq`` in A, C, G, T, N; rows with null sequence are left out."""
@@ -24,9 +27,16 @@ def offsets(last: Column) -> Column:
 
 
 def slide(df: DataFrame, k: int, last: Column | None = None, seq: str = "seq") -> DataFrame:
-    """Every k-mer of ``seq`` with its ``pos``, other columns kept. ``last`` is the last offset (default: inclusive)."""
+    """Every k-mer of ``seq`` with its ``pos``, other columns kept. ``last`` is the last offset (default: inclusive).
+
+    A sequence is first cut into stretches of CHUNK offsets, so that neither the whole of a long one is copied for each of its
+    k-mers nor its letters are counted from the beginning every time; columns that nobody asks for are not copied at all.
+    """
     last = F.length(seq) - k if last is None else last
-    return df.select("*", F.explode(offsets(last)).alias("pos")).withColumn("kmer", F.substr(F.col(seq), F.col("pos") + 1, F.lit(k)))
+    begins = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    parts = df.select("*", last.alias("_last"), F.explode(begins).alias("_begin")).withColumn("_part", F.substr(F.col(seq), F.col("_begin") + 1, F.lit(CHUNK + k - 1)))
+    inside = parts.select("*", F.explode(F.sequence(F.lit(0), F.least(F.col("_last") - F.col("_begin"), F.lit(CHUNK - 1)))).alias("_i"))
+    return inside.select("*", (F.col("_begin") + F.col("_i")).alias("pos"), F.substr("_part", F.col("_i") + 1, F.lit(k)).alias("kmer")).drop("_last", "_begin", "_part", "_i")
 
 
 def both_strands(reads: DataFrame) -> DataFrame:

@@ -1,22 +1,18 @@
-"""Queries over composition profiles, translated search and assembly."""
+"""Queries over composition profiles and translated search."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.sequence import translate_dna, upcase
-from ..operators import assembly, components, exact, kmers, profiles, search
+from ..operators import profiles, search
 from ..session import spread, table
 from ..sources.profiles import as_lines, bin_lines
-from .reads import ORACLE as READ_SQL
 from .reads import READS, _frame_sql, reads
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-#: The reads cut to one length in SQL.
-SPLIT = READ_SQL["split_varlen"]
-
 
 def query(sql: str | None = None):
     def register(f):
@@ -129,36 +125,3 @@ def search_hits(spark, sf_dir):
 @query()
 def search_matches(spark, sf_dir):
     return search.outputs(search.hits(reads(spark, sf_dir), _proteins(spark, sf_dir), 8, 50.0).where("name is not null"))["matches"]
-
-
-def _windows(spark, sf_dir):
-    """Reads cut to one length, each part with an id of its own in file order."""
-    parts = kmers.split_reads(reads(spark, sf_dir), 75, 25)
-    return parts.select((F.col("read_id") * 4096 + F.col("part")).alias("read_id"), F.coalesce("name", F.lit("?")).alias("name"), "seq")
-
-
-@query(f"""WITH RECURSIVE y AS ({SPLIT}), v AS (SELECT read_id * 4096 + part AS id, seq FROM y WHERE NOT contains(seq, 'N')),
-s AS (SELECT id, seq AS o FROM v UNION ALL SELECT id, reverse(translate(seq, 'ACGT', 'TGCA')) FROM v),
-hub AS (SELECT substr(o, 1, 25) AS kmer, min(id) AS b FROM s GROUP BY 1),
-held AS (SELECT id AS a, substr(o, CAST(i + 1 AS INT), 25) AS kmer FROM s, unnest(range(0, length(o) - 24)) AS t(i)),
-e AS (SELECT DISTINCT a, b FROM held JOIN hub USING (kmer) WHERE a <> b), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-c AS (SELECT id, id AS comp FROM v UNION SELECT u.b, c.comp FROM c JOIN u ON u.a = c.id WHERE c.comp < u.b)
-SELECT id, min(comp) AS comp FROM c GROUP BY id""")
-def overlap_components(spark, sf_dir):
-    return components.overlap_components(_windows(spark, sf_dir), 25)
-
-
-@query()
-def contigs(spark, sf_dir):
-    return assembly.contigs(_windows(spark, sf_dir), 25).select("seed_id", "len", F.round("cov", 4).alias("cov"), F.round("stdev", 4).alias("stdev"), F.round("gc", 4).alias("gc"), "seed", "seq")
-
-
-@query()
-def exact_contigs(spark, sf_dir):
-    return exact.exact_contigs(reads(spark, sf_dir), 25)
-
-
-@query()
-def unitigs(spark, sf_dir):
-    rows = kmers.indexable(_windows(spark, sf_dir))
-    return assembly.unitigs(rows, 25).select("seed_id", "len", F.round("cov", 4).alias("cov"), "seed", "seq")

@@ -45,15 +45,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a Python-heavy stage at least one input partition per core.
 
-    A scan of fewer files than cores may put all rows into a few tasks, whatever the number of
-    splits; only then are the rows shuffled.
+    A small scan may put all rows into a few tasks, whatever the number of splits, and so may a table written from
+    coalesced shuffles; only inputs of few partitions are shuffled. ``df`` is a scan or a checkpoint with narrow steps.
     """
     ship(df.sparkSession)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if parts >= 4 * cores:
         return df
-    return df.repartition(cores, *keys) if keys else df.repartition(cores)
-
-
-def with_null_if_missing(df: DataFrame, name: str, kind: str) -> DataFrame:
-    return df if name in df.columns else df.withColumn(name, F.lit(None).cast(kind))
+    many = max(cores, parts)
+    return df.repartition(many, *keys) if keys else df.repartition(many)
