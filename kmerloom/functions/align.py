@@ -1,9 +1,12 @@
-"""Pairwise protein alignment scores, as pandas functions over candidate pairs."""
+"""Pairwise protein alignment scores, as pandas functions over candidate pairs.
+
+Pairs of like length are scored together: NumPy fills the anti-diagonals of all their tables at once, so that nothing runs
+cell by cell or pair by pair in Python.
+"""
 
 from __future__ import annotations
 
 import math
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -11,160 +14,142 @@ from pyspark.sql import functions as F
 
 from .sequence import KAPPA, LAMBDA
 
-#: BLOSUM62, the lower triangle in the order of the letters.
-LETTERS = "ARNDCQEGHILKMFPSTWYV"
-TRIANGLE = """
- 4
--1  5
--2  0  6
--2 -2  1  6
- 0 -3 -3 -3  9
--1  1  0  0 -3  5
--1  0  0  2 -4  2  5
- 0 -2  0 -1 -3 -2 -2  6
--2  0  1 -1 -3  0  0 -2  8
--1 -3 -3 -3 -1 -3 -3 -4 -3  4
--1 -2 -3 -4 -1 -2 -3 -4 -3  2  4
--1  2  0 -1 -3  1  1 -2 -1 -3 -2  5
--1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5
--2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6
--1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7
- 1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4
- 0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5
--3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11
--2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7
- 0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4
+#: BLOSUM62 as NCBI publishes it, rows and columns in the order of the letters (X: unknown, *: stop).
+LETTERS = "ARNDCQEGHILKMFPSTWYVBZX*"
+BLOSUM62 = """
+ 4 -1 -2 -2  0 -1 -1  0 -2 -1 -1 -1 -1 -2 -1  1  0 -3 -2  0 -2 -1  0 -4
+-1  5  0 -2 -3  1  0 -2  0 -3 -2  2 -1 -3 -2 -1 -1 -3 -2 -3 -1  0 -1 -4
+-2  0  6  1 -3  0  0  0  1 -3 -3  0 -2 -3 -2  1  0 -4 -2 -3  3  0 -1 -4
+-2 -2  1  6 -3  0  2 -1 -1 -3 -4 -1 -3 -3 -1  0 -1 -4 -3 -3  4  1 -1 -4
+ 0 -3 -3 -3  9 -3 -4 -3 -3 -1 -1 -3 -1 -2 -3 -1 -1 -2 -2 -1 -3 -3 -2 -4
+-1  1  0  0 -3  5  2 -2  0 -3 -2  1  0 -3 -1  0 -1 -2 -1 -2  0  3 -1 -4
+-1  0  0  2 -4  2  5 -2  0 -3 -3  1 -2 -3 -1  0 -1 -3 -2 -2  1  4 -1 -4
+ 0 -2  0 -1 -3 -2 -2  6 -2 -4 -4 -2 -3 -3 -2  0 -2 -2 -3 -3 -1 -2 -1 -4
+-2  0  1 -1 -3  0  0 -2  8 -3 -3 -1 -2 -1 -2 -1 -2 -2  2 -3  0  0 -1 -4
+-1 -3 -3 -3 -1 -3 -3 -4 -3  4  2 -3  1  0 -3 -2 -1 -3 -1  3 -3 -3 -1 -4
+-1 -2 -3 -4 -1 -2 -3 -4 -3  2  4 -2  2  0 -3 -2 -1 -2 -1  1 -4 -3 -1 -4
+-1  2  0 -1 -3  1  1 -2 -1 -3 -2  5 -1 -3 -1  0 -1 -3 -2 -2  0  1 -1 -4
+-1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5  0 -2 -1 -1 -1 -1  1 -3 -1 -1 -4
+-2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6 -4 -2 -2  1  3 -1 -3 -3 -1 -4
+-1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7 -1 -1 -4 -3 -2 -2 -1 -2 -4
+ 1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4  1 -3 -2 -2  0  0  0 -4
+ 0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5 -2 -2  0 -1 -1  0 -4
+-3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11  2 -3 -4 -3 -2 -4
+-2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7 -1 -3 -2 -1 -4
+ 0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4 -3 -2 -1 -4
+-2 -1  3  4 -3  0  1 -1  0 -3 -4  0 -3 -3 -2  0 -1 -4 -3 -3  4  1 -1 -4
+-1  0  0  1 -3  3  4 -2  0 -3 -3  1 -1 -3 -1  0 -1 -3 -2 -2  1  4 -1 -4
+ 0 -1 -1 -1 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2  0  0 -2 -1 -1 -1 -1 -1 -4
+-4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4  1
 """
-#: Shares of N in B and of Q in Z, and where the published matrix departs from the rounded mean.
-SHARE_N, SHARE_Q = 0.45, 0.39
-EXCEPTIONS = {("B", "K"): 0, ("B", "P"): -2, ("Z", "C"): -3}
-#: Scores of X (unknown) other than -1, and of * (stop).
-UNKNOWN = {"A": 0, "S": 0, "T": 0, "C": -2, "P": -2, "W": -2}
-STOP, STOP_STOP = -4, 1
 #: Gap costs.
 OPEN, EXTEND = 11, 1
+#: Table cells of the anti-diagonals that are filled together.
+CELLS = 1 << 18
 
-
-@cache
-def matrix() -> np.ndarray:
-    """Scores by character code; letters that aren't amino acids count as X."""
-    pure = np.zeros((20, 20))
-    for i, line in enumerate(TRIANGLE.split("\n")[1:-1]):
-        pure[i, : i + 1] = pure[: i + 1, i] = [int(x) for x in line.split()]
-    mix = np.eye(20)
-    b, z = np.zeros(20), np.zeros(20)
-    b[LETTERS.index("N")], b[LETTERS.index("D")] = SHARE_N, 1 - SHARE_N
-    z[LETTERS.index("Q")], z[LETTERS.index("E")] = SHARE_Q, 1 - SHARE_Q
-    mix = np.vstack([mix, b, z])
-    names = LETTERS + "BZ"
-    small = np.floor(mix @ pure @ mix.T + 0.5).astype(int)
-    for (p, q), v in EXCEPTIONS.items():
-        i, j = names.index(p), names.index(q)
-        small[i, j] = small[j, i] = v
-    x = np.array([UNKNOWN.get(c, -1) for c in names])
-    full = np.full((24, 24), STOP)
-    full[:22, :22], full[22, :22], full[:22, 22], full[22, 22], full[23, 23] = small, x, x, -1, STOP_STOP
-    place = np.full(128, 22)
-    for i, c in enumerate(names + "X*"):
-        place[ord(c)] = i
-    return full[np.ix_(place, place)]
-
-
-def _pair(a: str, b: str) -> np.ndarray:
-    code = lambda s: np.minimum(np.frombuffer(s.upper().encode("utf-32-le"), np.uint32), 127)
-    return matrix()[np.ix_(code(a), code(b))]
-
-
-def _affine(a: str, b: str, border: int, floor: bool) -> np.ndarray:
-    """Table of best scores with affine gaps; row by row, gaps along a row being a running maximum.
-
-    A gap may begin at any inner cell. ``border`` is what each border cell costs more than the one before it.
-    """
-    s = _pair(a, b)
-    n, m = s.shape
-    h = np.zeros((n + 1, m + 1), np.int64)
-    h[0], h[:, 0] = -border * np.arange(m + 1), -border * np.arange(n + 1)
-    gap_down = np.full(m, np.iinfo(np.int64).min // 2)
-    cols = np.arange(m)
-    for i in range(1, n + 1):
-        best = h[i - 1, :-1] + s[i - 1]
-        if i > 1:
-            gap_down = np.maximum(gap_down - EXTEND, h[i - 1, 1:] - OPEN)
-            best = np.maximum(best, gap_down)
-        if floor:
-            best = np.maximum(best, 0)
-        run = np.maximum.accumulate(best + EXTEND * cols)
-        best[1:] = np.maximum(best[1:], run[:-1] - OPEN - EXTEND * (cols[1:] - 1))
-        h[i, 1:] = best
-    return h
-
-
-def local_raw(a: str, b: str) -> int:
-    """Best cell anywhere, free beginning, scores not held at zero."""
-    return max(0, int(_affine(a, b, 0, False).max())) if a and b else 0
-
-
-def smith_waterman_raw(a: str, b: str) -> int:
-    """Classical local alignment, scores held at zero."""
-    return int(_affine(a, b, 0, True).max()) if a and b else 0
-
-
-def global_raw(a: str, b: str) -> int:
-    """Both sequences from end to end; border gaps cost one each."""
-    return int(_affine(a, b, EXTEND, False)[-1, -1]) if a and b else -EXTEND * max(len(a), len(b))
-
-
-def simple_gap_raw(a: str, b: str) -> int:
-    """Best cell, a gap costing EXTEND where the neighbouring cell ends in the same gap (or is the first row or
-    column) and OPEN elsewhere; ties go to gaps (V20)."""
-    if not a or not b:
-        return 0
-    s = _pair(a, b).tolist()
-    above, was_down, most = [0] * (len(b) + 1), [True] * (len(b) + 1), 0
-    for scores in s:
-        left, in_row, diagonal = 0, True, above[0]
-        now, down = [0] * len(above), [True] * len(above)
-        for j, score in enumerate(scores, 1):
-            v = diagonal + score
-            d = above[j] - (EXTEND if was_down[j] else OPEN)
-            r = left - (EXTEND if in_row else OPEN)
-            diagonal = above[j]
-            if v > d and v > r:
-                down[j], in_row = False, False
-            else:
-                down[j] = d >= r
-                in_row = not down[j]
-                v = max(d, r)
-            now[j] = left = v
-            if v > most:
-                most = v
-        above, was_down = now, down
-    return most
-
-
-def bits(raw: float) -> float:
-    return (LAMBDA * raw - math.log(KAPPA)) / math.log(2.0)
+SCORES = np.array([[int(x) for x in line.split()] for line in BLOSUM62.strip().split("\n")], np.int32)
+_NEVER = np.int32(-(1 << 29))
+_code = np.full(128, LETTERS.index("X"), np.uint8)
+_code[[ord(c) for c in LETTERS]] = range(len(LETTERS))
 
 
-def _scorer(raw):
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else bits(raw(x, y)) for x, y in zip(a, b)], dtype="float64")
+def _codes(text: str) -> np.ndarray:
+    """Row of each letter in the matrix; letters that aren't amino acids count as X."""
+    return _code[np.minimum(np.frombuffer(text.upper().encode("utf-32-le"), np.uint32), 127) if text else np.zeros(0, np.uint32)]
 
-    return score
 
+def _padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.array([len(t) for t in texts])
+    out = np.full((len(texts), int(size.max())), LETTERS.index("X"), np.uint8)
+    for row, t in zip(out, texts):
+        row[: len(t)] = t
+    return out, size
 
-def local_bits():
-    return _scorer(local_raw)
 
+def _fill(first: list[np.ndarray], second: list[np.ndarray], simple: bool, border: int, floor: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Best cell and last cell of each pair's table, best being 0 at least.
 
-def global_bits():
-    return _scorer(global_raw)
+    A border cell costs ``border`` more than the one before it. ``simple``: a gap costs EXTEND where the neighbouring cell ends in
+    the same gap or lies on the border, OPEN elsewhere, and ties go to gaps, first to those downwards. Otherwise gaps are affine and begin at inner
+    cells. ``floor``: no cell is below 0.
+    """
+    a, n = _padded(first)
+    b, m = _padded(second)
+    pairs, rows, columns = len(a), a.shape[1], b.shape[1]
+    blank = lambda v, kind: np.full((pairs, rows + 1), v, kind)
+    older, old = blank(0, np.int32), blank(-border, np.int32)
+    down, along = (blank(True, bool), blank(True, bool)) if simple else (blank(_NEVER, np.int32), blank(_NEVER, np.int32))
+    best, last = np.zeros(pairs, np.int32), np.zeros(pairs, np.int32)
+    for d in range(2, rows + columns + 1):
+        low, high = max(1, d - columns), min(rows, d - 1)
+        here, above = slice(low, high + 1), slice(low - 1, high)
+        v = older[:, above] + SCORES[a[:, above], b[:, d - high - 1 : d - low][:, ::-1]]
+        new, new_down, new_along = blank(-border * d, np.int32), blank(True, bool) if simple else blank(_NEVER, np.int32), blank(True, bool) if simple else blank(_NEVER, np.int32)
+        if simple:
+            x = old[:, above] - np.where(down[:, above], EXTEND, OPEN)
+            y = old[:, here] - np.where(along[:, here], EXTEND, OPEN)
+            gap = (v <= x) | (v <= y)
+            new_down[:, here], new_along[:, here] = gap & (x >= y), gap & (x < y)
+        else:
+            x = np.maximum(down[:, above] - EXTEND, old[:, above] - OPEN)
+            y = np.maximum(along[:, here] - EXTEND, old[:, here] - OPEN)
+            if low == 1:  # no gap begins on the border
+                x[:, 0] = _NEVER
+            if high == d - 1:
+                y[:, -1] = _NEVER
+            new_down[:, here], new_along[:, here] = x, y
+        v = np.maximum(v, np.maximum(x, y))
+        if floor:
+            v = np.maximum(v, 0)
+        new[:, here] = v
+        i = np.arange(low, high + 1)
+        inside = (i <= n[:, None]) & (d - i <= m[:, None])
+        best = np.maximum(best, np.where(inside, v, 0).max(axis=1))
+        ends = np.flatnonzero(n + m == d)
+        last[ends] = new[ends, n[ends]]
+        older, old, down, along = old, new, new_down, new_along
+    return best, last
+
+
+def raw_scores(first: list[str], second: list[str], kind: str, least: float = -math.inf) -> np.ndarray:
+    """Scores of pairs by one of the recurrences; NaN where no alignment of the pair can reach more than ``least``.
+
+    ``local``: best cell anywhere, free beginning, scores not held at zero (V18). ``global``: both sequences from end to end, border
+    gaps costing one each (V19). ``simple``: best cell under the simple gap rule (V20). ``classical``: Smith and Waterman's.
+    Against an empty sequence the score is 0, or that of the border in ``global``.
+    """
+    a, b = [_codes(t) for t in first], [_codes(t) for t in second]
+    out = np.full(len(a), np.nan)
+    most = SCORES.max(axis=1)
+    todo = []
+    for i, (x, y) in enumerate(zip(a, b)):
+        if not len(x) or not len(y):
+            out[i] = -EXTEND * max(len(x), len(y)) if kind == "global" else 0
+        elif min(most[x].sum(), most[y].sum()) > least:
+            todo.append(i)
+    todo.sort(key=lambda i: (len(a[i]), len(b[i])))
+    while todo:
+        size = max(1, CELLS // (len(a[todo[-1]]) + 1))
+        part = todo[-size:]
+        del todo[-size:]
+        best, last = _fill([a[i] for i in part], [b[i] for i in part], kind == "simple", EXTEND if kind == "global" else 0, kind == "classical")
+        out[part] = last if kind == "global" else best
+    return out
+
+
+def bits(raw):
+    return (LAMBDA * raw - math.log(KAPPA)) / math.log(2.0)
 
 
-def simple_gap_bits():
-    return _scorer(simple_gap_raw)
+def alignment_bits(kind: str, least_bits: float | None = None):
+    """Bit score of two text columns by ``kind`` of ``raw_scores``; null for null, and for pairs that cannot exceed ``least_bits``."""
+    least = -math.inf if least_bits is None else (least_bits * math.log(2.0) + math.log(KAPPA)) / LAMBDA
 
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        known = (a.notna() & b.notna()).to_numpy()
+        out = np.full(len(a), np.nan)
+        out[known] = bits(raw_scores(a[known].tolist(), b[known].tolist(), kind, least))
+        return pd.Series(out).astype("Float64").mask(np.isnan(out))
 
-def smith_waterman_bits():
-    return _scorer(smith_waterman_raw)
+    return score

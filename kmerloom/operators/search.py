@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.align import simple_gap_bits
+from ..functions.align import alignment_bits
 from .kmers import offsets, six_frames, slide
 
 #: Profile k-mers that are broadcast at most; beyond it the join is a shuffle.
@@ -22,9 +22,8 @@ def candidates(reads: DataFrame, profiles: DataFrame, k: int, max_hits_per_frame
     index = slide(profiles.withColumnRenamed("pseq", "seq"), k).select(
         "profile_id", "profile", "kmer", F.col("pos").alias("p_pos"), F.substr("seq", F.col("pos") + 1, F.length("seq")).alias("suffix")
     )
-    latest = Window.partitionBy("kmer").orderBy(F.desc("profile_id"), F.desc("p_pos"))
-    if max_hits_per_frame == 1:  # only the latest posting of a k-mer can be used
-        index = index.withColumn("n", F.row_number().over(latest)).where("n = 1").drop("n")
+    if max_hits_per_frame == 1:  # only the latest posting of a k-mer can be used; each task keeps one
+        index = index.groupBy("kmer").agg(F.max(F.struct("profile_id", "p_pos", "profile", "suffix")).alias("p")).select("kmer", "p.*")
     small = index.limit(BROADCAST_KMERS + 1).count() <= BROADCAST_KMERS
     frames = six_frames(reads)
     seeds = frames.select("*", F.explode(offsets(F.length("aa") - k - 1)).alias("pos")).withColumn("kmer", F.substr("aa", F.col("pos") + 1, F.lit(k)))
@@ -36,13 +35,19 @@ def candidates(reads: DataFrame, profiles: DataFrame, k: int, max_hits_per_frame
 
 
 def hits(reads: DataFrame, profiles: DataFrame, k: int = 8, cutoff: float = 50.0, max_hits_per_frame: int | None = 1) -> DataFrame:
-    """Candidates whose alignment of the frame with the profile's suffix scores more than ``cutoff`` bits."""
+    """Candidates whose alignment of the frame with the profile's suffix scores more than ``cutoff`` bits.
+
+    Pairs whose letters cannot score as much are not aligned.
+    """
     found = candidates(reads, profiles, k, max_hits_per_frame)
-    return found.withColumn("bits", simple_gap_bits()("aa", "suffix")).where(F.col("bits") > cutoff)
+    return found.withColumn("bits", alignment_bits("simple", cutoff)("aa", "suffix")).where(F.col("bits") > cutoff)
 
 
 def outputs(found: DataFrame) -> dict[str, DataFrame]:
-    """The three text projections of hits: candidate proteins, their reads, and the match table."""
+    """The three text projections of hits: candidate proteins, their reads, and the match table.
+
+    Fixed values: the forms of the three lines.
+    """
     return {
         "candidates": found.select(F.format_string(">%s | frame %d | kmer %s | score %.2f\n%s", "name", "frame", "kmer", "bits", "aa").alias("value")),
         "focus": found.select(F.format_string(">%s\n%s", "name", "seq").alias("value")),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.sequence import translate_dna, upcase
+from ..functions.align import LETTERS, SCORES, alignment_bits
+from ..functions.sequence import e_value, translate_dna, upcase
 from ..operators import profiles, search
 from ..session import spread, table
 from ..sources.profiles import as_lines, bin_lines
@@ -106,22 +107,91 @@ def _proteins(spark, sf_dir):
     return rows.select(F.col("read_id").alias("profile_id"), F.col("name").alias("profile"), translate_dna(upcase(F.col("seq")), 1).alias("pseq"))
 
 
-@query(READS + f""", t AS ({" UNION ALL ".join(_frame_sql(f) for f in range(1, 7))}),
-p AS (SELECT t.read_id AS profile_id, aa AS pseq FROM t JOIN r USING (read_id) WHERE frame = 1 AND flag = 2),
-x AS (SELECT profile_id, CAST(i AS INT) AS p_pos, substr(pseq, CAST(i + 1 AS INT), 8) AS kmer, length(pseq) - i AS rest FROM p, unnest(range(0, greatest(length(pseq) - 7, 0))) AS u(i)),
+def _aligned_sql(simple: bool, border: int) -> str:
+    """Tables of the pairs ``q(id, a, b)``, filled by anti-diagonals of ``{h, x, y}`` cells, as ``done(id, best, final)``.
+
+    ``x`` and ``y`` tell whether a cell ends in a gap (``simple``), or what it scores if it does.
+    """
+    v = "(h2[i] + m[a[i] * 24 + b[e - i] + 1])"
+    if simple:
+        x, y, edge = "c1[i].h - CASE c1[i].x WHEN 1 THEN 1 ELSE 11 END", "c1[i + 1].h - CASE c1[i + 1].y WHEN 1 THEN 1 ELSE 11 END", "1"
+        cell = f"{{'h': greatest({v}, {x}, {y}), 'x': CASE WHEN ({v} <= {x} OR {v} <= {y}) AND {x} >= {y} THEN 1 ELSE 0 END, 'y': CASE WHEN ({v} <= {x} OR {v} <= {y}) AND {x} < {y} THEN 1 ELSE 0 END}}"
+    else:
+        x, y, edge = "CASE WHEN i = 1 THEN -1000000 ELSE greatest(c1[i].x - 1, c1[i].h - 11) END", "CASE WHEN e - i = 1 THEN -1000000 ELSE greatest(c1[i + 1].y - 1, c1[i + 1].h - 11) END", "-1000000"
+        cell = f"{{'h': greatest({v}, {x}, {y}), 'x': {x}, 'y': {y}}}"
+    border_cell = f"{{'h': -e * {border}, 'x': {edge}, 'y': {edge}}}"
+    row = f"list_transform(range(0, n + 1), lambda i: CASE WHEN i > e OR e - i > k THEN NULL WHEN i = 0 OR i = e THEN {border_cell} ELSE {cell} END)"
+    start = f"{{'h': -{border}, 'x': {edge}, 'y': {edge}}}"
+    cells = "STRUCT(h BIGINT, x BIGINT, y BIGINT)[]"
+    return f"""codes AS (SELECT id, list_transform(regexp_extract_all(a, '.'), lambda c: instr('{LETTERS}', c) - 1) AS a, list_transform(regexp_extract_all(b, '.'), lambda c: instr('{LETTERS}', c) - 1) AS b FROM q),
+mat AS (SELECT CAST([{", ".join(str(x) for x in SCORES.ravel().tolist())}] AS BIGINT[]) AS m),
+dp AS (SELECT id, a, b, len(a) AS n, len(b) AS k, CAST(1 AS BIGINT) AS d, CAST([0] AS BIGINT[]) AS h2, CAST([{start}, {start}] AS {cells}) AS c1, CAST(0 AS BIGINT) AS best FROM codes WHERE len(a) > 0 AND len(b) > 0
+  UNION ALL SELECT id, a, b, n, k, e, CAST(list_transform(c1, lambda c: c.h) AS BIGINT[]), c2, CAST(greatest(best, list_max(list_transform(c2, lambda c: c.h))) AS BIGINT)
+  FROM (SELECT id, a, b, n, k, e, c1, best, CAST({row} AS {cells}) AS c2 FROM (SELECT *, d + 1 AS e FROM dp WHERE d < n + k), mat)),
+done AS (SELECT id, best, c1[n + 1].h AS final FROM dp WHERE d = n + k)"""
+
+
+_CANDIDATES = READS + f""", t AS ({" UNION ALL ".join(_frame_sql(f) for f in range(1, 7))}),
+p AS (SELECT t.read_id AS profile_id, r.name AS profile, aa AS pseq FROM t JOIN r USING (read_id) WHERE frame = 1 AND flag = 2),
+x AS (SELECT profile_id, profile, CAST(i AS INT) AS p_pos, substr(pseq, CAST(i + 1 AS INT), 8) AS kmer, substr(pseq, CAST(i + 1 AS INT)) AS suffix FROM p, unnest(range(0, greatest(length(pseq) - 7, 0))) AS u(i)),
 y AS (SELECT *, row_number() OVER (PARTITION BY kmer ORDER BY profile_id DESC, p_pos DESC) AS k FROM x),
-s AS (SELECT read_id, frame, CAST(i AS INT) AS pos, substr(aa, CAST(i + 1 AS INT), 8) AS kmer FROM t, unnest(range(0, greatest(length(aa) - 8, 0))) AS u(i)),
-h AS (SELECT *, row_number() OVER (PARTITION BY read_id, frame ORDER BY pos) AS n FROM s JOIN y USING (kmer) WHERE k = 1)
-SELECT read_id, frame, pos, kmer, profile_id, CAST(rest AS INT) AS suffix_len FROM h WHERE n = 1""")
+s AS (SELECT read_id, frame, aa, CAST(i AS INT) AS pos, substr(aa, CAST(i + 1 AS INT), 8) AS kmer FROM t, unnest(range(0, greatest(length(aa) - 8, 0))) AS u(i)),
+h AS (SELECT *, row_number() OVER (PARTITION BY read_id, frame ORDER BY pos) AS n FROM s JOIN y USING (kmer) WHERE k = 1), h1 AS (SELECT * FROM h WHERE n = 1)"""
+
+
+@query(_CANDIDATES + " SELECT read_id, frame, pos, kmer, profile_id, CAST(length(suffix) AS INT) AS suffix_len FROM h1")
 def search_candidates(spark, sf_dir):
     return search.candidates(reads(spark, sf_dir), _proteins(spark, sf_dir), 8).select("read_id", "frame", "pos", "kmer", "profile_id", F.length("suffix").alias("suffix_len"))
 
 
-@query()
+_BITS = "(0.267 * {} - ln(0.041)) / ln(2)"
+_HITS = _CANDIDATES.replace("WITH", "WITH RECURSIVE", 1) + ", q AS (SELECT read_id * 8 + frame AS id, aa AS a, suffix AS b FROM h1), " + _aligned_sql(True, 0) + f""",
+z AS (SELECT h1.*, r.name, r.seq, {_BITS.format('best')} AS bits FROM h1 JOIN done ON id = read_id * 8 + frame JOIN r USING (read_id) WHERE {_BITS.format('best')} > 50)"""
+
+
+def _hits(spark, sf_dir):
+    return search.hits(reads(spark, sf_dir), _proteins(spark, sf_dir), 8, 50.0)
+
+
+@query(_HITS + " SELECT read_id, frame, profile_id, kmer, round(bits, 2) AS bits FROM z")
 def search_hits(spark, sf_dir):
-    return search.hits(reads(spark, sf_dir), _proteins(spark, sf_dir), 8, 50.0).select("read_id", "frame", "profile_id", "kmer", F.round("bits", 2).alias("bits"))
+    return _hits(spark, sf_dir).select("read_id", "frame", "profile_id", "kmer", F.round("bits", 2).alias("bits"))
 
 
-@query()
+@query(_HITS + " SELECT name || chr(9) || coalesce(profile, 'null') || chr(9) || printf('%.2f', bits) || chr(9) || frame || chr(9) || kmer AS value FROM z WHERE name IS NOT NULL")
 def search_matches(spark, sf_dir):
-    return search.outputs(search.hits(reads(spark, sf_dir), _proteins(spark, sf_dir), 8, 50.0).where("name is not null"))["matches"]
+    return search.outputs(_hits(spark, sf_dir).where("name is not null"))["matches"]
+
+
+@query(_HITS + " SELECT '>' || name || ' | frame ' || frame || ' | kmer ' || kmer || ' | score ' || printf('%.2f', bits) || chr(10) || aa AS value FROM z WHERE name IS NOT NULL")
+def search_proteins(spark, sf_dir):
+    return search.outputs(_hits(spark, sf_dir).where("name is not null"))["candidates"]
+
+
+@query(_HITS + " SELECT '>' || name || chr(10) || seq AS value FROM z WHERE name IS NOT NULL")
+def search_focus(spark, sf_dir):
+    return search.outputs(_hits(spark, sf_dir).where("name is not null"))["focus"]
+
+
+def _pairs_sql(kind: str) -> str:
+    score = "final" if kind == "global" else "best"
+    bits = _BITS.format(score)
+    return f"""{READS.replace("WITH", "WITH RECURSIVE", 1)}, t AS ({_frame_sql(1)}), q AS (SELECT u.read_id AS id, u.aa AS a, v.aa AS b FROM t u JOIN t v ON v.read_id = u.read_id + 1 WHERE u.aa <> '' AND v.aa <> ''),
+{_aligned_sql(kind == "simple", 1 if kind == "global" else 0)}
+SELECT id AS read_id, round({bits}, 4) AS bits, round(log10(length(a) * length(b)) - ({bits}) * log10(2), 4) AS log_e FROM done JOIN q USING (id)"""
+
+
+def _pairs(kind: str):
+    def f(spark, sf_dir):
+        """Proteins of neighbouring reads aligned, with the logarithm of the E-value."""
+        rows = reads(spark, sf_dir).select("read_id", translate_dna(F.col("seq"), 1).alias("a")).where("a <> ''")
+        pairs = rows.join(rows.select((F.col("read_id") - 1).alias("read_id"), F.col("a").alias("b")), "read_id")
+        scored = pairs.withColumn("bits", alignment_bits(kind)("a", "b"))
+        return scored.select("read_id", F.round("bits", 4).alias("bits"), F.round(F.log10(e_value(F.col("bits"), F.length("a"), F.length("b"))), 4).alias("log_e"))
+
+    f.__name__ = f"align_{kind}"
+    return f
+
+
+for _kind in ("local", "global", "simple"):
+    query(_pairs_sql(_kind))(_pairs(_kind))
