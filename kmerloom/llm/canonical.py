@@ -8,11 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.hot_keys import HOT_KEYS
 from ..session import checkpoint
 
-#: Rows that a radix bucket may hold; beyond it grows with the data, so that there are few buckets to broadcast.
-BUCKET_ROWS = 20_000
+#: Rows that a radix bucket may hold, whatever the number of rows, and oversized buckets that are broadcast at most.
+BUCKET_ROWS, BROADCAST_LEADS = 20_000, 100_000
 #: Leading bytes of the first round; each further round doubles them.
 FIRST_BYTES = 4
 #: Bytes on an edge of the trie.
@@ -117,12 +116,12 @@ def _count(copies: bool):
 def _partitioned(df: DataFrame, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
     """Rows with their radix bucket, and the texts that fill more than a bucket by themselves.
 
-    Rounds count leading bytes and split the oversized ones by twice as many. A bucket that is a single text
+    Canonical texts are made once. Rounds count leading bytes and split the oversized ones by twice as many, until each
+    bucket holds ``bucket_rows`` at most; only what is still oversized goes into the next round. A bucket that is a single text
     can't be split; its count and least id are known from the round that finds it (terminal).
     """
     rows = df.where(F.col("seq").isNotNull())
-    limit = max(bucket_rows, rows.count() // HOT_KEYS)  # fewer than HOT_KEYS buckets exceed it in any round
-    rest = rows.select(F.col("rec_id").cast("bigint").alias("rec_id"), F.encode(canonical(F.col("header"), F.col("seq")), "utf-8").alias("text"))
+    rest = checkpoint(rows.select(F.col("rec_id").cast("bigint").alias("rec_id"), F.encode(canonical(F.col("header"), F.col("seq")), "utf-8").alias("text")))
     placed, heavy, size = [], None, FIRST_BYTES
     while True:
         lead = F.substring("text", 1, size)
@@ -131,18 +130,19 @@ def _partitioned(df: DataFrame, bucket_rows: int) -> tuple[DataFrame, DataFrame]
             F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"), F.min(F.hash("text")).alias("c"), F.max(F.hash("text")).alias("d"),
         )
         one_text = (F.col("a") == F.col("b")) & (F.col("c") == F.col("d"))
-        over = checkpoint(counts.where(F.col("n") > limit).select("lead", "n", "keep_id", one_text.alias("single")))
-        kinds = {r["single"] for r in over.select("single").distinct().collect()}
-        if not kinds:
+        over = checkpoint(counts.where(F.col("n") > bucket_rows).select("lead", "n", "keep_id", one_text.alias("single")))
+        many, singles = over.agg(F.count(F.lit(1)), F.count_if("single")).first()
+        if many == 0:
             placed.append(rest.select(lead.alias("bucket"), "rec_id", "text"))
             break
-        placed.append(rest.join(F.broadcast(over), lead == F.col("lead"), "left_anti").select(lead.alias("bucket"), "rec_id", "text"))
-        if True in kinds:
-            one = rest.join(F.broadcast(over.where("single")), lead == F.col("lead")).select("keep_id", "rec_id", "n")
+        side = F.broadcast if many <= BROADCAST_LEADS else lambda leads: leads
+        placed.append(rest.join(side(over.select("lead")), lead == F.col("lead"), "left_anti").select(lead.alias("bucket"), "rec_id", "text"))
+        if singles:
+            one = rest.join(side(over.where("single")), lead == F.col("lead")).select("keep_id", "rec_id", "n")
             heavy = one if heavy is None else heavy.unionByName(one)
-        if False not in kinds:
+        if singles == many:
             break
-        rest = rest.join(F.broadcast(over.where("not single")), lead == F.col("lead"), "left_semi")
+        rest = checkpoint(rest.join(side(over.where("not single").select("lead")), lead == F.col("lead"), "left_semi"))
         size *= 2
     out = placed[0]
     for p in placed[1:]:

@@ -9,6 +9,8 @@ from ..session import checkpoint
 
 #: Groups that one round may hold: the memory of the operator, whatever the number of distinct values.
 MAX_GROUPS = 1 << 16
+#: Bits that a round adds while more prefixes than that survive.
+STEP = 8
 
 
 def frequent_items(df: DataFrame, value: str, weight: str | None = None, k: int = 20, max_groups: int = MAX_GROUPS) -> DataFrame:
@@ -20,10 +22,11 @@ def frequent_items(df: DataFrame, value: str, weight: str | None = None, k: int
     differ, so the k-th largest lower bound is one for the k-th total, and prefixes below it are dropped.
     To raise that bound early, the heaviest prefixes are looked at with more bits before the others are
     judged. The rest get longer until each holds a single value, or about so (an eighth of the possible prefixes
-    at most are taken); then the full values are counted.
+    at most are taken); then the full values of those that can still be among the first are counted.
 
-    A round has at most about ``max_groups`` groups; survivors are broadcast only while they stay within
-    that bound and are joined by a shuffle otherwise.
+    A round has at most about ``max_groups`` groups while weights let it; survivors are broadcast only within
+    that bound. Where weights are too flat for it, refinement goes on in the same way with survivors joined by a shuffle, until each
+    prefix holds a single value; groups are then kept in tables that spill, and only ``k`` values are counted in full.
 
     Null values and rows of null or zero weight add nothing; a value without weight is not frequent, so
     fewer than ``k`` rows may come out (none for an empty table). Negative weights raise ValueError.
@@ -69,9 +72,13 @@ def frequent_items(df: DataFrame, value: str, weight: str | None = None, k: int
         if least is not None and least < 0:
             raise ValueError("weights must not be negative")
         small = n_kept <= max_groups
-        if not mixed or bits == 64 or sparse or not small:
+        if not mixed or bits == 64 or (sparse and small):
             break
-        bits = min(64, bits + max(4, (max_groups // n_kept).bit_length() - 1))
+        bits = min(64, bits + (max(4, (max_groups // n_kept).bit_length() - 1) if small else STEP))
+    if not mixed:  # totals are known, ties kept
+        last = kept.orderBy(F.desc("total")).limit(k).agg(F.min("total")).first()[0]
+        kept = checkpoint(kept.where(F.col("total") >= (last or 0)))
+        small = kept.limit(max_groups + 1).count() <= max_groups
     totals = within(kept, kept_bits, small).groupBy("item").agg(F.sum("weight").alias("total"))
     return totals.where(F.col("total") > 0).orderBy(F.desc("total"), "item").limit(k)
 

@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.hot_keys import HOT_KEYS, attach
+from ..operators.hot_keys import attach
 from ..session import checkpoint, spread
 
 TABLES, WIDTH, SKETCH = 4, 1.4, 128
-#: Vectors that a bucket may hold before it is split by further projections of half the width, and how often.
-BUCKET_ROWS, LEVELS = 2048, 3
+#: Vectors that a bucket may hold, whatever their number, before it is split by further projections of half the width; how often
+#: at most, and hot buckets that are broadcast at most.
+BUCKET_ROWS, LEVELS, BROADCAST_KEYS = 2048, 16, 100_000
 #: Blocks over which the queries of a bucket that could not be split are spread.
 BLOCKS = 32
 
@@ -132,14 +133,16 @@ def _close(vectors: DataFrame, index: DataFrame, dim: int, k: int, min_cosine: f
     for level in range(LEVELS + 1):
         homes = kept.mapInArrow(_keys(dim, m, level, sets[:1], tables), KEYS)
         visits = asked.mapInArrow(_keys(dim, m, level, sets, tables), KEYS)
-        sizes = homes.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        limit = max(bucket_rows, rows * tables // HOT_KEYS)  # fewer than HOT_KEYS buckets exceed it
-        hot = [] if level == LEVELS else sizes.where(F.col("n") > limit).select("key").collect()
-        if hot:
-            hot = F.broadcast(index.sparkSession.createDataFrame(hot, "key bigint"))
+        hot = None
+        if level < LEVELS:
+            sizes = homes.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+            large = checkpoint(sizes.where(F.col("n") > bucket_rows).select("key"))
+            if many := large.count():
+                hot = F.broadcast(large) if many <= BROADCAST_KEYS else large
+        if hot is not None:
             deep = [side.join(hot, "key", "left_semi").select("key", "id").distinct().join(index.select("id", "unit"), "id").select("id", "unit", "key") for side in (visits, homes)]
             homes, visits = homes.join(hot, "key", "left_anti"), visits.join(hot, "key", "left_anti")
-        if level == LEVELS:  # spread what could not be split
+        if level == LEVELS:  # vectors closer than any width: spread over blocks
             homes = homes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
             visits = visits.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int"))
         on = ["key"] if level < LEVELS else ["key", "block"]
@@ -150,18 +153,20 @@ def _close(vectors: DataFrame, index: DataFrame, dim: int, k: int, min_cosine: f
         distance = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
         found = a.join(b, match & (distance <= far)).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))
         pairs = found if pairs is None else pairs.unionByName(found)
-        if not hot:
+        if hot is None:
             break
         asked, kept = (checkpoint(side) for side in deep)
 
     dot = F.aggregate(F.zip_with("unit", "unit_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = (
-        pairs.distinct()
+    once = (  # each pair once, whoever found it; the cosine serves both
+        pairs.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
         .join(index.select("id", "unit"), "id")
         .join(index.select(F.col("id").alias("other"), F.col("unit").alias("unit_b")), "other")
         .select("id", "other", F.round(dot, 9).alias("cosine"))
         .where(F.col("cosine") >= min_cosine)
     )
+    both = F.array(F.struct("id", "other"), F.struct(F.col("other").alias("id"), F.col("id").alias("other")))
+    scored = once.select(F.inline(both), "cosine")
     low = index.where(F.col("n") <= k).select("cls", F.col("id").alias("other"))
     copies = vectors.join(index.select("id"), "id", "left_anti").select("id", "cls")
     scored = scored.unionByName(attach(copies, low, "cls").select("id", "other", F.lit(1.0).alias("cosine")))

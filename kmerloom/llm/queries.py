@@ -33,6 +33,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_oversized(table(spark, sf_dir, "contigs"))
 
 
+def p4_by_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of any length within the limit that keep the longest gaps as boundaries."""
+    return pieces.split_oversized(table(spark, sf_dir, "contigs"), keep="gap")
+
+
 def _neighbors(profiles: DataFrame) -> DataFrame:
     return neighbors.nearest(profiles.where("word_len = 3"), "vec_id", "vector", dim=64, k=5, min_cosine=0.9)
 
@@ -98,7 +103,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p2_found, p2_totals, p3_found, p4_found, p5_found, p5_neighbors, p5_nearest, p6_found, p6_records, p7_ids, p8_found, p8_clean, p8_cut, p9_found, p9_restored)
+    f.__name__: f for f in (p2_found, p2_totals, p3_found, p4_found, p4_by_gap, p5_found, p5_neighbors, p5_nearest, p6_found, p6_records, p7_ids, p8_found, p8_clean, p8_cut, p9_found, p9_restored)
 }
 
 _TOTALS = """
@@ -200,5 +205,11 @@ SELECT DISTINCT keep_id, rec_id FROM g JOIN k USING (canon) WHERE keep_id < rec_
     "p6_records": _CANON + """SELECT min(rec_id) AS rec_id, count(*) AS n_copies FROM g GROUP BY canon
 UNION ALL SELECT rec_id, 1 FROM fasta_records WHERE seq IS NULL""",
     "p8_found": _GRAMS + "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
+    "p8_cut": _GRAMS.replace("SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS g", "SELECT DISTINCT doc_id, i, array_to_string(w[i:i + 11], ' ') AS g") + """, gone AS (
+  SELECT doc_id, flatten(list(range(i, i + 12))) AS at FROM (SELECT DISTINCT doc_id, i FROM dg JOIN ig USING (g)) GROUP BY doc_id
+), parts AS (
+  SELECT doc_id, at, regexp_extract(text, '^[^\\p{L}\\p{N}]*') AS lead, regexp_extract_all(text, '[\\p{L}\\p{N}]+[^\\p{L}\\p{N}]*') AS p, text FROM documents LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, CASE WHEN at IS NULL THEN text ELSE lead || array_to_string(list_transform(list_filter(range(1, len(p) + 1), lambda j: NOT list_contains(at, j)), lambda j: p[j]), '') END AS text FROM parts""",
     "p8_clean": _GRAMS + "SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM dg JOIN ig USING (g))",
 }

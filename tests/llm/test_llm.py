@@ -33,6 +33,13 @@ def test_frequent_is_exact(spark, groups):
     assert [tuple(r) for r in frequent.frequent_items(df, "v", "n", 25, groups).collect()] == expected
 
 
+def test_flat_weights_are_refined_to_the_end(spark):
+    """No bound prunes these; every round's survivors are too many to broadcast."""
+    data = [(f"v{i}", 5 + (i % 997 == 0)) for i in range(6000)]
+    got = frequent.frequent_items(spark.createDataFrame(data, "v string, n int"), "v", "n", 9, 64).collect()
+    assert [tuple(r) for r in got] == sorted(data, key=lambda x: (-x[1], x[0]))[:9]
+
+
 def test_frequent_edges(spark):
     df = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("d", 0), (None, 5)], "v string, n int")
     assert [r.item for r in frequent.frequent_items(df, "v", "n", 2).collect()] == ["a", "b"]
@@ -113,6 +120,17 @@ def test_pieces_follow_the_rule(parts, limit, overlap):
         assert pieces.merged_pieces(len(s), [m.end() for m in re.finditer("N{10,}", s)], limit, overlap) == plain_pieces(s, limit, overlap)
 
 
+def test_pieces_keep_long_gaps():
+    rng = random.Random(5)
+    for _ in range(300):
+        s = "".join("A" * rng.randrange(1, 130) + "N" * rng.randrange(10, 40) for _ in range(rng.randrange(2, 12)))
+        gaps = {m.end(): len(m[0]) for m in re.finditer("N{10,}", s)}
+        got = pieces.merged_pieces(len(s), [*gaps], 150, 10, gaps)
+        assert got[0][0] == 0 and got[-1][1] == len(s) and all(e - b <= 150 for b, e in got) and all(b == e - 10 for (_, e), (b, _) in zip(got, got[1:]))
+        # what stays would not fit together, and no weaker boundary was kept beside a stronger one that both pieces would have allowed to merge
+        assert all(e2 - b > 150 for (b, _), (_, e2) in zip(got, got[1:]))
+
+
 def test_pieces_of_tables(spark):
     texts = {1: "A" * 2000, 2: "A" * 1500 + "N" * 10 + "c" * 1500, 3: None, 4: "", None: "ACGT" * 2000, 5: "-" * 5000}
     df = spark.createDataFrame([(k, v, 1) for k, v in texts.items()], "contig_ord bigint, seq string, beg_pos int")
@@ -275,6 +293,8 @@ def test_leaks(spark):
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {1, 3, 4, 5}
     cut = {r.doc_id: r.text for r in leaks.without_leaks(df, items, remove="spans").collect()}
     assert cut[0] == "Before. After." and cut[2] == "x y" and cut[3] is None and cut[5] == docs[5] and cut[6] == ""
+    again = {r.doc_id: r.text for r in leaks.without_leaks(df.withColumn("leak_at", df.doc_id), items, remove="spans").collect()}
+    assert again == cut
     with pytest.raises(ValueError, match="remove"):
         leaks.without_leaks(df, items, remove="all")
 
