@@ -206,10 +206,10 @@ SELECT DISTINCT keep_id, rec_id FROM g JOIN k USING (canon) WHERE keep_id < rec_
 UNION ALL SELECT rec_id, 1 FROM fasta_records WHERE seq IS NULL""",
     "p8_found": _GRAMS + "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
     "p8_cut": _GRAMS.replace("SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS g", "SELECT DISTINCT doc_id, i, array_to_string(w[i:i + 11], ' ') AS g") + """, gone AS (
-  SELECT doc_id, flatten(list(range(i, i + 12))) AS at FROM (SELECT DISTINCT doc_id, i FROM dg JOIN ig USING (g)) GROUP BY doc_id
+  SELECT doc_id, flatten(list(range(i, i + 12))) AS gone_at FROM (SELECT DISTINCT doc_id, i FROM dg JOIN ig USING (g)) GROUP BY doc_id
 ), parts AS (
-  SELECT doc_id, at, regexp_extract(text, '^[^\\p{L}\\p{N}]*') AS lead, regexp_extract_all(text, '[\\p{L}\\p{N}]+[^\\p{L}\\p{N}]*') AS p, text FROM documents LEFT JOIN gone USING (doc_id)
+  SELECT doc_id, gone_at, regexp_extract(text, '^[^\\p{L}\\p{N}]*') AS lead, regexp_extract_all(text, '[\\p{L}\\p{N}]+[^\\p{L}\\p{N}]*') AS p, text FROM documents LEFT JOIN gone USING (doc_id)
 )
-SELECT doc_id, CASE WHEN at IS NULL THEN text ELSE lead || array_to_string(list_transform(list_filter(range(1, len(p) + 1), lambda j: NOT list_contains(at, j)), lambda j: p[j]), '') END AS text FROM parts""",
+SELECT doc_id, CASE WHEN gone_at IS NULL THEN text ELSE lead || array_to_string(list_transform(list_filter(range(1, len(p) + 1), lambda j: NOT list_contains(gone_at, j)), lambda j: p[j]), '') END AS text FROM parts""",
     "p8_clean": _GRAMS + "SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM dg JOIN ig USING (g))",
 }
