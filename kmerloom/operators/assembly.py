@@ -13,11 +13,12 @@ take the longest overlap, whatever its next letter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import revcomp
 from ..session import checkpoint, spread
+from ..session import numbered as number_rows
 from .contigs import MIN_LENGTH, with_gc
 from .ends import beginnings, same_read, tails
 from .kmers import indexable
@@ -146,12 +147,6 @@ def unitigs(reads: DataFrame, k: int) -> DataFrame:
 
 
 def numbered(contigs: DataFrame, rank: int = 0) -> DataFrame:
-    """Adds ``contig_id``, ``Contig_<rank>_<i>`` with ``i`` counting from 0 in the order of the seeds (O1).
-
-    The rows are sorted in ranges; only the number of rows in each range is put in sequence.
-    """
-    rows = checkpoint(contigs.orderBy("seed_id").withColumn("range", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id() % (1 << 33)))
-    order = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    sizes = rows.groupBy("range").agg(F.count(F.lit(1)).alias("size")).withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    i = F.col("before") + F.col("place")
-    return rows.join(F.broadcast(sizes), "range").withColumn("contig_id", F.format_string(f"Contig_{rank}_%d", i)).select("contig_id", *contigs.columns)
+    """Adds ``contig_id``, ``Contig_<rank>_<i>`` with ``i`` counting from 0 in the order of the seeds (O1)."""
+    rows = number_rows(contigs, "seed_id")
+    return rows.select(F.format_string(f"Contig_{rank}_%d", "i").alias("contig_id"), *contigs.columns)

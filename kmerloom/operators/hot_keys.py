@@ -13,8 +13,12 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 #: A key is called hot when it owns more than one row in this many; there are at most as many.
 HOT_KEYS = 1000
+#: Lookup rows of hot keys that are broadcast at most, and the parts into which a hot key is cut beyond that.
+BROADCAST_ROWS, SALTS = 1_000_000, 64
 
 
 def entry_totals(df: DataFrame, key: str, entries: Column, lowest: Column) -> DataFrame:
@@ -50,11 +54,18 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
 def attach(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """Inner join of many rows to a lookup by ``key``, safe against hot keys in ``rows``.
 
-    ``lookup`` may hold several rows for a key. Rows of hot keys meet a broadcast of the lookup rows
-    of those keys (fewer than HOT_KEYS keys, proven by ``hot_keys``); all other rows are joined by a
-    shuffle in which no key owns more than one row in HOT_KEYS. Null keys join nothing.
+    ``lookup`` may hold several rows for a key. Rows of hot keys (fewer than HOT_KEYS keys, proven by ``hot_keys``) meet a broadcast of the
+    lookup rows of those keys while these are at most BROADCAST_ROWS; beyond that they are salted, and the lookup rows copied to
+    each salt. All other rows are joined by a shuffle in which no key owns more than one row in HOT_KEYS. Null keys join nothing.
     """
-    hot = hot_keys(rows, key).select(key)
-    hot_part = rows.join(F.broadcast(lookup.join(F.broadcast(hot), key, "left_semi")), key)
-    rest = rows.join(F.broadcast(hot), key, "left_anti").join(lookup, key)
-    return hot_part.unionByName(rest)
+    hot = checkpoint(hot_keys(rows, key).select(key))
+    if hot.isEmpty():
+        return rows.join(lookup, key)
+    wanted = lookup.join(F.broadcast(hot), key, "left_semi")
+    held = rows.join(F.broadcast(hot), key, "left_semi")
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        met = held.join(F.broadcast(wanted), key)
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        met = held.withColumn("_salt", F.floor(F.rand(3) * SALTS).cast("int")).join(wanted.withColumn("_salt", salts), [key, "_salt"]).drop("_salt")
+    return met.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(lookup, key))

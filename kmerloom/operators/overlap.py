@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import hamming, hamming_prefix, revcomp
+from ..session import spread
+from .ends import beginnings, tails
 from .kmers import end_kmers, indexable, query_kmers, slide
 
 
@@ -32,12 +34,12 @@ def index_skew(reads: DataFrame, k: int) -> DataFrame:
 
 
 def _matches(queries: DataFrame, reads: DataFrame, k: int, min_overlap: int, inclusive: bool, accept: Column) -> DataFrame:
-    left = query_kmers(queries, k, min_overlap, inclusive).select(
-        F.col("read_id").alias("query_id"), F.col("pos").alias("offset"), "kmer", F.substr("seq", F.col("pos") + 1, F.length("seq")).alias("rest")
-    )
-    return left.join(end_kmers(reads, k), "kmer").where(accept).where(F.col("query_id") != F.col("read_id")).select(
-        "query_id", "read_id", "strand", "offset", "oriented"
-    )
+    """K-mers of the queries travel by themselves; the query is fetched once for each read that begins with one of them."""
+    left = query_kmers(queries.select("read_id", "seq"), k, min_overlap, inclusive).select(F.col("read_id").alias("query_id"), F.col("pos").alias("offset"), "kmer")
+    met = left.join(end_kmers(reads, k), "kmer").where(F.col("query_id") != F.col("read_id"))
+    whole = queries.select(F.col("read_id").alias("query_id"), F.col("seq").alias("query"))
+    rest = F.substr("query", F.col("offset") + 1, F.length("query"))
+    return met.join(whole, "query_id").withColumn("rest", rest).where(accept).select("query_id", "read_id", "strand", "offset", "oriented")
 
 
 def overlaps(queries: DataFrame, reads: DataFrame, k: int, min_overlap: int, max_mismatch: float = 0.0) -> DataFrame:
@@ -72,27 +74,48 @@ def with_match(queries: DataFrame, reads: DataFrame, k: int, matching: bool = Tr
 
 def best_successor(reads: DataFrame, min_overlap: int) -> DataFrame:
     """``(read_id, next_id, overlap)``: of each read without N the longest exact overlap of its end with the beginning
-    of another, ties to the lower id (T4, T6).
+    of another, ties to the lower id (T4).
+
+    Ends meet beginnings by key (see ``ends``); of the reads that begin alike only the two lowest can be chosen, so that each task
+    hands on two rows of a key. Equal reads and reads within the query extend nothing.
+    """
+    plain = spread(reads.select("read_id", "seq")).where(F.col("read_id").isNotNull() & (F.length("seq") >= min_overlap))
+    rows = indexable(plain).select(F.col("read_id").cast("bigint").alias("node"), F.lit(1).cast("bigint").alias("occr"), "seq")
+    lowest = Window.partitionBy("h", "g", "n").orderBy("next_id")
+    index = beginnings(rows, min_overlap).select("h", "g", "n", F.col("node").alias("next_id")).withColumn("nth", F.row_number().over(lowest)).where("nth <= 2")
+    met = tails(rows, min_overlap).join(index, ["h", "g", "n"]).where("node <> next_id")
+    best = met.groupBy("node").agg(F.max(F.struct(F.col("n").alias("overlap"), (-F.col("next_id")).alias("neg"))).alias("b"))
+    return best.select(F.col("node").alias("read_id"), (-F.col("b.neg")).alias("next_id"), "b.overlap")
+
+
+def match_order(matches: DataFrame) -> DataFrame:
+    """Adds ``place``: matches of a query by rising offset, within one offset later reads first, their reverse strand before the other."""
+    order = Window.partitionBy("query_id").orderBy("offset", F.desc("read_id"), F.desc("strand"))
+    return matches.withColumn("place", F.row_number().over(order))
+
 
-    Candidates meet on the ``min_overlap`` first letters of the successor, then compare as a whole. Equal reads and reads
-    within the query extend nothing.
+def ancestors(matches: DataFrame, min_overlap: int) -> DataFrame:
+    """``(query_id, read_id, strand, offset, before_id, before_strand, before_offset)``: for each match of a query the other ones that begin at or before it,
+    reach ``min_overlap`` letters into it, and agree with it there: a range join within the query (J7).
     """
-    plain = indexable(reads).where(F.length("seq") >= min_overlap)
-    left = slide(plain, min_overlap).where(F.col("pos") > 0).select("read_id", "kmer", F.substr("seq", F.col("pos") + 1, F.length("seq")).alias("tail"))
-    right = plain.select(F.col("read_id").alias("next_id"), F.substring("seq", 1, min_overlap).alias("kmer"), F.col("seq").alias("next_seq"))
-    pairs = left.join(right, "kmer").where(
-        (F.col("read_id") != F.col("next_id")) & (F.length("next_seq") > F.length("tail")) & F.col("next_seq").startswith(F.col("tail"))
-    ).select("read_id", "next_id", F.length("tail").alias("overlap"))
-    best = Window.partitionBy("read_id").orderBy(F.desc("overlap"), "next_id")
-    return pairs.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
+    v = matches.select("query_id", "read_id", "strand", "offset", "oriented")
+    u = matches.select("query_id", F.col("read_id").alias("before_id"), F.col("strand").alias("before_strand"), F.col("offset").alias("before_offset"), F.col("oriented").alias("before_seq"))
+    ahead = F.col("offset") - F.col("before_offset")
+    shared = F.length("before_seq") - ahead
+    n = F.least(shared, F.length("oriented"))
+    near = (ahead >= 0) & (shared >= min_overlap) & ((F.col("read_id") != F.col("before_id")) | (F.col("strand") != F.col("before_strand")) | (ahead > 0))
+    agree = F.substr("before_seq", ahead + 1, n) == F.substr("oriented", F.lit(1), n)
+    return v.join(u, "query_id").where(near & agree).drop("oriented", "before_seq")
 
 
 def contained_in(reads: DataFrame, k: int) -> DataFrame:
     """``(read_id, n)``: reads without N that occur within another, longer read, and within how many (J7 as an equi-join)."""
     plain = indexable(reads).where(F.length("seq") >= k).select("read_id", "seq")
-    host = slide(plain, k).select(F.col("read_id").alias("host"), "kmer", F.substr("seq", F.col("pos") + 1, F.length("seq")).alias("rest"), F.length("seq").alias("size"))
-    inner = plain.withColumn("kmer", F.substring("seq", 1, k))
-    hits = inner.join(host, "kmer").where((F.col("host") != F.col("read_id")) & (F.col("size") > F.length("seq")) & F.col("rest").startswith(F.col("seq")))
+    host = slide(plain.withColumn("size", F.length("seq")), k).select(F.col("read_id").alias("host"), "kmer", "pos", "size")
+    inner = plain.select("read_id", F.substring("seq", 1, k).alias("kmer"), F.length("seq").alias("n"))
+    met = inner.join(host, "kmer").where((F.col("host") != F.col("read_id")) & (F.col("size") > F.col("n")) & (F.col("pos") + F.col("n") <= F.col("size")))
+    outer = met.join(plain.select(F.col("read_id").alias("host"), F.col("seq").alias("outer_seq")), "host").select("read_id", "host", F.substr("outer_seq", F.col("pos") + 1, F.col("n")).alias("part"))
+    hits = outer.join(plain, "read_id").where(F.col("part") == F.col("seq"))
     return hits.select("read_id", "host").distinct().groupBy("read_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -101,4 +124,4 @@ def duplicates(reads: DataFrame) -> DataFrame:
     return reads.groupBy("seq").agg(F.count(F.lit(1)).alias("occr"), F.min("read_id").alias("first_id"))
 
 
-__all__ = ["best_successor", "contained_in", "duplicates", "index_skew", "matching_suffix", "overlaps", "point_lookup", "postings", "prefix_overlaps", "revcomp", "with_match"]
+__all__ = ["ancestors", "best_successor", "contained_in", "duplicates", "index_skew", "match_order", "matching_suffix", "overlaps", "point_lookup", "postings", "prefix_overlaps", "revcomp", "with_match"]

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import PROFILE_ORDER
+from ..session import numbered
 from .kmers import profile_codes
 
 #: Weight of words that a class never shows, and the count that stands for an absent one in smoothed weights.
 ABSENT, SMOOTH = -20.0, 0.1
-#: Profile rows that are broadcast at most; 64 MB or so.
-BROADCAST_ROWS = 2_000_000
+#: Weights that are sent to the tasks at a time; 64 MB or so.
+ENTRIES = 8_000_000
 
 
 def frequencies(df: DataFrame, by: list[str], k: int, n_policy: str = "as_a") -> DataFrame:
@@ -73,10 +78,11 @@ def train(sequences: DataFrame, k: int = 7, mode: str = "default", adjacent: boo
     k = k if 3 <= k <= 10 else 7
     rows = sequences
     if adjacent:
-        order = Window.orderBy("ord")  # the training table, one row for each file
-        listed = rows.select("ord", "class").distinct()
-        new = F.when(F.col("class") == F.lag("class").over(order), 0).otherwise(1)
-        runs = listed.withColumn("new", new).withColumn("run", F.sum("new").over(order)).select("ord", "run")
+        listed = numbered(rows.select("ord", "class").distinct(), "ord")
+        before = listed.select((F.col("i") + 1).alias("i"), F.col("class").alias("class_before"))
+        starts = listed.join(before, "i", "left").where(~F.col("class").eqNullSafe(F.col("class_before"))).select("i", "ord")
+        within = Window.partitionBy("class").orderBy("ord")  # the files of one class
+        runs = listed.join(starts.select("ord", F.col("i").alias("start")), "ord", "left").withColumn("run", F.max("start").over(within)).select("ord", "run")
         rows = rows.join(runs, "ord")
     else:
         rows = rows.withColumn("run", F.lit(0))
@@ -86,39 +92,90 @@ def train(sequences: DataFrame, k: int = 7, mode: str = "default", adjacent: boo
     return smoothed_weights(freq, by, k) if mode == "smoothed" else densify(weights(freq, by, k), by, k)
 
 
-def classify(reads: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
+def _window_codes(seqs: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, code)`` of the k-mers of both strands in profile order, rows ascending; N counts as A on either strand."""
+    text = np.frombuffer("".join(seqs).encode("latin_1", "replace"), np.uint8)
+    size = np.array([len(s) for s in seqs], np.int64)
+    many = np.maximum(size - k + 1, 0)
+    row = np.repeat(np.arange(len(seqs)), many)
+    begin = np.repeat(size.cumsum() - size, many) + np.arange(len(row)) - np.repeat(many.cumsum() - many, many)
+    forward, back = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+    for j in range(k):
+        letter = text[begin + j]
+        forward = forward * 4 + _digit[letter]
+        back += _other_digit[letter].astype(np.int64) << (2 * j)
+    return np.repeat(row, 2), np.stack([forward, back], axis=1).ravel()
+
+
+_digit, _other_digit = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+_digit[[ord(c) for c in PROFILE_ORDER]] = range(4)
+_other_digit[[ord(c) for c in PROFILE_ORDER.translate(str.maketrans("ACGT", "TGCA"))]] = range(4)
+
+SCORED = "read_id bigint, best double, class_ord bigint, second double, before double"
+
+
+def _score(weights, ords, k: int):
+    """Best class of each read among those of one block, the best of its others, and of those before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, order = weights.value, np.asarray(ords)
+        step = max(1, ENTRIES // len(order))
+        for batch in batches:
+            ids, seqs = batch.column(0), batch.column(1).to_pylist()
+            scores = np.zeros((len(seqs), len(order)))
+            row, code = _window_codes(seqs, k)
+            for at in range(0, len(row), step):
+                part = row[at : at + step]
+                first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                scores[part[first]] += np.add.reduceat(table[code[at : at + step]], first)
+            scores = np.round(scores, 6)
+            best = scores.argmax(axis=1)  # the first of equal classes
+            every, column = np.arange(len(seqs)), np.arange(len(order))
+            top = scores[every, best]
+            second = np.where(column == best[:, None], -np.inf, scores).max(axis=1, initial=-np.inf)
+            before = np.where(column < best[:, None], scores, -np.inf).max(axis=1, initial=-np.inf)
+            yield pa.record_batch([ids, pa.array(top), pa.array(order[best]), pa.array(second), pa.array(before)], ["read_id", "best", "class_ord", "second", "before"])
+
+    return run
+
+
+def classify(reads: DataFrame, profiles: DataFrame, k: int, entries: int = ENTRIES) -> DataFrame:
     """``(read_id, name, class_ord, class, score, margin, margin_seq)``: the best class of each read.
 
-    The score of a class is the sum of counts times weights over the read's both-strand words; the first of equal
-    classes wins. ``margin`` is the distance to the true runner-up, ``margin_seq`` to the best of the classes before
-    the winner (1e10 below, if it is the first). Reads shorter than ``k`` score 0 for every class.
+    The score of a class is the sum of counts times weights over the read's both-strand words, rounded to six digits; words that
+    ``profiles`` lacks weigh nothing. The first of equal classes wins. ``margin`` is the distance to the true runner-up (null with one class),
+    ``margin_seq`` to the best of the classes before the winner (1e10 below, if it is the first). Reads shorter than ``k`` score 0
+    for every class. Null sequences and ids are left out, of rows with one id one is taken. Without classes there are no rows.
 
-    ``profiles`` has ``(class_ord, class, code, w)``; it is broadcast while it has at most BROADCAST_ROWS rows. Reads
-    aggregate their words first, so that each meets a class once for each distinct word.
+    ``profiles`` has ``(class_ord, class, code, w)``. Weights are sent to the tasks as tables of ``entries`` numbers at most; more classes
+    than that holds are scored in blocks over the same reads, whose winners meet by read. Reads are never multiplied by classes or words.
     """
-    small = profiles.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    named = reads.where(F.col("read_id").isNotNull()).select("read_id", "name", "seq").dropDuplicates(["read_id"])
-    classes = profiles.select("class_ord", "class").distinct()
-    counts = profile_codes(named.select("read_id", "seq"), k).groupBy("read_id", "code").agg(F.count(F.lit(1)).alias("cnt"))
-    side = profiles.select("class_ord", "code", "w")
-    scores = counts.join(F.broadcast(side) if small else side, "code").groupBy("read_id", "class_ord").agg(F.sum(F.col("cnt") * F.col("w")).alias("score"))
-    scored = scores.groupBy("read_id").agg(F.collect_list(F.struct("class_ord", "score")).alias("s"))  # one entry for each class
-    order = classes.agg(F.array_sort(F.collect_list(F.struct("class_ord", "class"))).alias("classes"))
-    every = named.select("read_id", "name").join(scored, "read_id", "left").join(F.broadcast(order))
-    known = F.map_from_entries(F.coalesce("s", F.array().cast("array<struct<class_ord:int,score:double>>")))
-    full = every.withColumn("known", known).withColumn(
-        "all", F.transform("classes", lambda c: F.struct(F.round(F.coalesce(F.col("known")[c["class_ord"]], F.lit(0.0)), 6).alias("score"), (-c["class_ord"]).alias("neg"), c["class"].alias("class")))
-    )
-    best = F.array_max("all")
-    return (
-        full.select("read_id", "name", "all", best.alias("best"))
-        .withColumn("others", F.filter("all", lambda c: c["neg"] != F.col("best.neg")))
-        .withColumn("before", F.filter("others", lambda c: c["neg"] > F.col("best.neg")))
-        .select(
-            "read_id", "name", (-F.col("best.neg")).alias("class_ord"), F.col("best.class").alias("class"), F.col("best.score").alias("score"),
-            (F.col("best.score") - F.array_max("others")["score"]).alias("margin"),
-            (F.col("best.score") - F.coalesce(F.array_max("before")["score"], F.lit(-1e10))).alias("margin_seq"),
-        )
+    spark = reads.sparkSession
+    named = reads.where(F.col("read_id").isNotNull() & F.col("seq").isNotNull()).select("read_id", "name", "seq").dropDuplicates(["read_id"])
+    classes = profiles.groupBy(F.col("class_ord").cast("bigint").alias("class_ord")).agg(F.min("class").alias("class"))
+    ords = sorted(r[0] for r in classes.select("class_ord").collect())
+    size, found = max(1, entries // 4**k), None
+    for at in range(0, len(ords), size):
+        block = ords[at : at + size]
+        rows = profiles.where(F.col("class_ord").between(block[0], block[-1])).select("class_ord", "code", F.col("w").cast("double").alias("w")).toArrow()  # ``entries`` rows at most
+        table = np.zeros((4**k, len(block)))
+        table[rows["code"].to_numpy(), np.searchsorted(block, rows["class_ord"].to_numpy())] = rows["w"].to_numpy()
+        part = named.select("read_id", "seq").mapInArrow(_score(spark.sparkContext.broadcast(table), block, k), SCORED)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "read_id bigint, name string, class_ord bigint, class string, score double, margin double, margin_seq double")
+    if len(ords) > size:  # one row for each block
+        best = F.max(F.struct("best", (-F.col("class_ord")).alias("neg"), "second", "before")).alias("b")
+        met = found.groupBy("read_id").agg(best, F.collect_list(F.struct("best", "class_ord")).alias("all"))
+        others = F.filter("all", lambda x: x["class_ord"] != -F.col("b.neg"))
+        earlier = F.filter(others, lambda x: x["class_ord"] < -F.col("b.neg"))
+        most = lambda xs: F.coalesce(F.array_max(F.transform(xs, lambda x: x["best"])), F.lit(float("-inf")))
+        found = met.select("read_id", "b.best", (-F.col("b.neg")).alias("class_ord"), F.greatest("b.second", most(others)).alias("second"), F.greatest("b.before", most(earlier)).alias("before"))
+    finite = lambda c: F.when(F.col(c) > float("-inf"), F.col(c))
+    joined = named.select("read_id", "name").join(found, "read_id").join(classes, "class_ord")
+    return joined.select(
+        "read_id", "name", "class_ord", "class", F.col("best").alias("score"),
+        (F.col("best") - finite("second")).alias("margin"), (F.col("best") - F.coalesce(finite("before"), F.lit(-1e10))).alias("margin_seq"),
     )
 
 

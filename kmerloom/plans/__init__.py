@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assembly, contigs, hot, profiles, reads
+from . import assembly, contigs, files, hot, profiles, reads
 
-MODULES = (hot, reads, contigs, profiles, assembly)
+MODULES = (hot, reads, contigs, profiles, assembly, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

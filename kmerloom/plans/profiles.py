@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.align import LETTERS, SCORES, alignment_bits
 from ..functions.sequence import e_value, translate_dna, upcase
 from ..operators import profiles, search
-from ..session import spread, table
-from ..sources.profiles import as_lines, bin_lines
+from ..session import scratch, spread, table
+from ..sources.profiles import as_lines, bin_lines, read_db, write_db
 from .reads import READS, _frame_sql, reads
 
 QUERIES: dict = {}
@@ -77,16 +77,17 @@ def profile_weights_smoothed(spark, sf_dir):
 
 
 def _classified(spark, sf_dir):
+    """Reads that are as many as the table holds; N counts as A, which is how their profiles count it."""
     weights = _trained(spark, sf_dir).select(F.col("file_ord").alias("class_ord"), F.concat(F.lit("file "), "file_ord").alias("class"), F.col("code"), F.round("w", 6).alias("w"))
     return profiles.classify(reads(spark, sf_dir), weights, 4)
 
 
 @query(_WEIGHTS + """, n AS (SELECT read_id, code, count(*) AS n FROM w GROUP BY 1, 2), q AS (SELECT read_id, v.file_ord AS class_ord, sum(n * round(v.w, 6)) AS s FROM n JOIN v USING (code) GROUP BY 1, 2),
 e AS (SELECT r.read_id, r.name, d.file_ord AS class_ord, round(coalesce(s, 0.0), 6) AS score FROM r CROSS JOIN d LEFT JOIN q ON q.read_id = r.read_id AND q.class_ord = d.file_ord),
-k AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY score DESC, class_ord) AS k, lead(score) OVER (PARTITION BY read_id ORDER BY score DESC, class_ord) AS second FROM e)
-SELECT read_id, name, class_ord, 'file ' || class_ord AS class, round(score, 3) AS score, round(score - second, 3) AS margin FROM k WHERE k = 1""")
+k AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY score DESC, class_ord) AS k, lead(score) OVER (PARTITION BY read_id ORDER BY score DESC, class_ord) AS second, max(score) OVER (PARTITION BY read_id ORDER BY class_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e)
+SELECT read_id, name, CAST(class_ord AS BIGINT) AS class_ord, 'file ' || class_ord AS class, round(score, 3) AS score, round(score - second, 3) AS margin, round(score - coalesce(before, -1e10), 3) AS margin_seq FROM k WHERE k = 1""")
 def classify(spark, sf_dir):
-    return _classified(spark, sf_dir).select("read_id", "name", "class_ord", "class", F.round("score", 3).alias("score"), F.round("margin", 3).alias("margin"))
+    return _classified(spark, sf_dir).select("read_id", "name", "class_ord", "class", F.round("score", 3).alias("score"), F.round("margin", 3).alias("margin"), F.round("margin_seq", 3).alias("margin_seq"))
 
 
 @query(f"SELECT '>' || name || chr(10) || class AS value FROM ({ORACLE['classify']}) WHERE name IS NOT NULL")
@@ -94,6 +95,51 @@ def classify_bins(spark, sf_dir):
     return bin_lines(_classified(spark, sf_dir).where("name is not null"))
 
 
+def _training(spark, sf_dir):
+    """Reads under the class whose number is that of their file; those without a path share one name."""
+    classes = table(spark, sf_dir, "train_classes").select(F.col("class_ord").alias("ord"), F.when(F.col("path").isNotNull(), F.col("class_name")).otherwise("unnamed").alias("class"))
+    return by_file(spark, sf_dir).select(F.col("file_ord").alias("ord"), "seq").join(F.broadcast(classes), "ord")  # one row for each class
+
+
+_TRAINED = _codes(4) + """, j AS (SELECT w.file_ord AS ord, CASE WHEN path IS NOT NULL THEN class_name ELSE 'unnamed' END AS class, code FROM w JOIN train_classes ON class_ord = file_ord),
+u AS (SELECT ord, class, {run} AS run FROM (SELECT DISTINCT ord, class FROM j)), z AS (SELECT j.class, run, j.ord, code FROM j JOIN u USING (ord)),
+y AS (SELECT *, min(ord) OVER (PARTITION BY class, run) AS class_ord FROM z), n4 AS (SELECT class_ord, class, code, count(*) AS n FROM y GROUP BY 1, 2, 3),
+n3 AS (SELECT class_ord, code // 4 AS code, sum(n) AS n FROM n4 GROUP BY 1, 2), n2 AS (SELECT class_ord, code // 16 AS code, sum(n) AS n FROM n4 GROUP BY 1, 2),
+a AS (SELECT class_ord, class, CAST(x AS BIGINT) AS code FROM (SELECT DISTINCT class_ord, class FROM n4), unnest(range(0, 256)) AS t(x))
+SELECT CAST(a.class_ord AS INT) AS class_ord, a.class, a.code, round(coalesce(11.0 * ln(n4.n / n3.n) + ln(n3.n / n2.n), -20.0), 6) AS w FROM a
+  LEFT JOIN n4 ON n4.class_ord = a.class_ord AND n4.code = a.code LEFT JOIN n3 ON n3.class_ord = a.class_ord AND n3.code = a.code // 4 LEFT JOIN n2 ON n2.class_ord = a.class_ord AND n2.code = a.code // 16"""
+
+
+@query(_TRAINED.format(run="0"))
+def train_classes(spark, sf_dir):
+    return profiles.train(_training(spark, sf_dir), 4).select("class_ord", "class", "code", F.round("w", 6).alias("w"))
+
+
+@query(_TRAINED.replace("(SELECT DISTINCT ord, class FROM j)), z", "(SELECT *, CASE WHEN class = lag(class) OVER (ORDER BY ord) THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT ord, class FROM j))), z").format(run="sum(new) OVER (ORDER BY ord)"))
+def train_adjacent(spark, sf_dir):
+    """A class that returns after another one is a class of its own."""
+    return profiles.train(_training(spark, sf_dir), 4, adjacent=True).select("class_ord", "class", "code", F.round("w", 6).alias("w"))
+
+
+@query()
+def train_and_classify(spark, sf_dir):
+    """The whole job at the default word length, 16,384 words for each class."""
+    weights = profiles.train(_training(spark, sf_dir))
+    return profiles.classify(reads(spark, sf_dir), weights, 7)
+
+
+@query("""WITH c AS (SELECT vec_id, regexp_replace(coalesce(name, ''), '[:\\n]', ' ', 'g') AS name, vector FROM profiledb WHERE word_len = 3 AND len(vector) = 64),
+n AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS line FROM c)
+SELECT line AS class_ord, name AS class, CAST(i - 1 AS BIGINT) AS code, CAST(CASE WHEN abs(vector[i] - trunc(vector[i])) < 0.00001 THEN printf('%.0f', vector[i]) ELSE printf('%7.5f', vector[i]) END AS DOUBLE) AS w FROM n, unnest(range(1, 65)) AS t(i)""")
+def profile_db_round(spark, sf_dir):
+    """The profiles of three letters, written as a text database and read again."""
+    rows = table(spark, sf_dir, "profiledb").where("word_len = 3 and size(vector) = 64")
+    dense = rows.select(F.col("vec_id").alias("class_ord"), F.regexp_replace(F.coalesce("name", F.lit("")), "[:\n]", " ").alias("class"), F.posexplode("vector").alias("code", "w"))
+    path = scratch(spark)
+    write_db(dense, 3, path)
+    return read_db(spark, path)[0]
+
+
 @query("""SELECT vec_id, concat_ws(':', coalesce(name, ''), array_to_string(list_transform(vector, lambda v: CASE WHEN abs(v - trunc(v)) < 0.00001 THEN printf('%.0f', v) ELSE printf('%7.5f', v) END), ':')) AS value
 FROM profiledb WHERE vector IS NOT NULL""")
 def profile_lines(spark, sf_dir):

@@ -323,3 +323,22 @@ def load_order(spark, sf_dir):
     """Reads loaded again, in the order of loading."""
     order = Window.partitionBy("name").orderBy("loaded_at", "read_id")
     return table(spark, sf_dir, "reads").where("name is not null").select("read_id", "name", F.row_number().over(order).alias("load"))
+
+
+@query(_JOIN + f""", e2 AS (SELECT query_id, read_id, strand, offset_ FROM c WHERE {_EXACT})
+SELECT query_id, read_id, strand, offset_ AS "offset", CAST(row_number() OVER (PARTITION BY query_id ORDER BY offset_, read_id DESC, strand DESC) AS INT) AS place FROM e2""")
+def match_order(spark, sf_dir):
+    rows = reads(spark, sf_dir)
+    return overlap.match_order(overlap.overlaps(rows, rows, K, K)).select("query_id", "read_id", "strand", "offset", "place")
+
+
+@query(_JOIN + f""", m AS (SELECT query_id, read_id, strand, offset_, o FROM c WHERE {_EXACT} AND length(o) >= 75),
+p AS (SELECT v.query_id, v.read_id, v.strand, v.offset_ AS "offset", u.read_id AS before_id, u.strand AS before_strand, u.offset_ AS before_offset, v.offset_ - u.offset_ AS d, u.o AS uo, v.o AS vo
+  FROM m v JOIN m u ON u.query_id = v.query_id AND u.offset_ <= v.offset_ AND length(u.o) - (v.offset_ - u.offset_) >= 25 AND (u.read_id <> v.read_id OR u.strand <> v.strand OR u.offset_ < v.offset_))
+SELECT query_id, read_id, strand, "offset", before_id, before_strand, before_offset FROM p
+WHERE substr(uo, CAST(d + 1 AS INT), CAST(least(length(uo) - d, length(vo)) AS INT)) = substr(vo, 1, CAST(least(length(uo) - d, length(vo)) AS INT))""")
+def match_ancestors(spark, sf_dir):
+    """Ancestors among the matches of reads of 75 letters and more."""
+    rows = reads(spark, sf_dir)
+    found = overlap.overlaps(rows, rows.where(F.length("seq") >= 75), K, K)
+    return overlap.ancestors(found, K)

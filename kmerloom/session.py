@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,19 +27,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names.
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Use the folder that the cluster names.
 
     A directory of our own is set only where the session has none and runs in local mode (tests).
     """
-    spark = df.sparkSession
-    ship(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kmerloom-"))
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint."""
+    ship(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -54,3 +59,20 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
         return df
     many = max(cores, parts)
     return df.repartition(many, *keys) if keys else df.repartition(many)
+
+
+def numbered(df: DataFrame, *order: str, name: str = "i") -> DataFrame:
+    """Adds ``name``, 0, 1, 2 ... in the given order, without putting the rows in one task.
+
+    The rows are sorted in ranges; only the number of rows in each range is put in sequence.
+    """
+    rows = checkpoint(df.orderBy(*order).withColumn("_range", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id() % (1 << 33)))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_size")).select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(sizes), "_range").select(*df.columns, (F.col("_before") + F.col("_place")).alias(name))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files, beside the checkpoints, where all executors can read and write."""
+    checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,6 @@ class Range(InputPartition):
     file_ord: int
     start: int
     end: int
-    fastq: bool
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -116,10 +116,9 @@ def fastq_records(lines: Iterator[tuple[int, bytes]], end: int) -> Iterator[tupl
 
 class FastxReader(DataSourceReader):
     def __init__(self, options: dict):
-        paths = options.get("path") or ",".join(v for k, v in sorted(options.items()) if k == "paths")
-        if not paths:
+        if not (options.get("paths") or options.get("path")):
             raise ValueError("give a path")
-        self.paths = paths.split(",")
+        self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]  # names may hold commas
         self.split = int(options.get("splitbytes", 64 << 20))
         self.stop = NAME_STOPS[options.get("name_stop", "reads")]
 
@@ -127,9 +126,9 @@ class FastxReader(DataSourceReader):
         out = []
         for n, path in enumerate(files_of(self.paths)):
             fs, inner = _open(path)
-            size, fastq = fs.get_file_info(inner).size, is_fastq(path)
-            out += [Range(path, n, b, min(b + self.split, size), fastq) for b in range(0, size, self.split)]
-        return out or [Range("", 0, 0, 0, False)]
+            size = fs.get_file_info(inner).size
+            out += [Range(path, n, b, min(b + self.split, size)) for b in range(0, size, self.split)]
+        return out or [Range("", 0, 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         columns = ["file_ord", "pos", "header", "name", "seq", "qual"]
@@ -143,7 +142,7 @@ class FastxReader(DataSourceReader):
         fs, inner = _open(part.path)
         with fs.open_input_file(inner) as f:
             rows = []
-            records = (fastq_records if part.fastq else fasta_records)(_lines(f, part.start), part.end)
+            records = (fastq_records if is_fastq(part.path) else fasta_records)(_lines(f, part.start), part.end)  # each task looks for itself
             for pos, header, seq, qual in records:
                 rows.append((part.file_ord, pos, header, _cut(header, self.stop), seq, qual))
                 if len(rows) >= 5000:
@@ -154,7 +153,7 @@ class FastxReader(DataSourceReader):
 
 
 class Fastx(DataSource):
-    """``spark.read.format('fastx').load(path)``; options ``splitbytes`` and ``name_stop``.
+    """``spark.read.format('fastx').load(path)``; options ``splitbytes``, ``name_stop``, and ``paths``, a JSON list.
 
     A record belongs to the range that holds its first byte, so none is lost or read twice, however it is cut (S1, S2, S4).
     Records without a sequence give an empty one. Sequences have any length and come as stored.
@@ -179,7 +178,7 @@ def read_fastx(spark: SparkSession, paths: str | list[str], name_stop: str = "re
     ship(spark)
     spark.dataSource.register(Fastx)
     listed = [paths] if isinstance(paths, str) else paths
-    rows = spark.read.format("fastx").option("name_stop", name_stop).option("splitbytes", split_bytes).load(",".join(listed))
+    rows = spark.read.format("fastx").option("name_stop", name_stop).option("splitbytes", split_bytes).option("paths", json.dumps(listed)).load()
     return rows.select((F.shiftleft(F.col("file_ord").cast("bigint"), 40) + F.col("pos")).alias("read_id"), "file_ord", "name", "header", "seq", "qual")
 
 
@@ -200,7 +199,19 @@ def paths_in(spark: SparkSession, listing: str) -> list[str]:
     return [p for row in spark.read.text(listing).collect() for p in row.value.split()]
 
 
-def with_row(reads: DataFrame, read_id: int, name: str, seq: str) -> DataFrame:
-    """One more read, white space taken out."""
-    one = reads.sparkSession.createDataFrame([(read_id, name, "".join(seq.split()))], "read_id bigint, name string, seq string")
-    return reads.select("read_id", "name", "seq").unionByName(one)
+def parse_text(texts: DataFrame, column: str = "value") -> DataFrame:
+    """``(name, seq)`` of the FASTA records in a text column, whole headers kept as names, white space taken out of sequences.
+
+    What stands before the first '>' is no record; records without a sequence give an empty one.
+    """
+    marked = texts.select(F.explode(F.slice(F.split(F.concat(F.lit("\n"), F.col(column)), "\n>"), 2, 2147483647)).alias("r"))
+    head = F.regexp_replace(F.substring_index("r", "\n", 1), "[\t\r].*$", "")
+    body = F.when(F.col("r").contains("\n"), F.expr("substr(r, instr(r, '\n') + 1)")).otherwise("")
+    return marked.select(head.alias("name"), F.regexp_replace(body, r"\s", "").alias("seq"))
+
+
+def with_row(reads: DataFrame, name: str, seq: str, read_id: int | None = None) -> DataFrame:
+    """One more read, white space taken out; its id follows the greatest one unless it is given."""
+    one = reads.sparkSession.createDataFrame([(name, "".join(seq.split()))], "name string, seq string")
+    given = F.lit(read_id).cast("bigint") if read_id is not None else reads.agg((F.coalesce(F.max("read_id"), F.lit(-1)) + 1).alias("n")).scalar()
+    return reads.select("read_id", "name", "seq").unionByName(one.select(given.alias("read_id"), "name", "seq"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint, numbered
 from .fastx import read_fastx
 
 #: Fixed value: how a profile database begins.
@@ -29,28 +30,36 @@ def as_vectors(profiles: DataFrame) -> DataFrame:
 
 
 def write_db(profiles: DataFrame, k: int, path: str) -> None:
-    """One text file, header first, classes in order."""
+    """A folder of text files, header first, classes in order from file to file."""
     spark = profiles.sparkSession
-    lines = as_lines(as_vectors(profiles)).unionByName(spark.createDataFrame([(-1, f"{HEADER}{k}")], "class_ord int, value string"))
-    lines.coalesce(1).sortWithinPartitions("class_ord").select("value").write.mode("overwrite").text(path)
+    lines = as_lines(as_vectors(profiles)).unionByName(spark.createDataFrame([(-1, f"{HEADER}{k}")], "class_ord bigint, value string"))
+    lines.orderBy("class_ord").select("value").write.mode("overwrite").text(path)
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, line)``: the lines of files, numbered in the order of file names and places, however they are split."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    return numbered(rows, "file", "block", "place", name="line").select("value", "line")
 
 
 def read_db(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """``(class_ord, class, code, w)`` of a text database and its word length; 7 if the header names none above 2."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    head = lines.orderBy("line").limit(1).first()
-    digits = "".join(c for c in (head.value if head else "")[len(HEADER) :].strip() if c.isdigit())
+    """``(class_ord, class, code, w)`` of a text database and its word length; 7 if the header names none above 2.
+
+    The database may be one file or many, in any number of partitions; ``class_ord`` counts its lines, the header being line 0.
+    """
+    lines = checkpoint(_lines(spark, path))
+    head = lines.where("line = 0").first()
+    digits = "".join(c for c in (head.value if head and head.value.startswith(HEADER) else "")[len(HEADER) :].strip() if c.isdigit())
     k = int(digits) if digits and int(digits) > 2 else 7
-    cells = lines.where(F.col("line") != (head.line if head else -1)).select("line", F.split("value", ":").alias("c"))
-    rows = cells.select(F.col("line").cast("int").alias("class_ord"), F.col("c")[0].alias("class"), F.posexplode(F.slice("c", 2, 4**k)).alias("code", "w"))
+    cells = lines.where("line > 0").select("line", F.split("value", ":").alias("c"))
+    rows = cells.select(F.col("line").alias("class_ord"), F.col("c")[0].alias("class"), F.posexplode(F.slice("c", 2, 4**k)).alias("code", "w"))
     return rows.select("class_ord", "class", F.col("code").cast("bigint").alias("code"), F.expr("coalesce(try_cast(w as double), 0.0)").alias("w")), k
 
 
 def read_training(spark: SparkSession, path: str) -> DataFrame:
     """``(ord, class, path)`` of a table ``class<blanks>fasta``."""
     cells = F.split(F.trim("value"), "[ \t]+")
-    rows = spark.read.text(path).where(F.trim("value") != "").withColumn("ord", F.monotonically_increasing_id())
-    return rows.select("ord", cells[0].alias("class"), cells[1].alias("path"))
+    return _lines(spark, path).where(F.trim("value") != "").select(F.col("line").alias("ord"), cells[0].alias("class"), cells[1].alias("path"))
 
 
 def training_sequences(spark: SparkSession, table: DataFrame) -> DataFrame:

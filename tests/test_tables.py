@@ -43,12 +43,39 @@ def test_fasta_edges(spark, tmp_path):
     (tmp_path / "list").write_text(f"{tmp_path}/e.fa\n{tmp_path}/none.fa")
     got = fastx.load_reads(spark, fastx.paths_in(spark, str(tmp_path / "list"))).orderBy("read_id").collect()
     assert [(r.name, r.seq) for r in got] == [("a", "ACGT"), ("empty", ""), ("c", "NNNN")]
-    more = fastx.with_row(fastx.load_small(spark, str(tmp_path / "e.fa")), 9, "new", "AC GT")
-    assert more.count() == 4
+    more = fastx.with_row(fastx.load_small(spark, str(tmp_path / "e.fa")), "new", "AC GT")
+    assert more.count() == 4 and more.orderBy("read_id").collect()[-1].seq == "ACGT"
+    assert fastx.with_row(more, "given", "A", 5).where("read_id = 5").count() == 1
     with pytest.raises(Exception, match="missing"):
         fastx.read_fastx(spark, str(tmp_path / "missing.fa")).count()
 
 
+def test_commas_in_paths(spark, tmp_path):
+    (tmp_path / "a,b.fa").write_text(">x\nAC\n")
+    (tmp_path / "c.fq").write_text("@y\nGT\n+\n@@\n")
+    got = fastx.read_fastx(spark, [str(tmp_path / "a,b.fa"), str(tmp_path / "c.fq")]).orderBy("read_id").collect()
+    assert [(r.name, r.seq, r.qual) for r in got] == [("x", "AC", None), ("y", "GT", "@@")]
+
+
+def test_text_of_records(spark):
+    df = spark.createDataFrame([("junk\n>a b\r\nAC GT\r\nN\n>empty\n>c\tdetail\nTT",), (None,), ("",), (">only",)], "value string")
+    assert sorted((r.name, r.seq) for r in fastx.parse_text(df).collect()) == [("a b", "ACGTN"), ("c", "TT"), ("empty", ""), ("only", "")]
+
+
+def test_a_database_of_many_partitions(spark, tmp_path):
+    data = [(o, f"c{o:02}", c, float(o * 64 + c)) for o in range(12) for c in range(64)]
+    df = spark.createDataFrame(data, "class_ord int, class string, code bigint, w double")
+    profiles.write_db(df.repartition(5), 3, str(tmp_path / "db"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        assert spark.read.text(str(tmp_path / "db")).rdd.getNumPartitions() >= 12
+        back, k = profiles.read_db(spark, str(tmp_path / "db"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert k == 3 and [(r["class"], r.code, r.w) for r in back.orderBy("class_ord", "code").collect()] == [d[1:] for d in data]
+
+
 def test_profile_database(spark, tmp_path, rows):
     data = [(o, f"c{o}", c, float(c) if c % 2 else c / 7) for o in range(2) for c in range(64)]
     df = spark.createDataFrame(data, "class_ord int, class string, code bigint, w double")
