@@ -1,10 +1,14 @@
 """Text garbled by a wrong character encoding: found and restored by decipherment.
 
 A garbled word is taken as enciphered by an unknown channel: its bytes were written in one code page and read
-in another. For bytes of single letters that is a substitution cipher, undone by ``str.translate``. Which channels a
-source suffers from, and how its undamaged words look (their letter bigrams), is learned by expectation-maximization:
-the E-step weighs for each word what it would be under each channel, the M-step re-estimates the bigrams of the restored
-words and the channels' shares in each source.
+in another. For bytes of single letters that is a substitution cipher. Which letter each character stands for in a channel is learned
+by expectation-maximization against the letter bigrams of the language, for all text and for each source, and so are
+the shares of the channels in each source; known pairs of code pages are where the ciphers begin. The E-step weighs for each word what it
+would be under each channel, and in a word of a channel what each character may stand for; the M-step re-estimates bigrams, shares and
+substitution tables. The tables are applied by ``str.translate``.
+
+Text in UTF-8 or an Asian encoding that was read as single bytes is no such cipher, since one letter is several characters. It is decoded
+as what it is; its channels take part in the same estimates.
 """
 
 from __future__ import annotations
@@ -34,7 +38,8 @@ ASIAN_READ_AS = ["latin_1", "cp1252"]
 
 #: White space that parts words; within a word, other kinds may be garbled letters.
 BLANK = "[ \\t\\n\\r\\f\\u000b]+"
-ROUNDS = 1
+#: Rounds of expectation-maximization at most, and the change of the channels' shares of words below which it ends.
+ROUNDS, SETTLED = 4, 0.1
 #: Log odds by which a restored word must beat the word as it is, beyond what the channel's share asks.
 MARGIN = 2.0
 #: Share of garbled words before anything is known, and the count with which it enters the estimates.
@@ -43,8 +48,14 @@ SHARE, WEIGHT = 0.02, 50.0
 PASSED = 0.3
 #: Passes over one word, for text that was garbled several times.
 PASSES = 3
-#: Verdicts that a task remembers; sources that get shares of their own, all others having the common ones.
-CACHE, SOURCES = 200_000, 10_000
+#: Count with which a code page's own letter enters a substitution table, and with which every other letter of the page does.
+OWN_LETTER, OTHER_LETTER = 20.0, 0.02
+#: Evidence that a source needs for a letter of its own.
+EVIDENCE = 5.0
+#: Verdicts that a task remembers; bigrams that a model keeps, the most frequent ones; sources whose shares are broadcast.
+CACHE, PAIRS, BROADCAST_SOURCES = 200_000, 1_000_000, 10_000
+#: Stands for all sources together.
+COMMON = "\0"
 
 SURE = re.compile("[\x80-\x9f�]")  # no correct text has these
 
@@ -55,37 +66,39 @@ def _page(name: str) -> list[str]:
     return [bytes([b]).decode(name, "ignore") or chr(b) for b in range(256)]
 
 
-class _Bytes(dict):
-    """translate() table from characters to the bytes they were read from; others to no byte."""
-
-    def __missing__(self, code: int) -> int:
-        return code if code < 0x80 else 0xFFFF
-
-
-@cache
-def _bytes(read_as: str) -> _Bytes:
-    return _Bytes({ord(c): b for b, c in enumerate(_page(read_as)) if b >= 0x80})
-
-
 @cache
 def _swap(read_as: str, written: str) -> dict[int, str]:
+    """Where the cipher of two code pages begins."""
     return {ord(a): b for a, b in list(zip(_page(read_as), _page(written)))[0x80:] if a != b}
 
 
 @cache
 def _upper(read_as: str) -> frozenset:
-    return frozenset(c for c in _page(read_as)[0x80:])
+    return frozenset(_page(read_as)[0x80:])
 
 
-_multi = {name: re.compile(pattern) for name, pattern in MULTI.items()}
+@cache
+def _alphabet(written: str) -> tuple[str, ...]:
+    """The letters that a page has beyond ASCII."""
+    return tuple(c for c in _page(written)[0x80:] if c.isalpha())
+
+
+@cache
+def _runs(read_as: str, written: str) -> tuple[re.Pattern, dict[str, int]]:
+    """Runs of characters whose bytes are valid in a multi-byte encoding, and those bytes."""
+    page = _page(read_as)
+    char = lambda m: re.escape(page[ord(m[0])]) if m[0] >= "\x80" else re.escape(m[0])
+    classes = re.sub(r"\[([^]]*)\]", lambda m: "[" + "".join(re.sub("(?s).", char, "".join(map(chr, range(ord(a), ord(b) + 1)))) for a, b in re.findall("(?s)(.)-(.)", m[1])) + "]", MULTI[written])
+    return re.compile(classes), {c: b for b, c in enumerate(page) if b >= 0x80} | {chr(b): b for b in range(0x80)}
 
 
 def _decoded(word: str, read_as: str, written: str) -> str:
     """``word`` with every run of bytes that is valid in the multi-byte encoding decoded."""
-    raw, out, at = word.translate(_bytes(read_as)), [], 0
-    for m in _multi[written].finditer(raw):
+    pattern, to_byte = _runs(read_as, written)
+    out, at = [], 0
+    for m in pattern.finditer(word):
         try:
-            text = m[0].encode("latin_1").decode(written)
+            text = bytes(map(to_byte.__getitem__, m[0])).decode(written)
         except UnicodeError:
             continue
         out += [word[at : m.start()], text]
@@ -93,12 +106,13 @@ def _decoded(word: str, read_as: str, written: str) -> str:
     return "".join([*out, word[at:]]) if out else word
 
 
-def candidates(word: str) -> dict[str, list[str]]:
-    """What ``word`` would be under each channel, as far as that differs, with the channels that say so."""
+def decodings(word: str, beyond: str) -> dict[str, list[str]]:
+    """What ``word`` would be if it were multi-byte text, with the channels that say so; ``beyond`` are its characters beyond ASCII."""
     found: dict[str, list[str]] = {}
-    beyond = {c for c in word if c >= "\x80"}
+    if len(beyond) < 2:  # a letter of two bytes has two kinds of them
+        return found
     for r in READ_AS:
-        text, before = word, ""
+        text = word
         for _ in range(PASSES):  # the same channel may have been passed several times
             before, text = text, _decoded(text, r, "utf_8")
             if text == before:
@@ -106,13 +120,8 @@ def candidates(word: str) -> dict[str, list[str]]:
             found.setdefault(text, []).append(f"utf_8>{r}")
     for r in ASIAN_READ_AS:
         for w in ("shift_jis", "euc_jp"):
-            if len(beyond) > 1 and (text := _decoded(word, r, w)) != word:
+            if (text := _decoded(word, r, w)) != word:
                 found.setdefault(text, []).append(f"{w}>{r}")
-    for r in READ_AS:
-        if beyond <= _upper(r):
-            for w in WRITTEN_IN:
-                if w != r and (text := word.translate(_swap(r, w))) != word:
-                    found.setdefault(text, []).append(f"{w}>{r}")
     return found
 
 
@@ -147,50 +156,134 @@ class Bigrams(dict):
 
 
 class Model:
-    """Bigrams of undamaged text and each channel's share of the words of a source."""
+    """Bigrams of undamaged text, and of the channels their shares of the words and their substitution tables."""
+
+    def __init__(self, bigrams: Bigrams, channels: dict[str, float] | None = None, words: float = 0.0, letters: dict[tuple[str, str], dict[str, float]] | None = None):
+        self.bigrams, self.common, self.n_common = bigrams, channels or {}, words
+        self.letters = letters or {}  # (channel, character): expected counts of what it stands for
+        self.tables = {}
+        self.sources: dict[str, tuple[float, dict[str, float], dict[str, dict[int, str]]]] = {}
+        self.restored: dict[tuple[str, str], tuple[str, str | None]] = {}
+        self.better: dict[str, list[tuple[float, str, list[str]]]] = {}
+        self.swapped: dict[str, list[tuple[dict[int, str], list[str]]]] = {}
+
+    def odds(self, channel: str, char: str, letter: str) -> float:
+        """Weight of ``letter`` behind ``char`` in a single-byte channel: what was counted, and where the cipher began."""
+        written, read_as = channel.split(">")
+        start = OWN_LETTER if _swap(read_as, written).get(ord(char), char) == letter else OTHER_LETTER
+        return start + self.letters.get((channel, char), {}).get(letter, 0.0)
+
+    def table(self, channel: str) -> dict[int, str]:
+        """The substitution of a single-byte channel: the likeliest letter for each character."""
+        if (known := self.tables.get(channel)) is None:
+            written, read_as = channel.split(">")
+            known = dict(_swap(read_as, written))
+            for (c, char), counts in self.letters.items():
+                if c == channel:
+                    best = max({*counts, known.get(ord(char), char)}, key=lambda x: (self.odds(channel, char, x), x))
+                    known[ord(char)] = best
+            self.tables[channel] = known
+        return known
+
+    def swaps(self, beyond: str) -> list[tuple[dict[int, str], list[str]]]:
+        """The different substitutions of some characters, with the channels that make them."""
+        if (known := self.swapped.get(beyond)) is not None:
+            return known
+        found: dict[str, list[str]] = {}
+        chars = set(beyond)
+        for r in READ_AS:
+            if chars <= _upper(r):
+                for w in WRITTEN_IN:
+                    if w != r and (letters := beyond.translate(self.table(f"{w}>{r}"))) != beyond:
+                        found.setdefault(letters, []).append(f"{w}>{r}")
+        if len(self.swapped) >= CACHE:
+            self.swapped.clear()
+        self.swapped[beyond] = known = [(dict(zip(map(ord, beyond), letters)), cs) for letters, cs in found.items()]
+        return known
 
-    def __init__(self, bigrams: Bigrams, shares: dict[str, dict[str, float]], words: dict[str, float]):
-        self.bigrams, self.shares, self.words = bigrams, shares, words
-        self.seen: dict[tuple[str, str], tuple[str, str | None]] = {}
-        self.hinted: dict[str, dict[str, tuple[float, str]]] = {}
+    def likelier(self, word: str) -> list[tuple[float, str, list[str]]]:
+        """``(log odds, text, channels)`` of what makes ``word`` likelier; worked out once for each word."""
+        if (known := self.better.get(word)) is not None:
+            return known
+        beyond = "".join(sorted({c for c in word if c >= "\x80"}))
+        padded, pair = f"\n{word}\n", self.bigrams
+        as_is, known = [pair[padded[i : i + 2]] for i in range(len(word) + 1)], []
+        whole = sum(as_is)
+        for text, channels in decodings(word, beyond).items():
+            if (odds := pair.score(text) - whole) > 0.5:
+                known.append((odds, text, channels))
+        touched = sorted({j for i, c in enumerate(word) if c >= "\x80" for j in (i, i + 1)})  # bigrams that a substitution changes
+        base = sum(as_is[j] for j in touched)
+        for table, channels in self.swaps(beyond):
+            text = padded.translate(table)
+            if (odds := sum([pair[text[j : j + 2]] for j in touched]) - base) > 0.5:
+                known.append((odds, text[1:-1], channels))
+        if len(self.better) >= CACHE:
+            self.better.clear()
+        self.better[word] = known
+        return known
+
+    def meet(self, source: str, own: list | None) -> None:
+        """Take in what was learned about a source: ``(key, letter, n)`` entries, see ``own_entries``."""
+        if source in self.sources:
+            return
+        if len(self.sources) >= BROADCAST_SOURCES:
+            self.sources.clear()
+            self.restored.clear()
+        words, channels, tables = 0.0, {}, {}
+        for e in own or ():
+            if e["kind"] == "words":
+                words = e["n"]
+            elif e["kind"] == "channel":
+                channels[e["b"]] = e["n"]
+            else:
+                channel, char = e["b"].split("\t")
+                tables.setdefault(channel, {})[ord(char)] = e["c"]
+        self.sources[source] = words, channels, {c: self.table(c) | t for c, t in tables.items()}
 
     def log_share(self, source: str, channel: str) -> float:
-        own, common = self.shares.get(source, {}), self.shares.get("", {})
-        base = (common.get(channel, 0.0) + WEIGHT * SHARE / 100) / (self.words.get("", 0.0) + WEIGHT)
-        return math.log((own.get(channel, 0.0) + WEIGHT * base) / (self.words.get(source, 0.0) + WEIGHT))
+        words, channels, _ = self.sources.get(source, (0.0, {}, {}))
+        base = (self.common.get(channel, 0.0) + WEIGHT * SHARE / 100) / (self.n_common + WEIGHT)
+        return math.log((channels.get(channel, 0.0) + WEIGHT * base) / (words + WEIGHT))
 
     def restore(self, source: str, word: str) -> tuple[str, str | None]:
         """The word as it was written, and the channel that was undone last; None if it is undamaged."""
-        if (known := self.seen.get((source, word))) is not None:
+        if (known := self.restored.get((source, word))) is not None:
             return known
         text, channel = word, None
+        own = self.sources.get(source, (0.0, {}, {}))[2]
         for _ in range(PASSES):
-            best, now = None, self.bigrams.score(text) + MARGIN
-            for candidate, cs in candidates(text).items():
-                score = self.bigrams.score(candidate)
-                if score > now:
-                    c = max(cs, key=lambda c: self.log_share(source, c))
-                    if (score := score + self.log_share(source, c)) > now:
-                        best, now = (candidate, c), score
+            ways = self.likelier(text)
+            if own:  # ciphers of this source alone
+                as_is = self.bigrams.score(text)
+                ways = [*ways, *((self.bigrams.score(c) - as_is, c, [name]) for name, table in own.items() if (c := text.translate(table)) != text)]
+            best, now = None, MARGIN
+            for odds, candidate, channels in ways:
+                if odds > now:
+                    share, c = max((self.log_share(source, c), c) for c in channels)
+                    if odds + share > now:
+                        best, now = (candidate, c), odds + share
             if best is None:
                 break
             text, channel = best
-        if len(self.seen) >= CACHE:
-            self.seen.clear()
-        self.seen[source, word] = text, channel
+        if len(self.restored) >= CACHE:
+            self.restored.clear()
+        self.restored[source, word] = text, channel
         return text, channel
 
-    def hints(self, word: str) -> dict[str, tuple[float, str]]:
-        """Log odds of each channel that makes ``word`` likelier, and what it makes of it."""
-        if (known := self.hinted.get(word)) is None:
-            as_is, known = self.bigrams.score(word), {}
-            for candidate, cs in candidates(word).items():
-                if (odds := self.bigrams.score(candidate) - as_is) > 0.5:
-                    known |= {c: (odds, candidate) for c in cs if c not in known or known[c][0] < odds}
-            if len(self.hinted) >= CACHE:
-                self.hinted.clear()
-            self.hinted[word] = known
-        return known
+    def stands_for(self, channel: str, word: str, text: str) -> Iterator[tuple[str, str, float]]:
+        """``(character, letter, probability)`` of each enciphered character of a word, its neighbours being taken as restored."""
+        letters = _alphabet(channel.split(">")[0])
+        padded = f"\n{text}\n"
+        for i, char in enumerate(word):
+            if char >= "\x80":
+                left, right = padded[i], padded[i + 2]
+                logs = {x: math.log(self.odds(channel, char, x)) + self.bigrams[left + x] + self.bigrams[x + right] for x in {*letters, text[i]}}
+                most = max(logs.values())
+                weights = {x: math.exp(v - most) for x, v in logs.items() if v > most - 7}
+                total = sum(weights.values())
+                for x, v in weights.items():
+                    yield char, x, v / total
 
     def restore_all(self, source: str, words: list[str]) -> tuple[list[str], set[str]]:
         """The words of one text as they were written, and the channels undone.
@@ -209,8 +302,12 @@ class Model:
                 open_words.append(i)
         stay, passed = math.log(1 - PASSED), {}
         for i in open_words:
-            passed[i] = self.hints(words[i])
-            for c, (gain, _) in passed[i].items():
+            passed[i] = known = {}
+            for gain, text, cs in self.likelier(words[i]):
+                for c in cs:
+                    if c not in known or known[c][0] < gain:
+                        known[c] = gain, text
+            for c, (gain, _) in known.items():
                 odds[c] += math.log(1 - PASSED + PASSED * math.exp(min(gain, 50.0))) - stay
         if odds:
             c, most = max(odds.items(), key=lambda x: (x[1], x[0]))
@@ -222,7 +319,8 @@ class Model:
         return out, channels
 
 
-STATS = "kind string, a string, b string, n double"
+STATS = "kind string, a string, b string, c string, n double"
+OWN = "array<struct<kind string, b string, c string, n double>>"
 
 
 def _suspect(word: str, letters: dict[str, float]) -> bool:
@@ -237,7 +335,7 @@ def _suspect(word: str, letters: dict[str, float]) -> bool:
 
 
 def _statistics(model: Model | None, letters: dict[str, float] | None):
-    """One E-step over distinct words: expected bigrams, letters and channels, added up within a batch.
+    """One E-step over distinct words: expected bigrams, letters, channels and substitutions, added up within a batch.
 
     Without a model, all words count that aren't suspect; without ``letters`` either, just all.
     """
@@ -245,7 +343,7 @@ def _statistics(model: Model | None, letters: dict[str, float] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stats: Counter = Counter()
-            for source, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for i, (source, word, n) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
                 if word.isspace():
                     continue
                 text = word
@@ -253,21 +351,27 @@ def _statistics(model: Model | None, letters: dict[str, float] | None):
                     if letters and _suspect(word, letters):
                         continue
                 else:
+                    if source not in model.sources:
+                        model.meet(source, batch.column(3)[i].as_py())
                     text, channel = model.restore(source, word)
-                    for s in {source, ""}:
-                        stats["words", s, ""] += n
+                    for s in (source, COMMON):
+                        stats["words", s, "", ""] += n
                         if channel:
-                            stats["channel", s, channel] += n
+                            stats["channel", s, channel, ""] += n
+                    if channel and len(text) == len(word) and channel.split(">")[0] not in MULTI:
+                        for char, letter, p in model.stands_for(channel, word, text):
+                            for s in (source, COMMON):
+                                stats["letter of", s, f"{channel}\t{char}", letter] += n * p
                 if SURE.search(text):
                     continue
                 kinds = [*map(_kind, text)]
                 for a, b in zip(["\n", *kinds], [*kinds, "\n"]):
-                    stats["pair", a, b] += n
+                    stats["pair", a, b, ""] += n
                 for c in text:
-                    stats["letter", c, ""] += n
-                stats["letter", "\n", ""] += n
-            k, a, b = zip(*stats) if stats else ((),) * 3
-            yield pa.record_batch([pa.array(k, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(map(float, stats.values()), pa.float64())], ["kind", "a", "b", "n"])
+                    stats["letter", c, "", ""] += n
+                stats["letter", "\n", "", ""] += n
+            columns = [*zip(*stats)] if stats else [()] * 4
+            yield pa.record_batch([*(pa.array(c, pa.string()) for c in columns), pa.array(map(float, stats.values()), pa.float64())], ["kind", "a", "b", "c", "n"])
 
     return run
 
@@ -278,32 +382,57 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce("source", F.lit("?")).alias("source"), F.explode(beyond).alias("word")).groupBy("source", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def learn(documents: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Bigrams and channel shares by expectation-maximization over all words of all documents.
+def own_entries(sums: DataFrame, model: Model) -> DataFrame:
+    """``(source, own)``: the channels of each source, and the letters in which its tables differ from the common ones."""
+    spark = sums.sparkSession
+    shares = sums.where("kind in ('words', 'channel')").where(F.col("a") != COMMON).select("a", "kind", "b", "c", "n")
+    letters = sums.where("kind = 'letter of'").where(F.col("a") != COMMON).groupBy("a", "b").agg(F.max_by("c", "n").alias("c"), F.sum("n").alias("n")).where(F.col("n") >= EVIDENCE)
+    common = [(f"{channel}\t{char}", model.table(channel).get(ord(char), char)) for channel, char in model.letters]  # channels times characters at most
+    same = F.broadcast(spark.createDataFrame(common, "b string, c string"))
+    rows = shares.unionByName(letters.join(same, ["b", "c"], "left_anti").select("a", F.lit("letter of").alias("kind"), "b", "c", "n"))
+    return rows.groupBy(F.col("a").alias("source")).agg(F.collect_list(F.struct("kind", "b", "c", "n")).alias("own"))
 
-    Only sums reach the driver: bigrams of small alphabets, letters, and the channels of at most SOURCES sources.
+
+def _with_own(rows: DataFrame, own: DataFrame | None) -> DataFrame:
+    if own is None:
+        return rows.withColumn("own", F.lit(None).cast(OWN))
+    few = own.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    return rows.join(F.broadcast(own) if few else own, "source", "left")
+
+
+def learn(documents: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame | None]:
+    """Bigrams, channel shares and substitution tables by expectation-maximization over all words of all documents.
+
+    Returns the common model, whose size is bounded by alphabets and code pages, and a table with one row for each source.
+    Rounds end when the shares of the channels settle.
     """
-    words = checkpoint(word_counts(documents))
-    model, letters = None, None
+    words = spread(checkpoint(word_counts(documents)))
+    model, letters, own, before = None, None, None, None
     for step in range(rounds + 2):  # letters, then a first model, then the rounds
-        sums = words.mapInArrow(_statistics(model, letters), STATS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-        if model is not None:
-            own = sums.where("kind = 'words'").orderBy(F.desc("n"), "a").limit(SOURCES).select("a")
-            sums = checkpoint(sums)
-            sums = sums.where("kind in ('pair', 'letter')").unionByName(sums.where("kind in ('words', 'channel')").join(F.broadcast(own), "a", "left_semi"))
-        pairs, letters, shares, totals = {}, {}, {}, {}
-        for kind, a, b, n in sums.select("kind", "a", "b", "n").collect():
-            if kind == "pair":
-                pairs[a + b] = n
-            elif kind == "letter":
-                letters[a] = n
-            elif kind == "words":
-                totals[a] = n
+        sums = _with_own(words, own).mapInArrow(_statistics(model, letters), STATS).groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n"))
+        sums = checkpoint(sums)
+        common = sums.where("kind in ('words', 'channel', 'letter of')").where(F.col("a") == COMMON)
+        pairs = {r.a + r.b: r.n for r in sums.where("kind = 'pair'").orderBy(F.desc("n"), "a", "b").limit(PAIRS).collect()}
+        letters = {r.a: r.n for r in sums.where("kind = 'letter'").collect()}  # characters there are
+        if step == 0:
+            continue
+        total, channels, stands = 0.0, {}, {}
+        for r in common.collect():
+            if r.kind == "words":
+                total = r.n
+            elif r.kind == "channel":
+                channels[r.b] = r.n
             else:
-                shares.setdefault(a, {})[b] = n
-        if step > 0:
-            model = Model(Bigrams(pairs, letters), shares, totals)
-    return model
+                channel, char = r.b.split("\t")
+                stands.setdefault((channel, char), {})[r.c] = r.n
+        model = Model(Bigrams(pairs, letters), channels, total, stands)
+        if step > 1:
+            own = checkpoint(own_entries(sums, model))
+            change = sum(abs(n - (before or {}).get(c, 0.0)) for c, n in (channels | dict.fromkeys(set(before or {}) - set(channels), 0.0)).items())
+            if before is not None and change <= SETTLED * sum(channels.values()):
+                break
+            before = channels
+    return model, own
 
 
 def _apply(model: Model):
@@ -312,7 +441,9 @@ def _apply(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, done = [], [], []
-            for doc, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for row, (doc, source, text) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
+                if source not in model.sources:
+                    model.meet(source, batch.column(3)[row].as_py())
                 parts = blank.split(text)
                 at = [i for i, word in enumerate(parts) if not (word.isascii() or word.isspace())]
                 words, channels = model.restore_all(source, [parts[i] for i in at])
@@ -334,6 +465,7 @@ def restored(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     (replacement or control characters alone). Null, empty and pure ASCII texts are never garbled; a null source is a
     source of its own; repeated rows come out each. An empty table gives no rows.
     """
-    model = learn(documents, rounds)
+    model, own = learn(documents, rounds)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("?")).alias("source"), "text")
-    return spread(rows).where(F.col("text").rlike(r"[^\x00-\x7f]")).mapInArrow(_apply(model), "doc_id bigint, text string, channels array<string>")
+    asked = spread(rows).where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    return _with_own(asked, own).select("doc_id", "source", "text", "own").mapInArrow(_apply(model), "doc_id bigint, text string, channels array<string>")

@@ -1,7 +1,7 @@
 """Long exact spans shared between sequences, by relative Lempel-Ziv parsing.
 
-Every sequence is factored greedily against indexed reference blocks of the other sequences. Which
-blocks can matter is known beforehand: a window of the wanted length that occurs twice has the same
+Every sequence is factored greedily against indexed reference blocks of the other sequences. Only factors of the wanted
+length count, so a block is indexed by its windows of that length. Which blocks can matter is known beforehand: a window of the wanted length that occurs twice has the same
 minimizer in both places, so a block holds the stretches around one minimizer, and a sequence is parsed
 against the blocks of its own minimizers only. Blocks that would grow too large are split by longer
 minimizers, at last by the window itself; no block is ever paired with itself row by row.
@@ -20,7 +20,7 @@ from ..operators.hot_keys import HOT_KEYS, attach
 from ..session import checkpoint
 
 #: Stretches that one reference block may hold before it is split by longer minimizers.
-BLOCK_ROWS = 256
+BLOCK_ROWS = 4096
 #: Windows that one stretch may span, so that long low-complexity runs are cut into bounded rows.
 STRETCH_WINDOWS = 256
 #: Characters of a long sequence that are hashed at a time.
@@ -128,58 +128,31 @@ def _count(k: int, span: int):
 
 
 class Block:
-    """One reference block: the stretches of an anchor, each document's side by side."""
-
-    def __init__(self, rows: list[tuple[int, int, bool, str]]):
-        joined = "".join(t for _, _, _, t in rows)
-        gap = next(c for c in ("\n", "\0", "\uffff", "\udfff") if c not in joined)  # the last is in no valid text
-        self.text, self.place, at = gap.join(t for _, _, _, t in rows), {}, 0
-        for doc, _, _, t in rows:
-            first, _ = self.place.get(doc, (at, 0))
-            self.place[doc] = (first, at + len(t))
-            at += len(t) + 1
-
-    def holds(self, doc: int, wanted: str) -> bool:
-        """Whether ``wanted`` occurs in a stretch of another document."""
-        first, end = self.place[doc]
-        return self.text.find(wanted, 0, first) >= 0 or self.text.find(wanted, end) >= 0
-
-    def longest(self, doc: int, text: str, at: int, known: int = 0) -> int:
-        """Length of the longest factor that begins at ``at``; the first ``known`` characters occur."""
-        low, high = known, len(text) - at
-        if self.holds(doc, text[at:]):
-            return high
-        step = 16
-        while low + step < high and self.holds(doc, text[at : at + low + step]):
-            low += step
-            step *= 2
-        high = min(high, low + step)  # doesn't occur as a whole
-        while high - low > 1:
-            mid = (low + high) // 2
-            if self.holds(doc, text[at : at + mid]):
-                low = mid
-            else:
-                high = mid
-        return low
-
-    def spans(self, doc: int, text: str, span: int) -> list[tuple[int, int]]:
-        """Parse ``text`` and return its stretches of at least ``span`` characters that occur elsewhere."""
-        found, at, before = [], 0, 0  # the factor before is text[before:at]
-        while at < len(text):
-            length = self.longest(doc, text, at)
-            end = at + max(length, 1)
-            if length >= span:
-                found.append((at, end))
-            # a window across the boundary lies in the two factors beside it
-            i = max(before, at - span + 1)
-            while at > 0 and i < at and i + span <= end:
-                if self.holds(doc, text[i : i + span]):
-                    reach = self.longest(doc, text, i, span)
-                    found.append((i, i + reach))
-                    i += reach - span
-                i += 1
-            before, at = at, end
-        return found
+    """One reference block: a hash index of all windows of its stretches, made once."""
+
+    def __init__(self, rows: list[tuple[int, int, bool, str]], span: int):
+        self.span, self.owner = span, {}
+        claim = self.owner.setdefault
+        for doc, _, _, text in rows:
+            for i in range(len(text) - span + 1):
+                window = text[i : i + span]
+                if claim(window, doc) != doc:
+                    self.owner[window] = None  # several documents
+
+    def factors(self, text: str) -> Iterator[tuple[int, int]]:
+        """Parse the text of a stretch of this block: maximal factors of at least ``span`` characters that occur elsewhere.
+
+        A factor begins with a window that another document has and goes on for as long as the next window is one as well; all
+        beginnings are looked up, so none hides across the boundary of two factors. What lies between is literal.
+        """
+        at, stop = 0, len(text) - self.span + 1
+        while at < stop:
+            if self.owner[text[at : at + self.span]] is None:
+                begin = at
+                while at + 1 < stop and self.owner[text[at + 1 : at + 1 + self.span]] is None:
+                    at += 1
+                yield begin, at + self.span
+            at += 1
 
 
 def _factor(span: int, block_rows: int):
@@ -188,8 +161,8 @@ def _factor(span: int, block_rows: int):
     def parse(rows: list[tuple[int, int, bool, str]]) -> list[tuple]:
         if rows[0][0] == rows[-1][0]:  # sorted by document: a single one shares nothing
             return []
-        block = Block(rows)
-        return [(doc, off + b, off + e, True, None) for doc, off, single, t in rows if single for b, e in block.spans(doc, t, span)]
+        block = Block(rows, span)
+        return [(doc, off + b, off + e, True, None) for doc, off, single, t in rows if single for b, e in block.factors(t)]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         doc, beg, fin, single, txt = zip(*rows) if rows else ([],) * 5
@@ -283,9 +256,8 @@ def _level(work: DataFrame, k: int, span: int, block_rows: int) -> tuple[DataFra
 
 
 def _same_windows(work: DataFrame, span: int) -> DataFrame:
-    """Windows of the remaining stretches that several documents have, counted as they are."""
-    windows = work.select(
-        "doc", "single", F.explode(F.transform(F.sequence(F.lit(0), F.length("txt") - span), lambda i: F.struct((F.col("off") + i).alias("beg"), F.substr("txt", i + 1, F.lit(span)).alias("txt")))).alias("w")
-    ).select("doc", "single", "w.beg", "w.txt")
-    shared = windows.groupBy("txt").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("txt")
-    return attach(windows.where("single"), shared, "txt").select("doc", "beg", (F.col("beg") + span).alias("fin"))
+    """Windows of the remaining stretches that several documents have: one index in as many parts as the shuffle has, by hashes of 96 bits."""
+    starts = F.transform(F.sequence(F.lit(0), F.length("txt") - span), lambda i: F.struct((F.col("off") + i).alias("beg"), F.substr("txt", i + 1, F.lit(span)).alias("txt")))
+    windows = work.select("doc", "single", F.explode(starts).alias("w")).select("doc", "single", "w.beg", F.struct(F.xxhash64("w.txt").alias("a"), F.hash("w.txt").alias("b")).alias("key"))
+    shared = windows.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("key")
+    return attach(windows.where("single"), shared, "key").select("doc", "beg", (F.col("beg") + span).alias("fin"))
