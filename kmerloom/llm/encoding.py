@@ -54,8 +54,8 @@ OWN_LETTER, OTHER_LETTER = 20.0, 0.02
 EVIDENCE = 5.0
 #: Verdicts that a task remembers; bigrams that a model keeps, the most frequent ones; sources whose shares are broadcast.
 CACHE, PAIRS, BROADCAST_SOURCES = 200_000, 1_000_000, 10_000
-#: Stands for all sources together.
-COMMON = "\0"
+#: Marks sums over one source, and those over all.
+OF_SOURCE, COMMON = "s", "all"
 
 SURE = re.compile("[\x80-\x9f�]")  # no correct text has these
 
@@ -354,13 +354,13 @@ def _statistics(model: Model | None, letters: dict[str, float] | None):
                     if source not in model.sources:
                         model.meet(source, batch.column(3)[i].as_py())
                     text, channel = model.restore(source, word)
-                    for s in (source, COMMON):
+                    for s in (OF_SOURCE + source, COMMON):
                         stats["words", s, "", ""] += n
                         if channel:
                             stats["channel", s, channel, ""] += n
                     if channel and len(text) == len(word) and channel.split(">")[0] not in MULTI:
                         for char, letter, p in model.stands_for(channel, word, text):
-                            for s in (source, COMMON):
+                            for s in (OF_SOURCE + source, COMMON):
                                 stats["letter of", s, f"{channel}\t{char}", letter] += n * p
                 if SURE.search(text):
                     continue
@@ -390,7 +390,7 @@ def own_entries(sums: DataFrame, model: Model) -> DataFrame:
     common = [(f"{channel}\t{char}", model.table(channel).get(ord(char), char)) for channel, char in model.letters]  # channels times characters at most
     same = F.broadcast(spark.createDataFrame(common, "b string, c string"))
     rows = shares.unionByName(letters.join(same, ["b", "c"], "left_anti").select("a", F.lit("letter of").alias("kind"), "b", "c", "n"))
-    return rows.groupBy(F.col("a").alias("source")).agg(F.collect_list(F.struct("kind", "b", "c", "n")).alias("own"))
+    return rows.groupBy(F.substr("a", F.lit(len(OF_SOURCE) + 1)).alias("source")).agg(F.collect_list(F.struct("kind", "b", "c", "n")).alias("own"))
 
 
 def _with_own(rows: DataFrame, own: DataFrame | None) -> DataFrame:
