@@ -40,8 +40,8 @@ ASIAN_READ_AS = ["latin_1", "cp1252"]
 BLANK = "[ \\t\\n\\r\\f\\u000b]+"
 #: Rounds of expectation-maximization at most, and the change of the channels' shares of words below which it ends.
 ROUNDS, SETTLED = 4, 0.1
-#: Log odds by which a restored word must beat the word as it is, beyond what the channel's share asks.
-MARGIN = 2.0
+#: Log odds by which a restored word must beat the word as it is, the shares of the channels included: what is likelier is taken.
+MARGIN = 0.0
 #: Share of garbled words before anything is known, and the count with which it enters the estimates.
 SHARE, WEIGHT = 0.02, 50.0
 #: Share of the words of a damaged text that are damaged.
@@ -259,10 +259,11 @@ class Model:
                 ways = [*ways, *((self.bigrams.score(c) - as_is, c, [name]) for name, table in own.items() if (c := text.translate(table)) != text)]
             best, now = None, MARGIN
             for odds, candidate, channels in ways:
-                if odds > now:
-                    share, c = max((self.log_share(source, c), c) for c in channels)
-                    if odds + share > now:
-                        best, now = (candidate, c), odds + share
+                if odds > now:  # any of the channels may have made the word
+                    shares = [(self.log_share(source, c), c) for c in channels]
+                    odds += math.log(sum(math.exp(share) for share, _ in shares))
+                    if odds > now:
+                        best, now = (candidate, max(shares)[1]), odds
             if best is None:
                 break
             text, channel = best
