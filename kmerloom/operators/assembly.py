@@ -13,7 +13,7 @@ take the longest overlap, whatever its next letter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import revcomp
@@ -23,7 +23,9 @@ from .contigs import MIN_LENGTH, with_gc
 from .ends import beginnings, same_read, tails
 from .kmers import indexable
 
-CONTIG = ["seed_id", "len", "cov", "stdev", "seed", "seq"]
+#: Contigs whose reads are added up together.
+PART = 100_000
+CONTIG = ["seed_id", "len", "cov", "stdev", "seed", "reads", "seq"]
 
 
 def usable(reads: DataFrame, k: int) -> DataFrame:
@@ -103,7 +105,7 @@ def ranked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def assembled(once: DataFrame, k: int, by_letter: bool) -> DataFrame:
-    """``(seed_id, len, cov, stdev, seed, seq)`` of the paths of distinct reads.
+    """``(seed_id, len, cov, stdev, seed, reads, seq)`` of the paths of distinct reads; ``reads`` counts those on the path, copies included.
 
     Of the two strands of a path the one on which its lowest read, the seed, stands as stored is kept. The letters that a step
     adds weigh as many reads as go that way, those of the first read as many as its copies; coverage is the mean of
@@ -117,16 +119,16 @@ def assembled(once: DataFrame, k: int, by_letter: bool) -> DataFrame:
     kept = at.join(seeds, "head").join(into, "node", "left").join(nodes, "node")
     added = kept.select(
         "head", "seed_node", "place", F.substr("seq", F.when(F.col("place") > 0, F.col("ovl")).otherwise(0) + 1, F.length("seq")).alias("letters"),
-        F.when(F.col("place") > 0, F.col("weight")).otherwise(F.col("occr")).cast("double").alias("w"),
+        F.when(F.col("place") > 0, F.col("weight")).otherwise(F.col("occr")).cast("double").alias("w"), "occr",
     )
     n = F.length("letters")
     paths = added.groupBy("head").agg(  # the letters of one path are one contig
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "letters"))), lambda p: p["letters"]), "").alias("seq"),
-        F.sum(n * F.col("w")).alias("w"), F.sum(n * F.col("w") * F.col("w")).alias("w2"), F.min("seed_node").alias("seed_node"),
+        F.sum(n * F.col("w")).alias("w"), F.sum(n * F.col("w") * F.col("w")).alias("w2"), F.min("seed_node").alias("seed_node"), F.sum("occr").alias("reads"),
     )
     mean = F.col("w") / F.length("seq")
     deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("w2") / F.length("seq") - mean * mean))
-    rows = paths.select(F.shiftright("seed_node", 1).alias("id"), F.length("seq").alias("len"), mean.alias("cov"), deviation.alias("stdev"), "seq")
+    rows = paths.select(F.shiftright("seed_node", 1).alias("id"), F.length("seq").alias("len"), mean.alias("cov"), deviation.alias("stdev"), "reads", "seq")
     return rows.join(once.select("id", F.col("read_id").alias("seed_id"), F.col("name").alias("seed")), "id").select(*CONTIG)
 
 
@@ -143,7 +145,23 @@ def contigs(reads: DataFrame, k: int = 25, min_length: int = MIN_LENGTH) -> Data
 
 def unitigs(reads: DataFrame, k: int) -> DataFrame:
     """Contigs of any length along longest overlaps, in the columns of ``contigs`` without ``gc``."""
-    return assembled(distinct_reads(usable(reads, k)), k, by_letter=False)
+    return assembled(distinct_reads(usable(reads, k)), k, by_letter=False).drop("reads")
+
+
+def until_depleted(reads: DataFrame, k: int, share: float) -> DataFrame:
+    """Contigs of any length in the order of their seeds, until ``share`` of the usable reads stands in them (A2); columns as
+    ``contigs`` without ``gc``, and ``reads``.
+
+    The last one may exceed the share. Reads used before a contig are added up in ranges, not in one task.
+    """
+    found = number_rows(assembled(distinct_reads(usable(reads, k)), k, by_letter=True), "seed_id")
+    parts = found.withColumn("part", F.floor(F.col("i") / PART))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    sums = parts.groupBy("part").agg(F.sum("reads").alias("sum")).select("part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("earlier"))
+    within = Window.partitionBy("part").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    used = parts.join(F.broadcast(sums), "part").withColumn("used", F.col("earlier") + F.coalesce(F.sum("reads").over(within), F.lit(0)))
+    total = found.agg(F.coalesce(F.sum("reads"), F.lit(0)).alias("n")).scalar()
+    return used.where(F.col("used") < total * F.lit(share)).select(*CONTIG)
 
 
 def numbered(contigs: DataFrame, rank: int = 0) -> DataFrame:

@@ -54,12 +54,17 @@ def as_table(contigs: DataFrame) -> DataFrame:
     return contigs.select(F.array_join(F.array(*cells), "\t").alias("value"))
 
 
+#: The labels of the fields that follow the id in a header, in order, and what each holds.
+HEADER_FIELDS = {"len": r"\d+", "cov": r"[0-9.]+", "stdev": r"[0-9.]+", "GC": r"[0-9.]+", "seed": r"\S+"}
+
+
 def fasta_header(spaced: bool = False) -> Column:
     """``>id_len_..._cov_..._stdev_..._GC_..._seed_...``; with a blank after the id if ``spaced``."""
-    return F.concat(
-        F.lit(">"), F.coalesce(F.col("contig_id"), F.lit("")), F.lit(" len_" if spaced else "_len_"), F.coalesce(F.col("len").cast("string"), F.lit("")),
-        F.lit("_cov_"), _text("cov"), F.lit("_stdev_"), _text("stdev"), F.lit("_GC_"), _text("gc"), F.lit("_seed_"), F.coalesce(F.col("seed"), F.lit("")),
-    )
+    shown = {"len": F.coalesce(F.col("len").cast("string"), F.lit("")), "seed": F.coalesce(F.col("seed"), F.lit(""))}
+    parts = [F.lit(">"), F.coalesce(F.col("contig_id"), F.lit(""))]
+    for i, label in enumerate(HEADER_FIELDS):
+        parts += [F.lit(f"{' ' if spaced and i == 0 else '_'}{label}_"), shown.get(label, _text(label.lower()))]
+    return F.concat(*parts)
 
 
 def as_fasta(contigs: DataFrame, spaced: bool = False) -> DataFrame:
@@ -71,7 +76,7 @@ def from_fasta(records: DataFrame, min_len: int = 0) -> DataFrame:
 
     The id ends at a blank or at ``_len_``.
     """
-    pattern = r"^>?(\S+?)(?:\s+|_)len_(\d+)_cov_([0-9.]+)_stdev_([0-9.]+)_GC_([0-9.]+)_seed_(\S+)"
+    pattern = r"^>?(\S+?)(?:\s+|_)" + "_".join(f"{label}_({form})" for label, form in HEADER_FIELDS.items())
     part = lambda i: F.regexp_extract("header", pattern, i)
     rows = records.where(F.col("header").rlike(pattern)).select(
         part(1).alias("contig_id"), part(2).cast("int").alias("len"), part(3).cast("double").alias("cov"), part(4).cast("double").alias("stdev"),
@@ -80,9 +85,13 @@ def from_fasta(records: DataFrame, min_len: int = 0) -> DataFrame:
     return rows.where(F.col("len") >= min_len)
 
 
-def as_dot(edges: DataFrame) -> DataFrame:
-    """Graphviz statements of ``(src, dst, weight)`` edges, one line each (O8); put them between ``digraph {`` and ``}``."""
-    return edges.select(F.format_string('"%s" -> "%s" [label="%s"];', F.col("src").cast("string"), F.col("dst").cast("string"), F.col("weight").cast("string")).alias("value"))
+def as_dot(edges: DataFrame, least_weight: float | None = None) -> DataFrame:
+    """Graphviz statements of ``(src, dst, weight)`` edges, one line each (O8); put them between ``digraph {`` and ``}``.
+
+    All edges are drawn unless ``least_weight`` leaves out lighter ones.
+    """
+    drawn = edges if least_weight is None else edges.where(F.col("weight") >= least_weight)
+    return drawn.select(F.format_string('"%s" -> "%s" [label="%s"];', F.col("src").cast("string"), F.col("dst").cast("string"), F.col("weight").cast("string")).alias("value"))
 
 
 def with_gc(contigs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.sequence import hamming, hamming_prefix, revcomp
 from ..session import spread
 from .ends import beginnings, tails
+from .hot_keys import attach
 from .kmers import end_kmers, indexable, query_kmers, slide
 
 
@@ -34,9 +35,9 @@ def index_skew(reads: DataFrame, k: int) -> DataFrame:
 
 
 def _matches(queries: DataFrame, reads: DataFrame, k: int, min_overlap: int, inclusive: bool, accept: Column) -> DataFrame:
-    """K-mers of the queries travel by themselves; the query is fetched once for each read that begins with one of them."""
+    """K-mers of the queries travel by themselves, hot ones spread; the query is fetched once for each read that begins with one of them."""
     left = query_kmers(queries.select("read_id", "seq"), k, min_overlap, inclusive).select(F.col("read_id").alias("query_id"), F.col("pos").alias("offset"), "kmer")
-    met = left.join(end_kmers(reads, k), "kmer").where(F.col("query_id") != F.col("read_id"))
+    met = attach(left, end_kmers(reads, k), "kmer").where(F.col("query_id") != F.col("read_id"))
     whole = queries.select(F.col("read_id").alias("query_id"), F.col("seq").alias("query"))
     rest = F.substr("query", F.col("offset") + 1, F.length("query"))
     return met.join(whole, "query_id").withColumn("rest", rest).where(accept).select("query_id", "read_id", "strand", "offset", "oriented")
@@ -47,7 +48,7 @@ def overlaps(queries: DataFrame, reads: DataFrame, k: int, min_overlap: int, max
     ``offset`` and whose share of mismatches over what both cover is at most ``max_mismatch`` (J1, J3, F6).
 
     An equi-join by k-mer with the comparison as residual condition; a read never matches itself. Nothing is consumed.
-    The size of the result is that of the matches; a k-mer that dominates the index is split by the adaptive skew join.
+    The size of the result is that of the matches; a k-mer that dominates the queries is spread (``attach``).
     """
     n = F.least(F.length("rest"), F.length("oriented"))
     exact = F.substring("rest", 1, n) == F.substring("oriented", 1, n)

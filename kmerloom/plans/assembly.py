@@ -50,16 +50,16 @@ c AS (SELECT node, base, n, w, CASE WHEN lo // 2 <> node // 2 THEN lo WHEN hi //
 b AS (SELECT node, base, sum(w) AS w, max(n) AS ovl, arg_max(nxt, n) AS nxt FROM c WHERE nxt IS NOT NULL GROUP BY 1, 2),
 g AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY node ORDER BY w DESC, base) = 1),
 m AS (SELECT g.node, g.nxt, g.ovl, g.w FROM g JOIN g h ON h.node = xor(g.nxt, 1) AND h.nxt = xor(g.node, 1) AND h.ovl = g.ovl),
-walk AS (SELECT node AS head, node, node AS low, 0 AS place, o, length(o) * occr AS w, length(o) * occr * occr AS w2 FROM n WHERE node NOT IN (SELECT nxt FROM m)
-  UNION ALL SELECT head, m.nxt, least(low, m.nxt), place + 1, walk.o || substr(n.o, CAST(ovl + 1 AS INT)), walk.w + (length(n.o) - ovl) * m.w, walk.w2 + (length(n.o) - ovl) * m.w * m.w
+walk AS (SELECT node AS head, node, node AS low, 0 AS place, o, length(o) * occr AS w, length(o) * occr * occr AS w2, occr AS reads FROM n WHERE node NOT IN (SELECT nxt FROM m)
+  UNION ALL SELECT head, m.nxt, least(low, m.nxt), place + 1, walk.o || substr(n.o, CAST(ovl + 1 AS INT)), walk.w + (length(n.o) - ovl) * m.w, walk.w2 + (length(n.o) - ovl) * m.w * m.w, reads + n.occr
   FROM walk JOIN m ON m.node = walk.node JOIN n ON n.node = m.nxt),
 away AS (SELECT node, nxt FROM m WHERE node NOT IN (SELECT node FROM walk) UNION SELECT away.node, m.nxt FROM away JOIN m ON m.node = away.nxt),
 low AS (SELECT min(nxt) AS head FROM away GROUP BY node),
-ring AS (SELECT DISTINCT head, head AS node, head AS low, 0 AS place, o, length(o) * occr AS w, length(o) * occr * occr AS w2 FROM low JOIN n ON n.node = head
-  UNION ALL SELECT head, m.nxt, least(low, m.nxt), place + 1, ring.o || substr(n.o, CAST(ovl + 1 AS INT)), ring.w + (length(n.o) - ovl) * m.w, ring.w2 + (length(n.o) - ovl) * m.w * m.w
+ring AS (SELECT DISTINCT head, head AS node, head AS low, 0 AS place, o, length(o) * occr AS w, length(o) * occr * occr AS w2, occr AS reads FROM low JOIN n ON n.node = head
+  UNION ALL SELECT head, m.nxt, least(low, m.nxt), place + 1, ring.o || substr(n.o, CAST(ovl + 1 AS INT)), ring.w + (length(n.o) - ovl) * m.w, ring.w2 + (length(n.o) - ovl) * m.w * m.w, reads + n.occr
   FROM ring JOIN m ON m.node = ring.node JOIN n ON n.node = m.nxt WHERE m.nxt <> head),
 p AS (SELECT * FROM (SELECT * FROM walk UNION ALL SELECT * FROM ring) QUALIFY row_number() OVER (PARTITION BY head ORDER BY place DESC) = 1),
-k AS (SELECT d.read_id AS seed_read, d.part AS seed_part, CAST(length(o) AS INT) AS len, w / length(o) AS cov, sqrt(greatest(0, w2 / length(o) - (w / length(o)) * (w / length(o)))) AS stdev, d.name AS seed, o AS seq
+k AS (SELECT d.read_id AS seed_read, d.part AS seed_part, CAST(length(o) AS INT) AS len, w / length(o) AS cov, sqrt(greatest(0, w2 / length(o) - (w / length(o)) * (w / length(o)))) AS stdev, d.name AS seed, reads, o AS seq
   FROM p JOIN d ON d.id = p.low // 2 WHERE low % 2 = 0)"""
 
 
@@ -107,3 +107,11 @@ def exact_contigs(spark, sf_dir):
 def unitigs(spark, sf_dir):
     found = assembly.unitigs(windows(spark, sf_dir), 25)
     return found.select(F.col("seed_id.read_id").alias("seed_read"), F.col("seed_id.part").alias("seed_part"), "len", F.round("cov", 4).alias("cov"), F.round("stdev", 4).alias("stdev"), "seed", "seq")
+
+
+@query(f"""{_CONTIGS}, u AS (SELECT seed_read, seed_part, len, reads, coalesce(sum(reads) OVER (ORDER BY seed_read, seed_part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, sum(reads) OVER () AS total FROM k)
+SELECT seed_read, seed_part, len, CAST(reads AS BIGINT) AS reads FROM u WHERE used < total * 0.5""")
+def contigs_until_half(spark, sf_dir):
+    """Contigs until half of the reads are used."""
+    found = assembly.until_depleted(windows(spark, sf_dir), 25, 0.5)
+    return found.select(F.col("seed_id.read_id").alias("seed_read"), F.col("seed_id.part").alias("seed_part"), "len", "reads")

@@ -99,9 +99,9 @@ def best_edge(spark, sf_dir):
 
 @query("""WITH e AS (SELECT substr(kmer, 1, 24) AS src, substr(kmer, 2, 24) AS dst, CAST(sum(n_count) AS BIGINT) AS weight FROM hashbuckets
   WHERE kmer IS NOT NULL AND n_count IS NOT NULL AND NOT contains(kmer, 'N') GROUP BY 1, 2)
-SELECT '"' || src || '" -> "' || dst || '" [label="' || weight || '"];' AS value FROM e WHERE weight >= 100""")
+SELECT '"' || src || '" -> "' || dst || '" [label="' || weight || '"];' AS value FROM e""")
 def graph_dot(spark, sf_dir):
-    """The heavy edges of the index as a drawing."""
+    """All edges of the index as a drawing."""
     rows = table(spark, sf_dir, "hashbuckets").where("kmer is not null and n_count is not null and not contains(kmer, 'N')")
     edges = rows.groupBy(F.substring("kmer", 1, 24).alias("src"), F.substring("kmer", 2, 24).alias("dst")).agg(F.sum("n_count").alias("weight"))
-    return C.as_dot(edges.where("weight >= 100"))
+    return C.as_dot(edges)

@@ -200,6 +200,17 @@ def test_clashing_columns_and_ids_of_two_parts(spark):
     assert found(got) == want
 
 
+def test_assembly_ends_at_a_share(spark, monkeypatch):
+    monkeypatch.setattr(assembly, "PART", 3)
+    reads = simulated(16, n=120)
+    df = spark.createDataFrame(reads, SCHEMA)
+    every = assembly.until_depleted(df, 15, 1.0).orderBy("seed_id").collect()
+    assert sum(r.reads for r in every) == len(reads) and [r.seq for r in every] == [r.seq for r in assembly.contigs(df, 15, min_length=0).orderBy("seed_id").collect()]
+    half = assembly.until_depleted(df, 15, 0.5).orderBy("seed_id").collect()
+    assert half == every[: len(half)] and sum(r.reads for r in half[:-1]) < 60 <= sum(r.reads for r in half)
+    assert assembly.until_depleted(df, 15, 0.0).count() == 0
+
+
 def test_nothing_to_assemble(spark):
     none = spark.createDataFrame([(1, "n", "N" * 60), (2, "s", "ACG"), (3, None, ""), (None, "i", "ACGT" * 20), (5, "x", None)], SCHEMA)
     assert assembly.contigs(none, 20).count() == assembly.unitigs(none.limit(0), 20).count() == exact.exact_contigs(none, 20).count() == 0

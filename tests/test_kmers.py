@@ -83,3 +83,59 @@ def test_frequencies_and_classes(spark, reads, texts):
     asked = spark.createDataFrame([(1, "x", "AAAAA"), (2, None, "GCGCG"), (3, "y", "A"), (4, "z", "")], SCHEMA)
     got = {r.read_id: r for r in profiles.classify(asked, db, 3).collect()}
     assert [got[i]["class"] for i in (1, 2, 3, 4)] == ["a", "b", "a", "a"] and got[3].score == 0 and got[1].margin > 0
+
+
+def plain_scores(seq, weights, k):
+    """Score of each class over both strands, N counting as A."""
+    strands = [seq.replace("N", "A"), turned(seq).replace("N", "A")]
+    codes = [sum("AGCT".index(c) * 4 ** (k - 1 - j) for j, c in enumerate(s[p : p + k])) for s in strands for p in range(len(s) - k + 1)]
+    return {c: round(sum(w.get(x, 0.0) for x in codes), 6) for c, w in weights.items()}
+
+
+@pytest.mark.parametrize(("classes", "entries"), [(7, 1 << 20), (7, 128), (7, 1), (5000, 64_000)])
+def test_classes_in_blocks(spark, texts, classes, entries):
+    rng = random.Random(classes)
+    weights = {c * 3: {x: round(rng.uniform(-3, 3), 3) for x in rng.sample(range(64), 3)} for c in range(classes)}
+    weights[6] = dict(weights[3])  # equal classes: the first wins
+    db = spark.createDataFrame([(c, f"c{c}", x, w) for c, ws in weights.items() for x, w in ws.items()], "class_ord int, class string, code bigint, w double")
+    asked = [(i, n, s) for i, n, s in texts if s is not None][:20] + [(997, "short", "AC"), (998, None, ""), (999, "null", None)]
+    got = {r.read_id: r for r in profiles.classify(spark.createDataFrame(asked, SCHEMA), db, 3, entries).collect()}
+    assert len(got) == len(asked) - 1
+    for i, _, s in asked[:-1]:
+        scores = plain_scores(s, weights, 3)
+        best = min(scores, key=lambda c: (-scores[c], c))
+        others = [v for c, v in scores.items() if c != best]
+        earlier = max((v for c, v in scores.items() if c < best), default=-1e10)
+        want = (best, scores[best], scores[best] - max(others), scores[best] - earlier)
+        assert (got[i].class_ord, got[i].score, got[i].margin, got[i].margin_seq) == pytest.approx(want, abs=2e-6)
+    assert profiles.classify(spark.createDataFrame(asked, SCHEMA), db.limit(0), 3).count() == 0
+
+
+def test_a_kmer_in_a_third_of_the_reads(spark, rows):
+    rng = random.Random(5)
+    random_letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    hub = random_letters(20)
+    texts = [(i, "r", random_letters(15) + hub + random_letters(5) if i % 3 == 0 else hub + random_letters(20) if i % 97 == 1 else random_letters(40)) for i in range(4000)]
+    df = spark.createDataFrame(texts, SCHEMA)
+    index = [(i, o) for i, _, s in texts for o in (s, turned(s)) if o.startswith(hub)]
+    want = sorted({(q, i, s.find(hub)) for q, _, s in texts if hub in s for i, o in index if q != i and s[s.find(hub) :].startswith(o[: len(s) - s.find(hub)])})
+    got = overlap.overlaps(df, df, 20, 20).where("offset = 15 or offset = 0").select("query_id", "read_id", "offset")
+    assert sorted(map(tuple, got.collect())) == want
+    tails = [(q, i) for q, _, s in texts if s[15:35] == hub for i, _, t in texts if t[:25] == s[15:]]
+    assert {(r.read_id, r.next_id) for r in overlap.best_successor(df, 20).collect()} >= {(q, min(i for p, i in tails if p == q)) for q, _ in tails}
+
+
+def test_long_sequences_slide(spark):
+    rng = random.Random(6)
+    seq = "".join(rng.choice("ACGT") for _ in range(20_000))
+    df = spark.createDataFrame([(1, "x", seq), (2, "y", seq[:1048]), (3, "z", seq[:24])], SCHEMA)
+    got = kmers.slide(df, 25).select("read_id", "pos", "kmer").collect()
+    assert sorted(map(tuple, got)) == [(i, p, seq[p : p + 25]) for i, n in ((1, 20_000), (2, 1048)) for p in range(n - 24)]
+
+
+def test_matches_in_order(spark, rows):
+    m = spark.createDataFrame([(1, 5, "+", 0, "ACGTACGTAC"), (1, 7, "+", 0, "ACGTACGTAC"), (1, 7, "-", 0, "ACGTAC"), (1, 3, "+", 4, "ACGTACGG"), (2, 9, "+", 1, "A")], "query_id bigint, read_id bigint, strand string, offset int, oriented string")
+    got = overlap.match_order(m).where("query_id = 1").orderBy("place").collect()
+    assert [(r.read_id, r.strand) for r in got] == [(7, "-"), (7, "+"), (5, "+"), (3, "+")]
+    before = overlap.ancestors(m, 6).where("read_id = 3")
+    assert {(r.before_id, r.before_strand) for r in before.collect()} == {(5, "+"), (7, "+")}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from kmerloom.operators import contigs as C
 from kmerloom.operators import hot_keys, search, state
+from kmerloom.session import numbered
 from kmerloom.sources import fastx, profiles
 from kmerloom.streaming import arriving, progress
 
@@ -129,12 +130,22 @@ def test_search(spark):
     assert {k: v.count() for k, v in search.outputs(found).items()} == dict.fromkeys(("candidates", "focus", "matches"), 1)
 
 
-def test_hot_keys(spark, rows):
+@pytest.mark.parametrize("parts", [1, 9])
+def test_numbering(spark, parts):
+    df = spark.range(500).selectExpr("id * 7 % 500 AS x", "id").repartition(parts)
+    assert [(r.x, r.i) for r in numbered(df, "x").orderBy("i").collect()] == [(i, i) for i in range(500)]
+    assert numbered(df.limit(0), "x").count() == 0
+
+
+def test_hot_keys(spark, rows, monkeypatch):
     df = spark.createDataFrame([("h", i) for i in range(5000)] + [(f"k{i}", i) for i in range(50)] + [(None, 1), (None, 2)], "k string, v bigint")
     look = spark.createDataFrame([("h", "H"), ("k1", "one"), ("k1", "uno"), ("zz", "-")], "k string, name string")
     assert rows(hot_keys.hot_keys(df, "k")) == [("h", 5000)]
     assert rows(hot_keys.attach(df, look, "k")) == rows(df.join(look, "k").select("k", "v", "name"))
     assert rows(hot_keys.attach(df.limit(0), look, "k")) == []
+    monkeypatch.setattr(hot_keys, "BROADCAST_ROWS", 0)  # hot lookup rows are copied to salts
+    many = look.unionByName(spark.createDataFrame([("h", "H2"), (None, "-")], look.schema))
+    assert rows(hot_keys.attach(df, many, "k").select("k", "v", "name")) == rows(df.join(many, "k").select("k", "v", "name"))
 
 
 def test_dominant_keys(spark, rows):
