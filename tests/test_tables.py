@@ -70,7 +70,7 @@ def test_a_database_of_many_partitions(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
-        assert spark.read.text(str(tmp_path / "db")).rdd.getNumPartitions() >= 12
+        assert spark.read.text(str(tmp_path / "db")).rdd.getNumPartitions() > 4
         back, k = profiles.read_db(spark, str(tmp_path / "db"))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
