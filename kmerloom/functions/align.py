@@ -76,15 +76,23 @@ def _fill(first: list[np.ndarray], second: list[np.ndarray], simple: bool, borde
     a, n = _padded(first)
     b, m = _padded(second)
     pairs, rows, columns = len(a), a.shape[1], b.shape[1]
-    blank = lambda v, kind: np.full((pairs, rows + 1), v, kind)
-    older, old = blank(0, np.int32), blank(-border, np.int32)
-    down, along = (blank(True, bool), blank(True, bool)) if simple else (blank(_NEVER, np.int32), blank(_NEVER, np.int32))
+    kind, edge = (bool, True) if simple else (np.int32, _NEVER)
+
+    def diagonal(d: int, value: int, kind: type) -> np.ndarray:
+        """A new anti-diagonal by row, of which only border cells are known; cells off the table are never read."""
+        out = np.empty((pairs, rows + 1), kind)
+        out[:, 0] = value
+        if d <= rows:
+            out[:, d] = value
+        return out
+
+    older, old, down, along = diagonal(0, 0, np.int32), diagonal(1, -border, np.int32), diagonal(1, edge, kind), diagonal(1, edge, kind)
     best, last = np.zeros(pairs, np.int32), np.zeros(pairs, np.int32)
     for d in range(2, rows + columns + 1):
         low, high = max(1, d - columns), min(rows, d - 1)
         here, above = slice(low, high + 1), slice(low - 1, high)
         v = older[:, above] + SCORES[a[:, above], b[:, d - high - 1 : d - low][:, ::-1]]
-        new, new_down, new_along = blank(-border * d, np.int32), blank(True, bool) if simple else blank(_NEVER, np.int32), blank(True, bool) if simple else blank(_NEVER, np.int32)
+        new, new_down, new_along = diagonal(d, -border * d, np.int32), diagonal(d, edge, kind), diagonal(d, edge, kind)
         if simple:
             x = old[:, above] - np.where(down[:, above], EXTEND, OPEN)
             y = old[:, here] - np.where(along[:, here], EXTEND, OPEN)
@@ -111,6 +119,14 @@ def _fill(first: list[np.ndarray], second: list[np.ndarray], simple: bool, borde
     return best, last
 
 
+def _grouped(rows: list[int], key) -> list[list[int]]:
+    """Rows of one key together."""
+    groups: dict = {}
+    for i in rows:
+        groups.setdefault(key(i), []).append(i)
+    return [*groups.values()]
+
+
 def raw_scores(first: list[str], second: list[str], kind: str, least: float = -math.inf) -> np.ndarray:
     """Scores of pairs by one of the recurrences; NaN where no alignment of the pair can reach more than ``least``.
 
@@ -127,11 +143,8 @@ def raw_scores(first: list[str], second: list[str], kind: str, least: float = -m
             out[i] = -EXTEND * max(len(x), len(y)) if kind == "global" else 0
         elif min(most[x].sum(), most[y].sum()) > least:
             todo.append(i)
-    todo.sort(key=lambda i: (len(a[i]), len(b[i])))
-    while todo:
-        size = max(1, CELLS // (len(a[todo[-1]]) + 1))
-        part = todo[-size:]
-        del todo[-size:]
+    like = lambda i: (len(a[i]).bit_length(), len(a[i]) * 4 >> len(a[i]).bit_length(), len(b[i]).bit_length(), len(b[i]) * 4 >> len(b[i]).bit_length())
+    for part in (group[at : at + size] for group in _grouped(todo, like) for size in [max(1, CELLS // (max(len(a[i]) for i in group) + 1))] for at in range(0, len(group), size)):
         best, last = _fill([a[i] for i in part], [b[i] for i in part], kind == "simple", EXTEND if kind == "global" else 0, kind == "classical")
         out[part] = last if kind == "global" else best
     return out

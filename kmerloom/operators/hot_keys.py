@@ -51,14 +51,15 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     return counts.where(F.col("n_rows") * HOT_KEYS > total).where(F.col("n_rows") > HOT_KEYS)
 
 
-def attach(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+def attach(rows: DataFrame, lookup: DataFrame, key: str, probe: DataFrame | None = None) -> DataFrame:
     """Inner join of many rows to a lookup by ``key``, safe against hot keys in ``rows``.
 
     ``lookup`` may hold several rows for a key. Rows of hot keys (fewer than HOT_KEYS keys, proven by ``hot_keys``) meet a broadcast of the
     lookup rows of those keys while these are at most BROADCAST_ROWS; beyond that they are salted, and the lookup rows copied to
     each salt. All other rows are joined by a shuffle in which no key owns more than one row in HOT_KEYS. Null keys join nothing.
+    Hot keys may be looked for in a ``probe`` of the rows instead, which saves a pass; the result is the same whatever it holds.
     """
-    hot = checkpoint(hot_keys(rows, key).select(key))
+    hot = checkpoint(hot_keys(rows if probe is None else probe, key).select(key))
     if hot.isEmpty():
         return rows.join(lookup, key)
     wanted = lookup.join(F.broadcast(hot), key, "left_semi")

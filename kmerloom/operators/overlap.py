@@ -12,6 +12,10 @@ from .hot_keys import attach
 from .kmers import end_kmers, indexable, query_kmers, slide
 
 
+#: Share of the queries in which hot k-mers are looked for.
+PROBE = 0.02
+
+
 def point_lookup(reads: DataFrame, words: DataFrame, k: int) -> DataFrame:
     """``(kmer, n)``: postings of each asked k-mer in the prefix index of both strands, 0 if absent.
 
@@ -36,8 +40,8 @@ def index_skew(reads: DataFrame, k: int) -> DataFrame:
 
 def _matches(queries: DataFrame, reads: DataFrame, k: int, min_overlap: int, inclusive: bool, accept: Column) -> DataFrame:
     """K-mers of the queries travel by themselves, hot ones spread; the query is fetched once for each read that begins with one of them."""
-    left = query_kmers(queries.select("read_id", "seq"), k, min_overlap, inclusive).select(F.col("read_id").alias("query_id"), F.col("pos").alias("offset"), "kmer")
-    met = attach(left, end_kmers(reads, k), "kmer").where(F.col("query_id") != F.col("read_id"))
+    words = lambda some: query_kmers(some.select("read_id", "seq"), k, min_overlap, inclusive).select(F.col("read_id").alias("query_id"), F.col("pos").alias("offset"), "kmer")
+    met = attach(words(queries), end_kmers(reads, k), "kmer", probe=words(queries.sample(PROBE, 1))).where(F.col("query_id") != F.col("read_id"))
     whole = queries.select(F.col("read_id").alias("query_id"), F.col("seq").alias("query"))
     rest = F.substr("query", F.col("offset") + 1, F.length("query"))
     return met.join(whole, "query_id").withColumn("rest", rest).where(accept).select("query_id", "read_id", "strand", "offset", "oriented")
