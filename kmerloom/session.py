@@ -55,7 +55,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     ship(df.sparkSession)
     cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
-    if parts >= 4 * cores:
+    if parts >= 4 * cores or len(df.inputFiles()) >= cores:  # few partitions hold few files
         return df
     many = max(cores, parts)
     return df.repartition(many, *keys) if keys else df.repartition(many)
