@@ -78,9 +78,9 @@ def _upper(read_as: str) -> frozenset:
 
 
 @cache
-def _alphabet(written: str) -> tuple[str, ...]:
-    """The letters that a page has beyond ASCII."""
-    return tuple(c for c in _page(written)[0x80:] if c.isalpha())
+def _alphabet(written: str, upper: bool) -> tuple[str, ...]:
+    """The letters of one case that a page has beyond ASCII."""
+    return tuple(c for c in _page(written)[0x80:] if c.isalpha() and c.isupper() == upper)
 
 
 @cache
@@ -92,6 +92,18 @@ def _runs(read_as: str, written: str) -> tuple[re.Pattern, dict[str, int]]:
     return re.compile(classes), {c: b for b, c in enumerate(page) if b >= 0x80} | {chr(b): b for b in range(0x80)}
 
 
+@cache
+def _leads(read_as: str, written: str) -> frozenset:
+    """Characters that such a run may begin with."""
+    pattern, to_byte = _runs(read_as, written)
+    return frozenset(c for c, b in to_byte.items() if b >= 0x80 and any(pattern.match(c + d + e + f) for d in _tails(read_as) for e in (d,) for f in (d,)))
+
+
+@cache
+def _tails(read_as: str) -> tuple[str, ...]:
+    return tuple(_page(read_as)[b] for b in (0x80, 0x90, 0xA1, 0xBF, 0xC1, 0xF0, 0x40))
+
+
 def _decoded(word: str, read_as: str, written: str) -> str:
     """``word`` with every run of bytes that is valid in the multi-byte encoding decoded."""
     pattern, to_byte = _runs(read_as, written)
@@ -111,7 +123,10 @@ def decodings(word: str, beyond: str) -> dict[str, list[str]]:
     found: dict[str, list[str]] = {}
     if len(beyond) < 2:  # a letter of two bytes has two kinds of them
         return found
+    chars = set(beyond)
     for r in READ_AS:
+        if chars.isdisjoint(_leads(r, "utf_8")):
+            continue
         text = word
         for _ in range(PASSES):  # the same channel may have been passed several times
             before, text = text, _decoded(text, r, "utf_8")
@@ -120,7 +135,7 @@ def decodings(word: str, beyond: str) -> dict[str, list[str]]:
             found.setdefault(text, []).append(f"utf_8>{r}")
     for r in ASIAN_READ_AS:
         for w in ("shift_jis", "euc_jp"):
-            if (text := _decoded(word, r, w)) != word:
+            if not chars.isdisjoint(_leads(r, w)) and (text := _decoded(word, r, w)) != word:
                 found.setdefault(text, []).append(f"{w}>{r}")
     return found
 
@@ -213,10 +228,18 @@ class Model:
             if (odds := pair.score(text) - whole) > 0.5:
                 known.append((odds, text, channels))
         touched = sorted({j for i, c in enumerate(word) if c >= "\x80" for j in (i, i + 1)})  # bigrams that a substitution changes
-        base = sum(as_is[j] for j in touched)
+        most = [0.0]  # what the bigrams from here on can gain at most, no probability being above 1
+        for j in reversed(touched):
+            most.append(most[-1] - as_is[j])
+        most.reverse()
+        steps = [(j, as_is[j], gain) for j, gain in zip(touched, most[1:])]
         for table, channels in self.swaps(beyond):
-            text = padded.translate(table)
-            if (odds := sum([pair[text[j : j + 2]] for j in touched]) - base) > 0.5:
+            text, odds = padded.translate(table), 0.0
+            for j, before, gain in steps:
+                odds += pair[text[j : j + 2]] - before
+                if odds + gain <= 0.5:
+                    break
+            else:
                 known.append((odds, text[1:-1], channels))
         if len(self.better) >= CACHE:
             self.better.clear()
@@ -274,12 +297,12 @@ class Model:
 
     def stands_for(self, channel: str, word: str, text: str) -> Iterator[tuple[str, str, float]]:
         """``(character, letter, probability)`` of each enciphered character of a word, its neighbours being taken as restored."""
-        letters = _alphabet(channel.split(">")[0])
+        written = channel.split(">")[0]
         padded = f"\n{text}\n"
         for i, char in enumerate(word):
             if char >= "\x80":
                 left, right = padded[i], padded[i + 2]
-                logs = {x: math.log(self.odds(channel, char, x)) + self.bigrams[left + x] + self.bigrams[x + right] for x in {*letters, text[i]}}
+                logs = {x: math.log(self.odds(channel, char, x)) + self.bigrams[left + x] + self.bigrams[x + right] for x in {*_alphabet(written, text[i].isupper()), text[i]}}  # letters of one case
                 most = max(logs.values())
                 weights = {x: math.exp(v - most) for x, v in logs.items() if v > most - 7}
                 total = sum(weights.values())
