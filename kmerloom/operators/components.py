@@ -28,7 +28,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     """``(id, comp)``: every node with the least node of its component.
 
     Alternating large-star and small-star rounds keep the number of edges within that of the input and end after about
-    as many rounds as the logarithm of the longest path. Each half round is written to the checkpoint folder. The joins
+    as many rounds as the logarithm of the longest path. Each round is written to the checkpoint folder once. The joins
     stream a hub's edges against its one row of state, and the adaptive skew join splits them; no list is ever gathered.
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -37,7 +37,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         ways = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = ways.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = checkpoint(large.where("u <> v").distinct())
+        large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
         current = checkpoint(small.where("u <> v").distinct())
