@@ -22,8 +22,8 @@ LAMBDA, KAPPA = 0.267, 0.041
 
 
 def upcase(seq: Column) -> Column:
-    """A, C, G, T of either case in upper case, every other character N (V1)."""
-    return F.regexp_replace(F.translate(seq, "acgt", "ACGT"), "[^ACGT]", "N")
+    """A, C, G, T of either case in upper case, every other character N (V1); most sequences need no change."""
+    return F.when(seq.rlike("[^ACGTN]"), F.regexp_replace(F.translate(seq, "acgt", "ACGT"), "[^ACGT]", "N")).otherwise(seq)
 
 
 def revcomp(seq: Column) -> Column:

@@ -2,7 +2,8 @@
 
 The end of one read overlaps the beginning of another by ``n`` letters if both have one key ``(n, h, g)``. Keys are
 polynomial hashes of 64 and 31 bits, so that all beginnings or ends of a read take time and space in proportion to its
-length, no sequence is shuffled, and a join needs no candidates that fail. Beginnings are added up by key before they are
+length, no sequence is shuffled, and a join needs no candidates that fail. Only ends whose first k-mer begins a read, and
+beginnings whose last k-mer ends one, leave their task (see ``sieve``). Beginnings are added up by key before they are
 joined; however many reads share one, it is a few rows.
 """
 
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sieve import mixed, passes, sieves
+
 #: Letters whose ends are made at a time.
 SLICE = 1 << 18
 #: Fixed values of the hashes: base and inverse modulo 2^64, base and inverse modulo the prime.
@@ -35,58 +38,106 @@ def _powers(base: int, n: int, prime: int | None = None) -> np.ndarray:
     return out
 
 
-def _hashed(seqs: list[str], k: int, ends: bool) -> tuple[np.ndarray, ...]:
-    """``(row, n, h, g, next letter)`` of all beginnings of ``k`` to ``length - 1`` letters, or of all such ends."""
+def _text(seqs: list[str]) -> tuple[np.ndarray, ...]:
+    """``(letters as bytes, first, size)`` of joined sequences."""
     text = np.frombuffer("".join(seqs).encode("latin_1", "replace"), np.uint8)
     size = np.array([len(s) for s in seqs], np.int64)
-    first = size.cumsum() - size
-    place = np.arange(len(text)) - np.repeat(first, size)
-    longest, letters, prime = int(size.max(initial=0)), _letter[text], np.uint64(PRIME)
-    wide = np.concatenate([[np.uint64(0)], (letters * _powers(BASE, longest)[place]).cumsum(dtype=np.uint64)])
-    narrow = np.concatenate([[np.uint64(0)], (letters % prime * _powers(SMALL, longest, PRIME)[place] % prime).cumsum(dtype=np.uint64)])
+    return text, size.cumsum() - size, size
+
+
+def _wide(text: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(sums, inverse, place)``: running sums of the 64-bit hash, inverse powers, and the place of each letter in its sequence."""
+    longest, place = int(size.max(initial=0)), np.arange(len(text)) - np.repeat(first, size)
+    sums = np.concatenate([[np.uint64(0)], (_letter[text] * _powers(BASE, longest)[place]).cumsum(dtype=np.uint64)])
+    return sums, _powers(INVERSE, longest), place
+
+
+def kmer_hashes(seqs: list[str], k: int) -> tuple[np.ndarray, ...]:
+    """``(row, pos, x)`` of all k-mers of the sequences; ``x`` is a mixed hash."""
+    text, first, size = _text(seqs)
+    sums, inverse, _ = _wide(text, first, size)
+    many = np.maximum(size - k + 1, 0)
+    row = np.repeat(np.arange(len(seqs)), many)
+    pos = np.arange(len(row)) - np.repeat(many.cumsum() - many, many)
+    at = first[row] + pos
+    return row, pos, mixed((sums[at + k] - sums[at]) * inverse[pos])
+
+
+def sliced(seqs: list[str]) -> Iterator[slice]:
+    """Slices of about SLICE letters."""
+    at = 0
+    while at < len(seqs):
+        stop, letters = at, 0
+        while stop < len(seqs) and (letters == 0 or letters + len(seqs[stop]) <= SLICE):
+            letters += len(seqs[stop])
+            stop += 1
+        yield slice(at, stop)
+        at = stop
+
+
+def _hashed(seqs: list[str], k: int, ends: bool, words: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """``(row, n, h, g, next letter)`` of all beginnings of ``k`` to ``length - 1`` letters, or of all such ends; of those only that ``words`` let through."""
+    text, first, size = _text(seqs)
+    wide, inverse, place = _wide(text, first, size)
+    longest, prime = int(size.max(initial=0)), np.uint64(PRIME)
     many = np.maximum(size - k, 0)
     row = np.repeat(np.arange(len(seqs)), many)
     n = k + np.arange(len(row)) - np.repeat(many.cumsum() - many, many)
+    if words is not None:  # an end goes on with its first k-mer, a beginning with its last
+        pos = size[row] - n if ends else n - k
+        at = first[row] + pos
+        able = passes(words, mixed((wide[at + k] - wide[at]) * inverse[pos]))
+        row, n = row[able], n[able]
+    narrow = np.concatenate([[np.uint64(0)], (_letter[text] % prime * _powers(SMALL, longest, PRIME)[place] % prime).cumsum(dtype=np.uint64)])
     begin = first[row]
     if not ends:
         return row, n, wide[begin + n] - wide[begin], (narrow[begin + n] - narrow[begin]) % prime, text[begin + n]
     stop, skip = begin + size[row], size[row] - n
-    h = (wide[stop] - wide[stop - n]) * _powers(INVERSE, longest)[skip]
+    h = (wide[stop] - wide[stop - n]) * inverse[skip]
     g = (narrow[stop] - narrow[stop - n]) % prime * _powers(SMALL_INVERSE, longest, PRIME)[skip] % prime
     return row, n, h, g, np.zeros(len(row), np.uint8)
 
 
-def _made(rows: DataFrame, k: int, ends: bool, kept: str) -> DataFrame:
+def _made(rows: DataFrame, k: int, ends: bool, kept: str, sieve=None) -> DataFrame:
     names = ["node", kept, "n", "h", "g", "base"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sieve.value if sieve is not None else None
         for batch in batches:
             nodes, others, seqs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            at = 0
-            while at < len(seqs):
-                stop, letters = at, 0
-                while stop < len(seqs) and (letters == 0 or letters + len(seqs[stop]) <= SLICE):
-                    letters += len(seqs[stop])
-                    stop += 1
-                row, n, h, g, base = _hashed(seqs[at:stop], k, ends)
-                columns = nodes[at:stop][row], others[at:stop][row], n.astype(np.int32), h.view(np.int64), g.astype(np.int32), base.astype(np.int16)
+            for s in sliced(seqs):
+                row, n, h, g, base = _hashed(seqs[s], k, ends, words)
+                columns = nodes[s][row], others[s][row], n.astype(np.int32), h.view(np.int64), g.astype(np.int32), base.astype(np.int16)
                 yield pa.record_batch([pa.array(c) for c in columns], names)
-                at = stop
 
     return rows.select("node", kept, "seq").mapInArrow(run, f"node bigint, {kept} bigint, n int, h bigint, g int, base smallint")
 
 
-def beginnings(rows: DataFrame, k: int) -> DataFrame:
+def end_sieves(rows: DataFrame, k: int) -> tuple:
+    """Sieves of the first and of the last k-mers of ``rows`` that are longer: all that ends, and beginnings, can meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = batch.column(0).to_pylist()
+            for s in sliced(seqs):
+                for kind, part in enumerate(([q[:k] for q in seqs[s]], [q[-k:] for q in seqs[s]])):
+                    x = np.unique(kmer_hashes(part, k)[2]).view(np.int64)
+                    yield pa.record_batch([pa.array(np.full(len(x), kind, np.int32)), pa.array(x)], ["kind", "x"])
+
+    return tuple(sieves(rows.where(F.length("seq") > k).select("seq").mapInArrow(run, "kind int, x bigint"), 2))
+
+
+def beginnings(rows: DataFrame, k: int, sieve=None) -> DataFrame:
     """``(node, occr, n, h, g, base)``: the beginnings of ``k`` letters or more that leave a next one, ``base``, its code.
 
-    ``rows`` are ``(node bigint, occr bigint, seq)``, without nulls.
+    ``rows`` are ``(node bigint, occr bigint, seq)``, without nulls. A ``sieve`` of last k-mers leaves out what no end can meet.
     """
-    return _made(rows, k, False, "occr")
+    return _made(rows, k, False, "occr", sieve)
 
 
-def tails(rows: DataFrame, k: int) -> DataFrame:
-    """``(node, n, h, g)``: the ends of ``k`` letters or more that are shorter than the read."""
-    return _made(rows.withColumn("occr", F.lit(0).cast("bigint")), k, True, "occr").select("node", "n", "h", "g")
+def tails(rows: DataFrame, k: int, sieve=None) -> DataFrame:
+    """``(node, n, h, g)``: the ends of ``k`` letters or more that are shorter than the read; a ``sieve`` of first k-mers leaves out what no beginning can meet."""
+    return _made(rows.withColumn("occr", F.lit(0).cast("bigint")), k, True, "occr", sieve).select("node", "n", "h", "g")
 
 
 def same_read(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import hamming, hamming_prefix, revcomp
 from ..session import spread
-from .ends import beginnings, tails
+from .ends import beginnings, end_sieves, tails
 from .hot_keys import attach
 from .kmers import end_kmers, indexable, query_kmers, slide
 
@@ -87,8 +87,9 @@ def best_successor(reads: DataFrame, min_overlap: int) -> DataFrame:
     plain = spread(reads.select("read_id", "seq")).where(F.col("read_id").isNotNull() & (F.length("seq") >= min_overlap))
     rows = indexable(plain).select(F.col("read_id").cast("bigint").alias("node"), F.lit(1).cast("bigint").alias("occr"), "seq")
     lowest = Window.partitionBy("h", "g", "n").orderBy("next_id")
-    index = beginnings(rows, min_overlap).select("h", "g", "n", F.col("node").alias("next_id")).withColumn("nth", F.row_number().over(lowest)).where("nth <= 2")
-    met = tails(rows, min_overlap).join(index, ["h", "g", "n"]).where("node <> next_id")
+    firsts, lasts = end_sieves(rows, min_overlap)
+    index = beginnings(rows, min_overlap, lasts).select("h", "g", "n", F.col("node").alias("next_id")).withColumn("nth", F.row_number().over(lowest)).where("nth <= 2")
+    met = tails(rows, min_overlap, firsts).join(index, ["h", "g", "n"]).where("node <> next_id")
     best = met.groupBy("node").agg(F.max(F.struct(F.col("n").alias("overlap"), (-F.col("next_id")).alias("neg"))).alias("b"))
     return best.select(F.col("node").alias("read_id"), (-F.col("b.neg")).alias("next_id"), "b.overlap")
 
