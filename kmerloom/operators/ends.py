@@ -140,6 +140,37 @@ def tails(rows: DataFrame, k: int, sieve=None) -> DataFrame:
     return _made(rows.withColumn("occr", F.lit(0).cast("bigint")), k, True, "occr", sieve).select("node", "n", "h", "g")
 
 
+def first_keys(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` with ``x``, the mixed hash of the first ``k`` letters of ``oriented``, in its place; none is shorter."""
+    kept = [c for c in rows.columns if c != "oriented"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = kmer_hashes(batch.column(len(kept)).to_pylist(), k)[2] if len(batch) else np.zeros(0, np.uint64)
+            yield pa.record_batch([*batch.columns[: len(kept)], pa.array(x.view(np.int64))], [*kept, "x"])
+
+    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.select(*kept, F.substring("oriented", 1, k).alias("oriented")).mapInArrow(run, f"{fields}, x bigint")
+
+
+def word_keys(queries: DataFrame, k: int, less: int, sieve) -> DataFrame:
+    """``(query_id, offset, x)``: the k-mers of ``(query_id, seq)`` that the sieve lets through, to the offset ``length - less``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sieve.value
+        for batch in batches:
+            seqs = batch.column(1).to_pylist()
+            for s in sliced(seqs):
+                row, pos, x = kmer_hashes(seqs[s], k)
+                size = np.array([len(q) for q in seqs[s]], np.int64)
+                able = np.flatnonzero((pos <= size[row] - less) & passes(words, x))
+                ids = batch.column(0).take(pa.array(row[able] + s.start))
+                yield pa.record_batch([ids, pa.array(pos[able].astype(np.int32)), pa.array(x[able].view(np.int64))], ["query_id", "offset", "x"])
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return queries.select("query_id", "seq").where(F.col("seq").isNotNull()).mapInArrow(run, f"query_id {kind}, offset int, x bigint")
+
+
 def same_read(a: Column, b: Column) -> Column:
     """Whether two nodes are strands of one read."""
     return F.shiftright(a, 1) == F.shiftright(b, 1)

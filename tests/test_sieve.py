@@ -54,3 +54,28 @@ def test_best_successor_shuffles_only_what_can_meet(spark, monkeypatch):
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "read_id bigint, seq string")
     assert [tuple(r) for r in overlap.best_successor(rows, K).collect()] == [(7, 40, 40)]
     assert sum(x.agg(F.count(F.lit(1))).first()[0] for x in made) < 60
+
+
+def test_matches_shuffle_only_words_that_can_meet(spark, monkeypatch):
+    rng, made = random.Random(4), []
+    whole = overlap.word_keys
+    monkeypatch.setattr(overlap, "word_keys", lambda *a: made.append(whole(*a)) or made[-1])
+    seqs = reads_of(rng, 30) + ["A" * 40, "C" * 5 + "A" * 30, "ACGTN" * 10, "ACG", ""]
+    seqs += [seqs[3][-30:] + "GATTACA", seqs[5][20:50], seqs[6][:-1].translate(str.maketrans("ACGT", "TGCA"))[::-1], seqs[8][30:48] + "ACGTACGTAC"]
+    rows = spark.createDataFrame([*enumerate(seqs), (99, None)], "read_id bigint, seq string")
+    turned = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+
+    def expected(limit, most, fits):
+        return sorted(
+            (q, r, strand, i) for q, a in enumerate(seqs) for r, b in enumerate(seqs) if q != r and "N" not in b and len(b) >= K for strand, o in (("+", b), ("-", turned(b)))
+            for i in range(len(a)) if limit(len(a), i) and a[i : i + K] == o[:K] and fits(a[i:], o, most)
+        )
+
+    near = lambda a, o, most: sum(x != y for x, y in zip(a, o)) <= most * min(len(a), len(o))
+    ids = lambda df: sorted(tuple(r)[:4] for r in df.collect())
+    inside = lambda n, i: i <= n - K
+    exact = ids(overlap.overlaps(rows, rows, K, K))
+    assert exact == expected(inside, 0, near) and len(exact) > 20
+    assert made[0].count() < 0.15 * sum(max(len(s) - K + 1, 0) for s in seqs)
+    assert ids(overlap.overlaps(rows, rows, K, K, 0.3)) == expected(inside, 0.3, near)
+    assert ids(overlap.prefix_overlaps(rows, rows, K, 15)) == expected(lambda n, i: i < n - 15, 0, lambda a, o, _: a[:15] == o[:15])
