@@ -20,7 +20,7 @@ from ..functions.sequence import revcomp
 from ..session import checkpoint, spread
 from ..session import numbered as number_rows
 from .contigs import MIN_LENGTH, with_gc
-from .ends import beginnings, same_read, tails
+from .ends import beginnings, end_sieves, same_read, tails
 from .kmers import indexable
 
 #: Contigs whose reads are added up together.
@@ -61,9 +61,10 @@ def choices(nodes: DataFrame, k: int, by_letter: bool) -> DataFrame:
     split by the adaptive join without copying more than these. No key is heavy on the added-up side, which is hashed.
     """
     letter = F.col("base") if by_letter else F.lit(0).cast("smallint")
-    index = beginnings(nodes, k).groupBy("h", "g", "n", letter.alias("base")).agg(F.sum("occr").alias("reads"), F.min("node").alias("low"), F.max("node").alias("high"))
+    firsts, lasts = end_sieves(nodes, k)
+    index = beginnings(nodes, k, lasts).groupBy("h", "g", "n", letter.alias("base")).agg(F.sum("occr").alias("reads"), F.min("node").alias("low"), F.max("node").alias("high"))
     other = F.when(~same_read(F.col("node"), F.col("low")), F.col("low")).when(~same_read(F.col("node"), F.col("high")), F.col("high"))
-    met = tails(nodes, k).join(index.hint("shuffle_hash"), ["h", "g", "n"]).withColumn("next", other).where(F.col("next").isNotNull())
+    met = tails(nodes, k, firsts).join(index.hint("shuffle_hash"), ["h", "g", "n"]).withColumn("next", other).where(F.col("next").isNotNull())
     ways = met.groupBy("node", "base").agg(F.sum("reads").alias("weight"), F.max("n").alias("ovl"), F.max_by("next", "n").alias("next"))
     best = ways.groupBy("node").agg(F.max(F.struct("weight", (-F.col("base")).alias("order"), "ovl", "next")).alias("b"))
     return best.select("node", "b.next", "b.ovl", "b.weight")

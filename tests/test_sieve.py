@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from kmerloom.operators import ends, overlap, sieve
+from kmerloom.operators import assembly, ends, overlap, sieve
 
 K = 12
 
@@ -79,3 +79,15 @@ def test_matches_shuffle_only_words_that_can_meet(spark, monkeypatch):
     assert made[0].count() < 0.15 * sum(max(len(s) - K + 1, 0) for s in seqs)
     assert ids(overlap.overlaps(rows, rows, K, K, 0.3)) == expected(inside, 0.3, near)
     assert ids(overlap.prefix_overlaps(rows, rows, K, 15)) == expected(lambda n, i: i < n - 15, 0, lambda a, o, _: a[:15] == o[:15])
+
+
+def test_choices_shuffle_only_what_can_meet(spark, monkeypatch):
+    made = []
+    whole = ends._made
+    monkeypatch.setattr(ends, "_made", lambda *a: made.append(whole(*a)) or made[-1])
+    seqs = reads_of(random.Random(5), 40)
+    seqs.append(seqs[7][-40:] + "GATTACA")
+    once = spark.createDataFrame([(i, 1, s) for i, s in enumerate(seqs)], "id bigint, occr bigint, seq string")
+    found = sorted(tuple(r) for r in assembly.choices(assembly.strands(once), K, True).collect())
+    assert found == [(14, 80, 40, 1), (81, 15, 40, 1)]
+    assert sum(x.agg(F.count(F.lit(1))).first()[0] for x in made) < 120
