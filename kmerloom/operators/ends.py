@@ -24,6 +24,10 @@ SLICE = 1 << 18
 BASE, PRIME, SMALL = 0x9E3779B97F4A7C15, (1 << 31) - 1, 1_103_515_245
 INVERSE, SMALL_INVERSE = pow(BASE, -1, 1 << 64), pow(SMALL, -1, PRIME)
 
+#: Two bits of a letter, as a code; 4 for others.
+_CODE = np.full(256, 4, np.uint8)
+_CODE[[ord(c) for c in "ACGT"]] = range(4)
+
 _letter = np.random.default_rng(5).integers(1, 1 << 62, 256).astype(np.uint64) | np.uint64(1)
 
 
@@ -140,35 +144,67 @@ def tails(rows: DataFrame, k: int, sieve=None) -> DataFrame:
     return _made(rows.withColumn("occr", F.lit(0).cast("bigint")), k, True, "occr", sieve).select("node", "n", "h", "g")
 
 
-def first_keys(rows: DataFrame, k: int) -> DataFrame:
-    """``rows`` with ``x``, the mixed hash of the first ``k`` letters of ``oriented``, in its place; none is shorter."""
-    kept = [c for c in rows.columns if c != "oriented"]
+def _planes(text: np.ndarray, at: np.ndarray, size: np.ndarray, words: int) -> list[np.ndarray]:
+    """``[fit, low 0, high 0, mask 0, low 1 ...]``: the first ``64 * words`` letters from ``at``, no more than ``size`` of them, as two bits and a
+    set bit of the mask each. ``fit`` is how many of them stand before one that isn't A, C, G or T, whose bits are those of A."""
+    code = _CODE[text]
+    i, shift, out = at >> 6, (at & 63).astype(np.uint64), []
+    odd = np.append(np.flatnonzero(code > 3), len(text) + 64 * words)
+    out.append(np.minimum(odd[odd.searchsorted(at)] - at, 64 * words).astype(np.int32))
+    bits = [np.concatenate([np.packbits(p, bitorder="little"), np.zeros(8 * words + 16, np.uint8)]) for p in (code & 1, code >> 1 & 1)]
+    low, high = (b[: len(b) // 8 * 8].view(np.uint64) for b in bits)
+    for j in range(words):
+        left = np.clip(size - 64 * j, 0, 64).astype(np.uint64)
+        mask = np.where(left > 63, ~np.uint64(0), (np.uint64(1) << (left & np.uint64(63))) - np.uint64(1))
+        for plane in (low, high):
+            out.append(((plane[i + j] >> shift | plane[i + j + 1] << np.uint64(1) << (np.uint64(63) - shift)) & mask).view(np.int64))
+        out.append(mask.view(np.int64))
+    return out
+
+
+def plane_names(side: str, words: int) -> list[str]:
+    return [f"{side}{i}" for i in range(3 * words)]
+
+
+def first_keys(rows: DataFrame, k: int, words: int = 0, most: int | None = None) -> DataFrame:
+    """``rows`` with ``x``, the mixed hash of the first ``k`` letters of ``oriented``, beside it; none is shorter. With ``words``, also its
+    first ``64 * words`` letters, or ``most`` of them, as bits (``r0``, ``r1`` ...; see ``_planes``), and ``r_fit``."""
+    kept, made = rows.columns, ["x", *(["r_fit", *plane_names("r", words)] if words else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = kmer_hashes(batch.column(len(kept)).to_pylist(), k)[2] if len(batch) else np.zeros(0, np.uint64)
-            yield pa.record_batch([*batch.columns[: len(kept)], pa.array(x.view(np.int64))], [*kept, "x"])
+            heads = batch.column(len(kept)).to_pylist()
+            for s in sliced(heads):
+                text, first, size = _text(heads[s])
+                columns = [kmer_hashes([q[:k] for q in heads[s]], k)[2].view(np.int64), *(_planes(text, first, np.minimum(size, most or size), words) if words else [])]
+                own = batch.slice(s.start, s.stop - s.start)
+                yield pa.record_batch([*own.columns[: len(kept)], *map(pa.array, columns)], [*kept, *made])
 
-    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
-    return rows.select(*kept, F.substring("oriented", 1, k).alias("oriented")).mapInArrow(run, f"{fields}, x bigint")
+    fields = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} {'int' if c == 'r_fit' else 'bigint'} not null" for c in made])
+    return rows.select(*kept, F.substring("oriented", 1, max(k, 64 * words)).alias("_head")).mapInArrow(run, fields)
 
 
-def word_keys(queries: DataFrame, k: int, less: int, sieve) -> DataFrame:
-    """``(query_id, offset, x)``: the k-mers of ``(query_id, seq)`` that the sieve lets through, to the offset ``length - less``."""
+def word_keys(queries: DataFrame, k: int, less: int, sieve, words: int = 0, most: int | None = None) -> DataFrame:
+    """``(query_id, offset, x)``: the k-mers of ``(query_id, seq)`` that the sieve lets through, to the offset ``length - less``. With ``words``,
+    also ``rest``, the number of letters from there, and as in ``first_keys`` their bits (``q0``, ``q1`` ..., ``q_fit``)."""
+    made = ["rest", "q_fit", *plane_names("q", words)] if words else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sieve.value
+        known = sieve.value
         for batch in batches:
             seqs = batch.column(1).to_pylist()
             for s in sliced(seqs):
                 row, pos, x = kmer_hashes(seqs[s], k)
-                size = np.array([len(q) for q in seqs[s]], np.int64)
-                able = np.flatnonzero((pos <= size[row] - less) & passes(words, x))
-                ids = batch.column(0).take(pa.array(row[able] + s.start))
-                yield pa.record_batch([ids, pa.array(pos[able].astype(np.int32)), pa.array(x[able].view(np.int64))], ["query_id", "offset", "x"])
+                text, first, size = _text(seqs[s])
+                able = np.flatnonzero((pos <= size[row] - less) & passes(known, x))
+                row, pos = row[able], pos[able]
+                ids, rest = batch.column(0).take(pa.array(row + s.start)), size[row] - pos
+                columns = [pos.astype(np.int32), x[able].view(np.int64), *([rest.astype(np.int32), *_planes(text, first[row] + pos, np.minimum(rest, most or rest), words)] if words else [])]
+                yield pa.record_batch([ids, *map(pa.array, columns)], ["query_id", "offset", "x", *made])
 
     kind = queries.schema["query_id"].dataType.simpleString()
-    return queries.select("query_id", "seq").where(F.col("seq").isNotNull()).mapInArrow(run, f"query_id {kind}, offset int, x bigint")
+    fields = ", ".join([f"query_id {kind}", "offset int not null", "x bigint not null", *(f"{c} {'int' if i < 2 else 'bigint'} not null" for i, c in enumerate(made))])
+    return queries.select("query_id", "seq").where(F.col("seq").isNotNull()).mapInArrow(run, fields)
 
 
 def same_read(a: Column, b: Column) -> Column:
