@@ -166,9 +166,9 @@ def plane_names(side: str, words: int) -> list[str]:
     return [f"{side}{i}" for i in range(3 * words)]
 
 
-def first_keys(rows: DataFrame, k: int, words: int = 0, most: int | None = None) -> DataFrame:
+def first_keys(rows: DataFrame, k: int, words: int = 0, most: int | None = None, sieve=None) -> DataFrame:
     """``rows`` with ``x``, the mixed hash of the first ``k`` letters of ``oriented``, beside it; none is shorter. With ``words``, also its
-    first ``64 * words`` letters, or ``most`` of them, as bits (``r0``, ``r1`` ...; see ``_planes``), and ``r_fit``."""
+    first ``64 * words`` letters, or ``most`` of them, as bits (``r0``, ``r1`` ...; see ``_planes``), and ``r_fit``. A ``sieve`` leaves out rows by ``x``."""
     kept, made = rows.columns, ["x", *(["r_fit", *plane_names("r", words)] if words else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,27 +176,34 @@ def first_keys(rows: DataFrame, k: int, words: int = 0, most: int | None = None)
             heads = batch.column(len(kept)).to_pylist()
             for s in sliced(heads):
                 text, first, size = _text(heads[s])
-                columns = [kmer_hashes([q[:k] for q in heads[s]], k)[2].view(np.int64), *(_planes(text, first, np.minimum(size, most or size), words) if words else [])]
+                x = kmer_hashes([q[:k] for q in heads[s]], k)[2]
+                columns = [x.view(np.int64), *(_planes(text, first, np.minimum(size, most or size), words) if words else [])]
                 own = batch.slice(s.start, s.stop - s.start)
-                yield pa.record_batch([*own.columns[: len(kept)], *map(pa.array, columns)], [*kept, *made])
+                made_rows = pa.record_batch([*own.columns[: len(kept)], *map(pa.array, columns)], [*kept, *made])
+                yield made_rows if sieve is None else made_rows.filter(pa.array(passes(sieve.value, x)))
 
     fields = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} {'int' if c == 'r_fit' else 'bigint'} not null" for c in made])
     return rows.select(*kept, F.substring("oriented", 1, max(k, 64 * words)).alias("_head")).mapInArrow(run, fields)
 
 
-def word_keys(queries: DataFrame, k: int, less: int, sieve, words: int = 0, most: int | None = None) -> DataFrame:
+def word_keys(queries: DataFrame, k: int, less: int, sieve, words: int = 0, most: int | None = None, several=None) -> DataFrame:
     """``(query_id, offset, x)``: the k-mers of ``(query_id, seq)`` that the sieve lets through, to the offset ``length - less``. With ``words``,
-    also ``rest``, the number of letters from there, and as in ``first_keys`` their bits (``q0``, ``q1`` ..., ``q_fit``)."""
+    also ``rest``, the number of letters from there, and as in ``first_keys`` their bits (``q0``, ``q1`` ..., ``q_fit``).
+    Where the queries are the reads, a sieve of the first k-mers of ``several`` rows leaves out those that only begin their own read."""
     made = ["rest", "q_fit", *plane_names("q", words)] if words else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sieve.value
+        known, shared = sieve.value, several.value if several is not None else None
         for batch in batches:
             seqs = batch.column(1).to_pylist()
             for s in sliced(seqs):
                 row, pos, x = kmer_hashes(seqs[s], k)
                 text, first, size = _text(seqs[s])
-                able = np.flatnonzero((pos <= size[row] - less) & passes(known, x))
+                able = (pos <= size[row] - less) & passes(known, x)
+                if shared is not None:
+                    own = np.array(["N" not in q for q in seqs[s]], bool)
+                    able &= (pos > 0) | ~own[row] | passes(shared, x)
+                able = np.flatnonzero(able)
                 row, pos = row[able], pos[able]
                 ids, rest = batch.column(0).take(pa.array(row + s.start)), size[row] - pos
                 columns = [pos.astype(np.int32), x[able].view(np.int64), *([rest.astype(np.int32), *_planes(text, first[row] + pos, np.minimum(rest, most or rest), words)] if words else [])]

@@ -55,7 +55,8 @@ def _ones(n: int) -> int:
 
 
 def _matches(queries: DataFrame, reads: DataFrame, k: int, less: int, n: Column, words: int, accept: Column, max_mismatch: float = 0.0, fits: Column | None = None, most: int | None = None) -> DataFrame:
-    """Hashes of the reads' first k-mers meet those of the queries' k-mers that a sieve of the former lets through, hot ones spread.
+    """Hashes of the reads' first k-mers meet those of the queries' k-mers, hot ones spread; sieves of either keep those of the other that
+    meet nothing, or only their own read, in their task.
 
     Both carry their next ``64 * words`` letters as bits, and pairs are compared by these inside the join: what differs too much leaves no row.
     ``n`` letters count, of ``rest`` in the query and ``size`` in the read, bits of the first ``most`` only. Where they exceed the bits, or a letter isn't one of
@@ -63,9 +64,13 @@ def _matches(queries: DataFrame, reads: DataFrame, k: int, less: int, n: Column,
     """
     asked = queries.select(F.col("read_id").alias("query_id"), "seq")
     both = both_strands(indexable(reads).where(F.length("seq") >= k)).select("read_id", "strand", F.length("oriented").alias("size"), "oriented")
-    (sieve,) = sieves(first_keys(both.select("oriented"), k).select(F.lit(0).alias("kind"), "x"))
-    keys, first = word_keys(asked, k, less, sieve, words, most), first_keys(both, k, words, most)
-    hot = [r["x"] for r in hot_keys(word_keys(asked.sample(PROBE, 1), k, less, sieve), "x").select("x").collect()]  # fewer than HOT_KEYS
+    begun = first_keys(both.select("oriented"), k).groupBy("x").agg((F.count(F.lit(1)) > 1).alias("again"))
+    sieve, again = sieves(begun.select(F.explode(F.when(F.col("again"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("kind"), "x"), 2)
+    several = again if queries is reads else None
+    keys = word_keys(asked, k, less, sieve, words, most, several)
+    (asked_for,) = sieves(word_keys(asked, k, less, sieve, 0, None, several).select("x").distinct().select(F.lit(0).alias("kind"), "x"))
+    first = first_keys(both, k, words, most, asked_for)
+    hot = [r["x"] for r in hot_keys(word_keys(asked.sample(PROBE, 1), k, less, sieve, 0, None, several), "x").select("x").collect()]  # fewer than HOT_KEYS
     is_hot = F.col("x").isin(hot) if hot else F.lit(False)
     keys = keys.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("query_id", "offset"), F.lit(SALTS)).cast("int")).otherwise(0))
     first = first.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
@@ -78,6 +83,12 @@ def _matches(queries: DataFrame, reads: DataFrame, k: int, less: int, n: Column,
     sure, near = F.greatest(n, F.lit(k)) <= F.least("q_fit", "r_fit"), near if fits is None else fits & near
     met = keys.join(first, ["x", "salt"])
     found = met.where(other & near & sure).select("query_id", "read_id", "strand", "offset", "oriented", "rest")
+    if max_mismatch == 0:  # sequences that are equal are both long, or have both other letters, where their bits don't do
+        wide = 64 * words
+        far = F.col("q_fit") < wide, F.col("r_fit") < wide
+        if most is None or max(most, k) > wide:
+            far = far[0] | (F.col("rest") > wide), far[1] | (F.col("size") > wide)
+        met = keys.where(far[0]).join(first.where(far[1]), ["x", "salt"])
     return found.unionByName(_fetched(met.where(~sure & other & near).select("query_id", "read_id", "strand", "offset"), asked, reads, k, accept))
 
 

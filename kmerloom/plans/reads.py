@@ -255,8 +255,7 @@ def overlap_mismatch(spark, sf_dir):
 @query(_JOIN + ' SELECT query_id, read_id, strand, offset_ AS "offset", substr(o, CAST(size - offset_ + 1 AS INT)) AS suffix FROM c WHERE offset_ < size - 30 AND substr(rest, 1, 30) = substr(o, 1, 30)')
 def prefix_overlap(spark, sf_dir):
     rows = reads(spark, sf_dir)
-    found = overlap.prefix_overlaps(rows, rows, K, 30).join(rows.select(F.col("read_id").alias("query_id"), F.length("seq").alias("size")), "query_id")
-    return overlap.matching_suffix(found, F.col("size") - F.col("offset")).select("query_id", "read_id", "strand", "offset", "suffix")
+    return overlap.matching_suffix(overlap.prefix_overlaps(rows, rows, K, 30), F.col("rest")).select("query_id", "read_id", "strand", "offset", "suffix")
 
 
 @query(READS + " SELECT read_id FROM r WHERE read_id NOT IN (SELECT CASE WHEN first_id >= 0 THEN first_id ELSE -first_id - 1 END FROM hashbuckets WHERE first_id IS NOT NULL)")
