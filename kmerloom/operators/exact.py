@@ -5,35 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import revcomp
 from ..session import checkpoint, spread
 from .assembly import assembled, distinct_reads, usable
 from .contigs import TIERS, tier
-from .kmers import slide
+from .overlap import within
 
 
 def outermost(once: DataFrame, k: int) -> DataFrame:
     """Distinct reads that occur within no longer one, on either strand.
 
-    Each read looks for hosts by the rarest of its k-mers, so that a k-mer of many reads makes no candidates
-    unless a read has no other. K-mers travel without sequences; those of the two reads are compared once for each place.
+    A read within another is a match of its whole length: only k-mers that begin reads leave their task, and pairs are compared
+    where these meet (see ``overlap.within``).
     """
-    back = revcomp(F.col("kmer"))
-    word = F.xxhash64(F.least(F.col("kmer"), back))
-    sides = F.when(F.col("kmer") == back, 2).otherwise((F.col("kmer") < back).cast("int"))  # 2: the same on both strands
-    words = slide(spread(once).select("id", "seq", F.length("seq").alias("size")), k).select("id", "size", "pos", word.alias("word"), sides.alias("side"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rarest = words.join(counts, "word").groupBy("id").agg(F.min(F.struct("n", "word", "pos", "side", "size")).alias("w")).where("w.n > 1")
-    asked = rarest.select("id", "w.word", F.col("w.pos").alias("at"), F.col("w.side").alias("asked"), F.col("w.size").alias("inner"))
-    hosts = words.select(F.col("id").alias("host"), "word", "pos", "side", "size")
-    strand = F.when(F.col("side") == 2, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.col("side") == F.col("asked")))
-    met = asked.join(hosts, "word").where("size > inner").withColumn("same", F.explode(strand))
-    begin = F.when(F.col("same"), F.col("pos") - F.col("at")).otherwise(F.col("pos") - (F.col("inner") - F.col("at") - k))
-    met = met.withColumn("begin", begin).where("begin >= 0 and begin + inner <= size").select("id", "host", "inner", "same", "begin")
-    text = once.select("id", "seq")
-    placed = met.join(text.select(F.col("id").alias("host"), F.col("seq").alias("outer_seq")), "host").select("id", "same", F.substr("outer_seq", F.col("begin") + 1, F.col("inner")).alias("part"))
-    within = placed.join(text, "id").where(F.col("part") == F.when(F.col("same"), F.col("seq")).otherwise(revcomp(F.col("seq")))).select("id")
-    return once.join(within, "id", "left_anti")
+    rows = spread(once).select(F.col("id").alias("read_id"), "seq")
+    return once.join(within(rows, k).select(F.col("read_id").alias("id")), "id", "left_anti")
 
 
 def exact_contigs(reads: DataFrame, k: int = 25, min_length: int = TIERS[0]) -> DataFrame:

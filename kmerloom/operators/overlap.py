@@ -123,6 +123,13 @@ def prefix_overlaps(queries: DataFrame, reads: DataFrame, k: int, min_overlap: i
     return _matches(queries, reads, k, max(k, min_overlap + 1), n, words, accept, max_mismatch, F.col("size") >= min_overlap if max_mismatch == 0 else None, max(k, min_overlap))
 
 
+def within(reads: DataFrame, k: int) -> DataFrame:
+    """Matches, as of ``overlaps``, of distinct reads that lie within a longer one, on either strand."""
+    whole = F.substring("rest", 1, F.length("oriented")) == F.col("oriented")
+    longer = (F.col("rest") >= F.col("size")) & (F.col("offset") + F.col("rest") > F.col("size"))
+    return _matches(reads, reads, k, k, F.col("size"), WORDS, whole & (F.length("query") > F.length("oriented")), fits=longer)
+
+
 def matching_suffix(matches: DataFrame, span: Column) -> DataFrame:
     """Adds ``suffix``: what a match has beyond the ``span`` letters that it shares with the query."""
     return matches.withColumn("suffix", F.substr("oriented", span + 1, F.length("oriented")))
@@ -189,4 +196,4 @@ def duplicates(reads: DataFrame) -> DataFrame:
     return reads.groupBy("seq").agg(F.count(F.lit(1)).alias("occr"), F.min("read_id").alias("first_id"))
 
 
-__all__ = ["ancestors", "best_successor", "contained_in", "duplicates", "index_skew", "match_order", "matching_suffix", "overlaps", "point_lookup", "postings", "prefix_overlaps", "revcomp", "with_match"]
+__all__ = ["ancestors", "best_successor", "contained_in", "duplicates", "index_skew", "match_order", "matching_suffix", "overlaps", "point_lookup", "postings", "prefix_overlaps", "revcomp", "with_match", "within"]
