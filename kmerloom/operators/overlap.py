@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import hamming, hamming_prefix, revcomp
-from ..session import checkpoint, spread
+from ..session import spread, stored
 from .ends import beginnings, end_sieves, first_keys, tails, word_keys
 from .hot_keys import hot_keys
 from .kmers import both_strands, end_kmers, indexable, slide
@@ -19,6 +19,8 @@ from .sieve import sieves
 PROBE, SALTS = 0.02, 16
 #: Words of 64 letters that keys carry, to be compared where they meet.
 WORDS = 4
+#: Letters beyond the query by which its exact matches meet each other.
+HEAD = 8
 
 
 def point_lookup(reads: DataFrame, words: DataFrame, k: int) -> DataFrame:
@@ -165,19 +167,33 @@ def match_order(matches: DataFrame) -> DataFrame:
     return matches.withColumn("place", F.row_number().over(order))
 
 
-def ancestors(matches: DataFrame, min_overlap: int) -> DataFrame:
+def ancestors(matches: DataFrame, min_overlap: int, exact: bool = False) -> DataFrame:
     """``(query_id, read_id, strand, offset, before_id, before_strand, before_offset)``: for each match of a query the other ones that begin at or before it,
     reach ``min_overlap`` letters into it, and agree with it there: a range join within the query (J7).
+
+    ``exact`` matches, with ``rest`` (see ``overlaps``), agree within the query. Of these only what reaches beyond it is kept, and those that
+    reach ``HEAD`` letters beyond meet by these first.
     """
-    matches = checkpoint(matches.select("query_id", "read_id", "strand", "offset", "oriented"))  # they are looked for once
-    v = matches.select("query_id", "read_id", "strand", "offset", "oriented")
-    u = matches.select("query_id", F.col("read_id").alias("before_id"), F.col("strand").alias("before_strand"), F.col("offset").alias("before_offset"), F.col("oriented").alias("before_seq"))
     ahead = F.col("offset") - F.col("before_offset")
-    shared = F.length("before_seq") - ahead
-    n = F.least(shared, F.length("oriented"))
-    near = (ahead >= 0) & (shared >= min_overlap) & ((F.col("read_id") != F.col("before_id")) | (F.col("strand") != F.col("before_strand")) | (ahead > 0))
-    agree = F.substr("before_seq", ahead + 1, n) == F.substr("oriented", F.lit(1), n)
-    return v.join(u, "query_id").where(near & agree).drop("oriented", "before_seq")
+    near = (ahead >= 0) & (F.col("before_size") - ahead >= min_overlap) & ((F.col("read_id") != F.col("before_id")) | (F.col("strand") != F.col("before_strand")) | (ahead > 0))
+    names = ["read_id", "strand", "offset", "before_id", "before_strand", "before_offset"]
+    text = F.substr("oriented", F.col("rest") + 1, F.length("oriented")) if exact else F.col("oriented")
+    v = stored(matches.select("query_id", "read_id", "strand", "offset", F.length("oriented").alias("size"), text.alias("text")))  # they are looked for once
+    renamed = {"read_id": "before_id", "strand": "before_strand", "offset": "before_offset", "size": "before_size", "text": "before_text"}
+    u = v.withColumnsRenamed(renamed)
+    if not exact:
+        n = F.least(F.col("before_size") - ahead, F.col("size"))
+        agree = F.substr("before_text", ahead + 1, n) == F.substr("text", F.lit(1), n)
+        return v.join(u, "query_id").where(near & agree).select("query_id", *names)
+    agree = F.startswith("text", F.col("before_text")) | F.startswith("before_text", F.col("text"))
+    long, head = F.length("text") >= HEAD, F.substring("text", 1, HEAD)
+    far = v.where(long).withColumn("head", head)
+    met = [
+        far.join(far.withColumnsRenamed(renamed), ["query_id", "head"]),
+        v.where(~long).join(u, "query_id"),
+        v.where(long).join(v.where(~long).withColumnsRenamed(renamed), "query_id"),
+    ]
+    return reduce(DataFrame.unionByName, [m.where(near & agree).select("query_id", *names) for m in met])
 
 
 def contained_in(reads: DataFrame, k: int) -> DataFrame:

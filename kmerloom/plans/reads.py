@@ -340,4 +340,4 @@ def match_ancestors(spark, sf_dir):
     """Ancestors among the matches of reads of 75 letters and more."""
     rows = reads(spark, sf_dir)
     found = overlap.overlaps(rows, rows.where(F.length("seq") >= 75), K, K)
-    return overlap.ancestors(found, K)
+    return overlap.ancestors(found, K, exact=True)

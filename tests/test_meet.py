@@ -80,3 +80,20 @@ def test_reads_within_others_are_found_by_their_beginnings(spark, monkeypatch):
     inner = {i for i, s in enumerate(seqs) if any(len(h) > len(s) and (s in h or turned(s) in h) for h in seqs)}
     assert {r.id for r in exact.outermost(once, K).collect()} == set(range(len(seqs))) - inner and len(inner) > 3
     assert made[0].count() < 0.2 * sum(len(s) - K + 1 for s in seqs)
+
+
+@pytest.mark.parametrize("head", [8, 2])
+def test_ancestors_meet_by_what_reaches_beyond_the_query(spark, monkeypatch, head):
+    """Before, all pairs of matches of a query were compared, letter by letter."""
+    monkeypatch.setattr(overlap, "HEAD", head)
+    rng, seqs = random.Random(5), texts()
+    seqs += ["A" * (K + i) + "".join(rng.choice("AC") for _ in range(i % 5)) for i in range(12)] + ["CC" + "A" * 30]
+    rows = spark.createDataFrame([*enumerate(seqs)], "read_id bigint, seq string")
+    found = overlap.overlaps(rows, rows, K, K).cache()
+    m = [tuple(r) for r in found.select("query_id", "read_id", "strand", "offset", "oriented").collect()]
+    want = sorted(
+        (*v[:4], *u[1:4]) for v in m for u in m if u[0] == v[0] and u[1:4] != v[1:4] and (d := v[3] - u[3]) >= 0 and (n := len(u[4]) - d) >= K
+        and u[4][d:][: len(v[4])] == v[4][:n]
+    )
+    assert sorted(map(tuple, overlap.ancestors(found, K, exact=True).collect())) == want and len(want) > 100
+    assert sorted(map(tuple, overlap.ancestors(found, K).collect())) == want
